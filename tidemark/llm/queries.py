@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, token_ids, topk
+from . import decontaminate, packing, substring, token_ids, topk
 from .common import table
 from .encoding import tokenizer_path
 
@@ -23,12 +24,17 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op4_decontaminate, op6_pack, op10_topk)}
+    return {f.__name__: f for f in (op1_token_ids, op4_decontaminate, op6_pack, op7_substring_dedup, op10_topk)}
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+')"
@@ -48,6 +54,15 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT t.doc_id, s.item_id, s.text, count(*) AS shared FROM s JOIN t USING (n, s) GROUP BY ALL)
             SELECT doc_id, item_id, CAST(size AS INTEGER) AS item_shingles, CAST(shared AS INTEGER) AS shared_shingles, shared / size AS containment
             FROM m JOIN z USING (item_id, text) WHERE 100 * shared >= 75 * size""",
+        "op7_substring_dedup": r"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            p AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+            h AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+            m AS (SELECT h, min(doc_id) AS low FROM h GROUP BY h),
+            g AS (SELECT DISTINCT r, i + j AS i FROM (SELECT r, i FROM h JOIN m USING (h) WHERE low < doc_id), (SELECT unnest(range(50)) AS j)),
+            x AS (SELECT r, list(i) AS gone FROM g GROUP BY r),
+            k AS (SELECT doc_id, w, CASE WHEN gone IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(gone, i)] END AS kept FROM d LEFT JOIN x USING (r))
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
         "op10_topk": """
             WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL),
             p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
