@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, substring, token_ids, topk
+from . import decontaminate, ngram_join, packing, substring, token_ids, topk
 from .common import table
 from .encoding import tokenizer_path
 
@@ -29,12 +29,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op4_decontaminate, op6_pack, op7_substring_dedup, op10_topk)}
+    return {f.__name__: f for f in (op1_token_ids, op4_decontaminate, op6_pack, op7_substring_dedup, op8_ngram_join, op10_topk)}
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+')"
@@ -63,6 +68,16 @@ def oracle_sql() -> dict[str, str]:
             x AS (SELECT r, list(i) AS gone FROM g GROUP BY r),
             k AS (SELECT doc_id, w, CASE WHEN gone IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(gone, i)] END AS kept FROM d LEFT JOIN x USING (r))
             SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+        "op8_ngram_join": r"""
+            WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            k AS (SELECT doc_id, w, least(5, len(w)) AS n FROM d WHERE len(w) > 0),
+            s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM k)),
+            z AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+            o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM o JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b WHERE 100 * shared >= 75 * (p.size + q.size - shared)),
+            r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+            SELECT a AS doc_id, CAST(coalesce(any_value(size), 0) AS BIGINT) AS n_shingles, min(b) AS component_id
+            FROM r LEFT JOIN z ON z.doc_id = a GROUP BY a""",
         "op10_topk": """
             WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL),
             p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
