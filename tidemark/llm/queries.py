@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, substring, token_ids, topk
+from . import decontaminate, ngram_join, packing, substring, token_ids, topk, toxicity
 from .common import table
 from .encoding import tokenizer_path
 
@@ -16,6 +16,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.addressable_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +43,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op4_decontaminate, op6_pack, op7_substring_dedup, op8_ngram_join, op10_topk)}
+    return {f.__name__: f for f in (op1_token_ids, op2_toxicity, op4_decontaminate, op6_pack, op7_substring_dedup, op8_ngram_join, op10_topk)}
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+')"
