@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, substring, token_ids, topk, toxicity
+from . import decontaminate, ngram_join, packing, secrets, substring, token_ids, topk, toxicity
 from .common import table
 from .encoding import tokenizer_path
 
@@ -38,17 +38,36 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_toxicity, op4_decontaminate, op6_pack, op7_substring_dedup, op8_ngram_join, op10_topk)}
+    return {f.__name__: f for f in (op1_token_ids, op2_toxicity, op4_decontaminate, op6_pack, op7_substring_dedup, op8_ngram_join, op9_secrets, op10_topk)}
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+')"
 
 
+def _secret_spans(kind: int, pattern: str, where: str) -> str:
+    """SQL for the matches of one pattern in t(r, text): what lies between them comes from splitting by it."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+        SELECT r, CAST(list_sum([len(g[j]) FOR j IN range(1, i + 1)]) + coalesce(list_sum([len(h[j]) FOR j IN range(1, i)]), 0) AS BIGINT) AS s, {kind} AS k, len(h[i]) AS n
+        FROM (SELECT r, g, h, v, unnest(range(1, len(h) + 1)) AS i
+              FROM (SELECT r, regexp_split_to_array(text, {p}) AS g, regexp_extract_all(text, {p}) AS h, {"regexp_extract_all(text, " + p + ", 2)" if "v[i]" in where else "NULL"} AS v FROM t WHERE regexp_matches(text, {p})))
+        WHERE {where}"""
+
+
+_ANY_CASE = {w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key", "access_?key", "_?id", "client_?id", "user", "name", "login")}
+_SQL_ASSIGN = "(" + "|".join(_ANY_CASE[w] for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_SQL_WEAK_ID = f"({_ANY_CASE['access_?key']}(?:{_ANY_CASE['_?id']})?|{_ANY_CASE['client_?id']}|{_ANY_CASE['user']}(?:{_ANY_CASE['name']})?|{_ANY_CASE['login']})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{3,})"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": f"""
@@ -82,6 +101,24 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
             SELECT a AS doc_id, CAST(coalesce(any_value(size), 0) AS BIGINT) AS n_shingles, min(b) AS component_id
             FROM r LEFT JOIN z ON z.doc_id = a GROUP BY a""",
+        "op9_secrets": f"""
+            WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+            p AS ({_secret_spans(0, _SQL_ASSIGN, "len(v[i]) >= 12")} UNION ALL {_secret_spans(1, "AKIA[A-Z0-9]+", "len(h[i]) >= 18")}
+                UNION ALL {_secret_spans(2, "[0-9a-f]{16,}", "true")}
+                UNION ALL {_secret_spans(3, _SQL_WEAK_ID, "true")}
+                UNION ALL {_secret_spans(4, "[A-Za-z0-9+/]{24,}", "regexp_matches(h[i], '[0-9]') AND regexp_matches(h[i], '[A-Z]') AND regexp_matches(h[i], '[a-z]')")}
+                UNION ALL {_secret_spans(5, "https?://[A-Za-z0-9.:/_-]{4,}", "true")}),
+            m AS (SELECT w.r, w.s, w.k, w.n,
+                    bool_or(x.s < w.s + w.n AND w.s < x.s + x.n AND x.k < w.k) AS covered,
+                    bool_or(NOT (x.s < w.s + w.n AND w.s < x.s + x.n) AND x.k IN (1, 3)) AS identifier,
+                    bool_or(NOT (x.s < w.s + w.n AND w.s < x.s + x.n) AND x.k IN (0, 2, 4)) AS secret
+                  FROM p w JOIN p x ON w.r = x.r AND w.k >= 3 AND abs(w.s - x.s) <= 200 GROUP BY ALL),
+            a AS (SELECT r, s, k, n FROM p WHERE k < 3
+                  UNION ALL SELECT r, s, k, n FROM m WHERE NOT covered AND CASE k WHEN 3 THEN secret WHEN 4 THEN identifier ELSE identifier AND secret END),
+            z AS (SELECT r, s, k, ['assign', 'access', 'hex', 'identifier', 'string', 'endpoint'][k + 1] || ':' || s || ':' || (s + n) AS x FROM a)
+            SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                sha256(coalesce(string_agg(x, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, k), '') AS spans
+            FROM t LEFT JOIN z USING (r) GROUP BY r, doc_id""",
         "op10_topk": """
             WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL),
             p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
