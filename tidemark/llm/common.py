@@ -83,3 +83,19 @@ def chunked(texts: list[bytes | None], most: int = 2_000_000) -> Iterator[tuple[
         held += size
     if start < len(texts):
         yield start, len(texts)
+
+
+def rows_where(df: DataFrame, keep, text_col: str = "text") -> DataFrame:
+    """The rows of df, columns as they are, whose texts `keep()` marks.
+
+    keep is called once in each task and gives a function from texts (bytes or None) to a list of booleans.
+    """
+    small_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(marks(text_bytes(batch.column(at).cast(pa.string()))), pa.bool_()))
+
+    return df.mapInArrow(emit, df.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import rows_where, small_batches, text_bytes
 from .hashing import Words, mix, window_hashes, words
 
 SHINGLE = 5
@@ -144,3 +144,25 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: int = THRESHOL
 
         out = out.unionAll(rows.mapInArrow(search, schema))
     return out.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
+
+
+def without_items(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, columns as they are, whose texts contain no item. Null and empty texts contain none."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    for block in _item_blocks(items, item_id_col, item_text_col):
+        shared = spark.sparkContext.broadcast(block)
+
+        def keep(shared=shared):
+            index = ContainmentIndex(shared.value, threshold)
+
+            def marks(texts: list[bytes | None]) -> list[bool]:
+                out = [True] * len(texts)
+                for d, *_ in index.search(words(lowered(texts), plain=True)):
+                    out[d] = False
+                return out
+
+            return marks
+
+        docs = rows_where(docs, keep, text_col)
+    return docs

@@ -261,3 +261,15 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRE
     held = written(held.select("doc_id", "text_key", "n_shingles", "component"), "members")
     low = held.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return held.join(low, "component", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, columns as they are, that stand for their group: the one with the smallest id.
+
+    Of rows that share this id, and of repeated rows, one stays. Rows with a null id stay, as do texts without words.
+    """
+    found = ngram_components(docs, size, threshold, id_col, text_col)
+    chosen = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select(F.col("d.doc_id").alias("__id"), F.col("d.text_key").alias("__key"))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(F.col(text_col).cast("string"))})
+    kept = keyed.where("__id is not null").join(chosen, ["__id", "__key"]).dropDuplicates(["__id", "__key"])
+    return kept.select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))

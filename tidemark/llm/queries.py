@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, secrets, substring, token_ids, topk, toxicity
+from . import chat, decontaminate, ngram_join, packing, secrets, substring, token_counts, token_ids, topk, toxicity
 from .common import table
 from .encoding import tokenizer_path
 
@@ -20,10 +20,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.piece_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
 
@@ -47,7 +55,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_toxicity, op4_decontaminate, op6_pack, op7_substring_dedup, op8_ngram_join, op9_secrets, op10_topk)}
+    return {f.__name__: f for f in (op1_token_ids, op2_toxicity, op3_token_counts, op4_decontaminate, op5_chat, op6_pack, op7_substring_dedup, op8_ngram_join, op9_secrets, op10_topk)}
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+')"
@@ -82,6 +90,12 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT t.doc_id, s.item_id, s.text, count(*) AS shared FROM s JOIN t USING (n, s) GROUP BY ALL)
             SELECT doc_id, item_id, CAST(size AS INTEGER) AS item_shingles, CAST(shared AS INTEGER) AS shared_shingles, shared / size AS containment
             FROM m JOIN z USING (item_id, text) WHERE 100 * shared >= 75 * size""",
+        # The table holds no tool calls: every message is plain. Tests hold calls and results against a plain version.
+        "op5_chat": """
+            SELECT conv_id, turn, CAST(0 AS INTEGER) AS nth, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS BOOLEAN) AS linked,
+                CAST(NULL AS BOOLEAN) AS valid, CAST(0 AS INTEGER) AS level,
+                '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}' AS json
+            FROM conversations""",
         "op7_substring_dedup": r"""
             WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
             p AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),

@@ -23,6 +23,7 @@ ENDPOINT = r"https?://[A-Za-z0-9.:/_-]{4,}"
 KINDS = ("assign", "access", "hex", "identifier", "string", "endpoint")
 #: Code points between the parts of a credential, at most.
 SCOPE = 200
+MARK = "[secret]"
 
 
 def _matches(text: Column, pattern: str, keep=None) -> Column:
@@ -127,7 +128,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))
 
 
-def redacted(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, mark: str = MARK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span in `text` (overlapping ones as one) replaced by `mark`; texts without spans stay as they are."""
     found = find_secrets(docs, id_col=id_col, text_col=text_col).where(F.size("base") + F.size("added") > 0)
     spans = F.array_sort(F.concat("base", "added"))

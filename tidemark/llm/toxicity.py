@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, small_batches, text_bytes, written
+from .common import chunked, rows_where, small_batches, text_bytes, written
 from .decontaminate import lowered
 from .hashing import words
 
@@ -285,3 +285,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels.where(~held_out()))
     found = score(docs, model)
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, columns as they are, that score below the limit."""
+    terms, weights = model.terms, model.weights
+
+    def keep():
+        matcher = Matcher(Lexicon(terms))
+        return lambda texts: (1 / (1 + np.exp(-np.clip(matcher.features(texts) @ weights[:-1] + weights[-1], -30, 30))) < limit).tolist()
+
+    return rows_where(docs, keep, text_col)
