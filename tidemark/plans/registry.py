@@ -1,4 +1,7 @@
 """All queries of the engine's own operators, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import feature_plans, market
+
+_PARTS = (market, feature_plans)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
