@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import chunked, rows_where, small_batches, text_bytes, written
 from .decontaminate import lowered
-from .hashing import words
+from .hashing import shingle_sets, words
 
 #: Labelled rows of each class that the lexicon and the model are fitted on, at most: the bound on the fit's sample.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 #: Units that positive rows propose, at most; they go to every worker (a few bytes each).
 UNITS = 200_000
-LEAST_ROWS, LEAST_RATIO = 4, 25.0
+#: Positive rows that a term must be in: this many, and this share of them; and how much likelier it must be there.
+LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 4, 0.01, 25.0
 SHORTEST, LONGEST_STEM = 3, 8
 #: Words on each side of a hit that its context takes in.
 CONTEXT = 6
@@ -47,12 +48,23 @@ class Lexicon:
     """A trie of terms. Stems match every word that begins with them; other terms match words within one edit."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms, self.root = terms, Node()
+        self.terms, self.root, self.words = terms, Node(), Node()
+        # One edit leaves the first or the last half of a term as it is: so a word must begin or end with one.
+        self.starts: set[str] = set()
+        self.ends: set[str] = set()
         for term, kind in terms.items():
-            node = self.root
-            for c in term:
-                node = node.next.setdefault(c, Node())
-            node.kind = kind
+            self._add(self.root, term, kind)
+            if kind == EXACT and len(term) >= FUZZY_LETTERS:  # short terms have too many neighbours
+                self._add(self.words, term, kind)
+                self.starts.add(term[: len(term) // 2])
+                self.ends.add(term[len(term) // 2 :])
+        self.start_sizes, self.end_sizes = sorted({len(x) for x in self.starts}), sorted({len(x) for x in self.ends})
+
+    @staticmethod
+    def _add(node: Node, term: str, kind: int) -> None:
+        for c in term:
+            node = node.next.setdefault(c, Node())
+        node.kind = kind
 
     def match(self, word: str) -> int:
         """EXACT, STEM, FUZZY or 0."""
@@ -65,7 +77,8 @@ class Lexicon:
                 return STEM
         if node is not None and node.kind:
             return node.kind
-        return FUZZY if len(word) >= FUZZY_LETTERS - 1 and self._within_one(word) else 0
+        near = any(word[:n] in self.starts for n in self.start_sizes) or any(word[-n:] in self.ends for n in self.end_sizes)
+        return FUZZY if near and self._within_one(word) else 0
 
     def _within_one(self, word: str) -> bool:
         """Intersects the trie with the automaton of all strings one edit from the word.
@@ -76,10 +89,10 @@ class Lexicon:
         for i, c in enumerate(word):
             place[c] = place.get(c, 0) | 1 << i
         full, end = (1 << len(word) + 1) - 1, 1 << len(word)
-        todo = [(self.root, 1, 2, 0)]
+        todo = [(self.words, 1, 2)]
         while todo:
-            node, same, one, depth = todo.pop()
-            if node.kind == EXACT and depth >= FUZZY_LETTERS and one & end:
+            node, same, one = todo.pop()
+            if node.kind and one & end:
                 return True
             for c, child in node.next.items():
                 on = place.get(c, 0)
@@ -87,7 +100,7 @@ class Lexicon:
                 # match; the word lacks the letter; the word has another one; the word has one too many
                 edited = ((one & on) << 1 | same | same << 1 | after << 1) & full
                 if after or edited:
-                    todo.append((child, after, edited, depth + 1))
+                    todo.append((child, after, edited))
         return False
 
 
@@ -105,7 +118,7 @@ def learn_terms(units: list[tuple[str, int, int, int]], positive: int, negative:
 
     def strong(u: str) -> bool:
         _, pos, neg = counts[u]
-        return pos >= LEAST_ROWS and pos / max(1, positive) >= LEAST_RATIO * (neg + 0.25) / max(1, negative)
+        return pos >= max(LEAST_ROWS, LEAST_SHARE * positive) and pos / max(1, positive) >= LEAST_RATIO * (neg + 0.25) / max(1, negative)
 
     todo = sorted(u for u in counts if len(u) == SHORTEST)
     while todo:
@@ -194,13 +207,34 @@ class Model:
     weights: np.ndarray
 
 
-def _units(texts: list[bytes | None]) -> Iterator[tuple[set[str], set[str]]]:
-    """Words of each text, and their prefixes (a word up to the longest stem is a prefix of itself)."""
-    for t in lowered(texts):
-        w = words([t], plain=True)
-        _, first = np.unique(w.hash, return_index=True)
-        own = {w.buffer[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True) if SHORTEST <= b - a <= 64}
-        yield own, {x[:n] for x in own for n in range(SHORTEST, min(len(x), 16) + 1)}
+class Units:
+    """Distinct words of texts, and their prefixes (a word of up to 16 letters is a prefix of itself)."""
+
+    MOST = 500_000
+
+    def __init__(self, wanted: frozenset[str] | None = None):
+        self.wanted = wanted
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def _prefixes(self, word: str) -> tuple[str, ...]:
+        out = self.known.get(word)
+        if out is None:
+            out = tuple(word[:n] for n in range(SHORTEST, min(len(word), 16) + 1))
+            if self.wanted is not None:
+                out = tuple(p for p in out if p in self.wanted)
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            self.known[word] = out
+        return out
+
+    def of(self, texts: list[bytes | None]) -> Iterator[tuple[set[str], set[str]]]:
+        for a, b in chunked(texts):
+            w = words(lowered(texts[a:b]), plain=True)
+            unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+            spelled = [w.buffer[s:e].decode("utf-8", "replace") if SHORTEST <= e - s <= 64 else "" for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+            for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                own = {spelled[k] for k in np.unique(inverse[i:j]).tolist()} - {""}
+                yield own, set().union(*map(self._prefixes, own))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -216,16 +250,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for k in (0, 1)]
     chosen = F.broadcast(some[0].unionAll(some[1]))  # 2 * TRAIN_ROWS rows of two numbers at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sample = written(rows.join(chosen, "doc_id").select("text", "label"), "toxicity-sample")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [0] * batch.num_rows
+            for a, b in chunked(texts := text_bytes(batch.column(0))):
+                for i, s in enumerate(shingle_sets(words(texts[a:b], lower=True))):
+                    least[a + i] = int(s[0]) >> 1 if len(s) else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["text", "label", "least"])
+
+    # Near copies mostly have the same least shingle; one of them is enough, or their words would pass for terms.
+    sample = rows.join(chosen, "doc_id").select("text", "label").mapInArrow(mark, "text string, label int, least long")
+    sample = written(sample.dropDuplicates(["label", "least"]).select("text", "label"), "toxicity-sample")
     size = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     positive, negative = size.get(1, 0), size.get(0, 0)
     if not positive or not negative:
         return Model({}, np.array([0.0] * 5 + [8.0 if positive else -8.0]))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, whole = Counter(), Counter()
+        rows, whole, units = Counter(), Counter(), Units()
         for batch in batches:
-            for own, prefixes in _units(text_bytes(batch.column(0))):
+            for own, prefixes in units.of(text_bytes(batch.column(0))):
                 rows.update(prefixes)
                 whole.update(own)
         if rows:
@@ -237,10 +282,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(frozenset(units))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Counter()
+        rows, units = Counter(), Units(shared.value)
         for batch in batches:
-            for _, prefixes in _units(text_bytes(batch.column(0))):
-                rows.update(prefixes & shared.value)
+            for _, prefixes in units.of(text_bytes(batch.column(0))):
+                rows.update(prefixes)
         if rows:
             yield pa.RecordBatch.from_pydict({"unit": list(rows), "n": pa.array(list(rows.values()), pa.int64())})
 
