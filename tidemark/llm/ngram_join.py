@@ -7,6 +7,9 @@ tokens; that holds under every order at once, so a pair must pass all filters:
 - the first order puts tokens that are frequent in the corpus last and the others by hash; its prefixes are the index;
 - two further orders by other hashes are checked on a candidate pair before its intersection is counted.
 
+Before any text moves, a candidate pair must also pass a bound on its intersection: every set keeps a few counts of its
+tokens by hash bucket, and two sets share at most the sum of the smaller counts.
+
 Pairs within a posting list are not all made. First each list links its members to a leader near their size. Where
 verified links leave a list in more than one connected piece, the pairs between pieces (sizes allowing) are candidates
 of a second and last round: pairs inside a piece can't change any component, so no link that matters is lost.
@@ -30,9 +33,9 @@ SHINGLE = 5
 #: Similarity in percent.
 THRESHOLD = 75
 #: Tokens that the first order knows as frequent: a bound on what is sent to every worker (16 bytes each).
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 #: Documents of a chunk that must share a token for it to be counted, and tokens in a chunk.
-CHUNK_LEAST, CHUNK_TOKENS = 4, 1_500_000
+CHUNK_LEAST, CHUNK_TOKENS = 2, 4_000_000
 #: Members that are verified against one copy of their leader's text.
 SALT_ROWS = 256
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -55,6 +58,26 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * shared >= threshold * (len(x) + len(y) - shared)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Tokens of a set in each of about a quarter as many buckets, a byte for each (255: as many or more)."""
+    bits = max(4, (len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(x: bytes, nx: int, y: bytes, ny: int, threshold: int) -> bool:
+    """False only if sets of these sizes and signatures can't be similar."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if p.max(initial=0) == 255 or q.max(initial=0) == 255:
+        return True
+    p, q = p.astype(np.int32), q.astype(np.int32)
+    if len(p) < len(q):
+        q = q.reshape(len(p), -1).sum(axis=1)
+    elif len(q) < len(p):
+        p = p.reshape(len(q), -1).sum(axis=1)
+    shared = int(np.minimum(p, q).sum())
+    return 100 * shared >= threshold * (nx + ny - shared)
+
+
 def _sets(texts: list[bytes | None], size: int) -> Iterator[tuple[int, np.ndarray]]:
     for a, b in chunked(texts):
         for i, s in enumerate(shingle_sets(words(texts[a:b], lower=True), size)):
@@ -65,14 +88,14 @@ def _class_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_PROFILE = "doc_id long, text_key long, n int, cls long, digest binary, token long, seen long"
+_PROFILE = "doc_id long, text_key long, n int, cls long, digest binary, sig binary, token long, seen long"
 
 
 def _profiles(rows: DataFrame, size: int) -> DataFrame:
     """Per document its set's size, class and digest; and per chunk of documents the tokens that several share."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("digest", pa.binary()), ("token", pa.int64()), ("seen", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("token", pa.int64()), ("seen", pa.int64())])
         held: list[np.ndarray] = []
         tokens = 0
 
@@ -80,15 +103,16 @@ def _profiles(rows: DataFrame, size: int) -> DataFrame:
             token, seen = np.unique(np.concatenate(held), return_counts=True)
             ok = seen >= CHUNK_LEAST
             none = pa.nulls(int(ok.sum()))
-            columns = [none.cast(f.type) for f in list(schema)[:5]] + [pa.array(token[ok].view(np.int64)), pa.array(seen[ok].astype(np.int64))]
+            columns = [none.cast(f.type) for f in list(schema)[:6]] + [pa.array(token[ok].view(np.int64)), pa.array(seen[ok].astype(np.int64))]
             return pa.RecordBatch.from_arrays(columns, schema=schema) if ok.any() else None
 
         for batch in batches:
             ids, keys, texts = batch.column(0), batch.column(1), text_bytes(batch.column(2))
-            n, cls, digest = [], [], []
+            n, cls, digest, sig = [], [], [], []
             for _, s in _sets(texts, size):
                 n.append(len(s))
                 cls.append(_class_id(s) if len(s) else None)
+                sig.append(signature(s) if len(s) else None)
                 digest.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None)
                 if tokens + len(s) > CHUNK_TOKENS and held:
                     if (found := shared()) is not None:
@@ -97,7 +121,7 @@ def _profiles(rows: DataFrame, size: int) -> DataFrame:
                 held.append(s)
                 tokens += len(s)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(digest, pa.binary()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), none, none], schema=schema)
         if held and (found := shared()) is not None:
             yield found
 
@@ -182,6 +206,28 @@ def _leaders(postings: DataFrame, threshold: int) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(emit, "token long, cls long, n int, leader long")
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Those of the distinct pairs a, b whose signatures leave them a chance."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (c.to_pylist() for c in batch.columns[2:])
+            ok = [may_be_similar(x, nx, y, ny, threshold) for x, nx, y, ny in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    x = classes.select(F.col("cls").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx"))
+    y = classes.select(F.col("cls").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "nx", "y", "ny")
+    return written(both.mapInArrow(emit, "a long, b long"), "pairs")
+
+
+def _texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cls, text: one document's text for each class that a pair names."""
+    named = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    chosen = classes.join(named, "cls").select("cls", "doc_id", "text_key")
+    return written(rows.join(chosen, ["doc_id", "text_key"]).select("cls", "text").dropDuplicates(["cls"]), "texts")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """Those of the distinct pairs a, b whose texts' sets are similar. Members come to copies of their leader's text."""
 
@@ -221,15 +267,15 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     if clash.count():  # about one in 10**9 corpora of 10**5 documents; never passed over in silence
         raise ValueError("two token sets share a 64-bit class id; change the hash's digest")
     counts = profile.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
-    frequent = np.array([r.token for r in counts.orderBy(F.desc("seen"), "token").limit(FREQUENT).collect()][::-1], np.int64).view(np.uint64)
+    top = counts.orderBy(F.desc("seen"), "token").limit(FREQUENT).select("token", "seen").toArrow()
+    frequent = top.column("token").to_numpy()[np.lexsort((top.column("token").to_numpy(), top.column("seen").to_numpy()))].view(np.uint64)
 
     lists = written(_leaders(_postings(rows, size, threshold, frequent), threshold), "lists")
     stars = written(lists.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    # One document stands for each class that a candidate pair names.
-    named = stars.select(F.col("a").alias("cls")).union(stars.select(F.col("b").alias("cls"))).distinct()
-    chosen = members.groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).join(named, "cls").select("cls", "d.*")
-    texts = written(rows.join(chosen, ["doc_id", "text_key"]).select("cls", "text").dropDuplicates(["cls"]), "texts")
-    first = written(_verified(stars, texts, size, threshold), "links")
+    one = profile.where("cls is not null").groupBy("cls").agg(F.min_by(F.struct("doc_id", "text_key", "n", "sig"), F.struct("doc_id", "text_key")).alias("d"))
+    classes = written(one.select("cls", "d.*"), "classes")
+    likely = _possible(stars, classes, threshold)
+    first = written(_verified(likely, _texts(rows, classes, likely), size, threshold), "links")
 
     known = components(first).withColumnRenamed("node", "cls")
     placed = lists.join(known, "cls", "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("piece"))
@@ -239,8 +285,8 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     fits = (F.col("piece") != F.col("piece2")) & (F.col("cls") < F.col("cls2")) & (100 * F.col("n") >= threshold * F.col("n2")) & (100 * F.col("n2") >= threshold * F.col("n"))
     more = x.join(y, (x.token == y.token) & fits).select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
     tried = stars.union(stars.select("b", "a"))
-    more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    second = written(_verified(more, texts, size, threshold), "links")
+    likely = _possible(more.join(tried, ["a", "b"], "left_anti"), classes, threshold)
+    second = written(_verified(likely, _texts(rows, classes, likely), size, threshold), "links")
     return members, first.unionByName(second)
 
 
