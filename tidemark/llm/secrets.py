@@ -134,11 +134,12 @@ def redacted(docs: DataFrame, mark: str = MARK, id_col: str = "doc_id", text_col
     spans = F.array_sort(F.concat("base", "added"))
     hit = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), spans.alias("__spans")).dropDuplicates(["__id", "__key"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__key": F.xxhash64(text, F.length(text)), "__id": F.col(id_col).cast("long")}).alias("d")
+    # The table's own columns go through in one struct, whatever their names.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text, F.length(text)).alias("__key"), F.col(id_col).cast("long").alias("__id")).alias("d")
     h = hit.alias("h")
     joined = keyed.join(h, F.col("d.__id").eqNullSafe(F.col("h.__id")) & (F.col("d.__key") == F.col("h.__key")), "left")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    source = F.col(f"d.{text_col}")
+    source = F.col("row")[text_col]
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["end"] <= acc["at"]
@@ -148,4 +149,4 @@ def redacted(docs: DataFrame, mark: str = MARK, id_col: str = "doc_id", text_col
 
     cut = F.aggregate("__spans", state, step, lambda acc: F.concat(acc["out"], F.substring(source, acc["at"] + 1, F.length(source))))
     new = F.when(F.col("__spans").isNull(), source).otherwise(cut)
-    return joined.select(*(new.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns))
+    return joined.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -139,14 +139,14 @@ def learn_terms(units: list[tuple[str, int, int, int]], positive: int, negative:
 class Matcher:
     """Finds hits of a lexicon in batches of texts; verdicts on words are remembered, up to a bound."""
 
-    MOST = 1_000_000
+    MOST = 300_000
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
         self.known: dict[int, int] = {}
 
     def features(self, texts: list[bytes | None]) -> np.ndarray:
-        """One row for each text: sums over its exact, stem, misspelled and quoted hits, and hits for each word."""
+        """One row for each text: how much exact, stem, misspelled and quoted hits it has, and hits for each word."""
         out = np.zeros((len(texts), 5))
         for a, b in chunked(texts):
             w = words(lowered(texts[a:b]), plain=True)
@@ -170,7 +170,7 @@ class Matcher:
                 out[a + doc, 3] += quoted
             hits = np.bincount(w.doc, weights=found > 0, minlength=b - a)
             out[a:b, 4] = hits / np.maximum(1, np.diff(w.first))
-        out[:, :4] = np.log1p(out[:, :4])
+        out[:, :4] = 1 - np.exp(-1.5 * out[:, :4])  # the first hit says most
         out[:, 4] = np.sqrt(out[:, 4])
         return out
 
@@ -186,15 +186,20 @@ class Matcher:
         return min(1.0, max(0.0, score))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weights (last: intercept) of a ridge-penalised logistic regression by damped Newton steps."""
+#: What hits weigh before any text is seen: a kind of hit that the labelled texts lack keeps its weight.
+PRIOR = (8.0, 8.0, 8.0, 0.0, 0.0, 0.0)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = PRIOR, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Weights (last: intercept) of a logistic regression that is drawn to the prior, by damped Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    middle = np.array(prior)
+    w = middle.copy()
     penalty = ridge * len(x) * np.diag([1.0] * (len(w) - 1) + [1e-6])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve(h, x.T @ (y - p) - penalty @ (w - middle))
         w = w + step * min(1.0, 4.0 / max(1e-12, float(np.abs(step).max())))
         if np.abs(step).max() < 1e-8:
             break
@@ -210,7 +215,7 @@ class Model:
 class Units:
     """Distinct words of texts, and their prefixes (a word of up to 16 letters is a prefix of itself)."""
 
-    MOST = 500_000
+    MOST = 50_000
 
     def __init__(self, wanted: frozenset[str] | None = None):
         self.wanted = wanted
