@@ -11,8 +11,9 @@ Before any text moves, a candidate pair must also pass a bound on its intersecti
 tokens by hash bucket, and two sets share at most the sum of the smaller counts.
 
 Pairs within a posting list are not all made. First each list links its members to a leader near their size. Where
-verified links leave a list in more than one connected piece, the pairs between pieces (sizes allowing) are candidates
-of a second and last round: pairs inside a piece can't change any component, so no link that matters is lost.
+verified links leave a list in more than one connected piece, the pairs between pieces are candidates of a second and
+last round, where sizes and the tokens that either set can share allow a link: pairs inside a piece can't change any
+component, so no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -35,9 +36,13 @@ THRESHOLD = 75
 #: Tokens that the first order knows as frequent: a bound on what is sent to every worker (16 bytes each).
 FREQUENT = 1 << 20
 #: Documents of a chunk that must share a token for it to be counted, and tokens in a chunk.
-CHUNK_LEAST, CHUNK_TOKENS = 2, 4_000_000
+CHUNK_LEAST, CHUNK_TOKENS = 2, 3_000_000
 #: Members that are verified against one copy of their leader's text.
 SALT_ROWS = 256
+#: Documents that a token must be seen in to count as shared by many.
+COMMON = 8
+#: Members from which on a list's pairs are made once for all the lists that hold them.
+LONG_LIST = 64
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -128,8 +133,13 @@ def _profiles(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(emit, _PROFILE)
 
 
-def _postings(rows: DataFrame, size: int, threshold: int, frequent: np.ndarray) -> DataFrame:
-    """token, cls, n for the prefix of each set under the first order. frequent: such tokens, most frequent last."""
+def _postings(rows: DataFrame, size: int, threshold: int, frequent: np.ndarray, common: int) -> DataFrame:
+    """token, cls, n, rare, own for the prefix of each set under the first order.
+
+    frequent: tokens known to be shared, the most frequent last, those from `common` on by many. rare counts a set's
+    tokens that aren't shared by many: of near copies, the one that the others were made from has the fewest. own tells
+    whether the token is one of these.
+    """
     order = np.argsort(frequent)
     shared = rows.sparkSession.sparkContext.broadcast((frequent[order], order))
 
@@ -137,7 +147,7 @@ def _postings(rows: DataFrame, size: int, threshold: int, frequent: np.ndarray)
         known, place = shared.value
         seen: set[int] = set()  # classes sent by this task; may be forgotten without harm
         for batch in batches:
-            token, cls, n = [], [], []
+            token, cls, n, rare, own = [], [], [], [], []
             for _, s in _sets(text_bytes(batch.column(0)), size):
                 c = _class_id(s)
                 if not len(s) or c in seen:
@@ -147,37 +157,39 @@ def _postings(rows: DataFrame, size: int, threshold: int, frequent: np.ndarray)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     often = known[at] == s
-                    first = s[~often][:p]
+                    ranks = place[at[often]]
+                    first, lone = s[~often][:p], len(s) - int((ranks >= common).sum())
                     if len(first) < p:
-                        late = at[often]
-                        first = np.concatenate((first, s[often][np.argsort(place[late])][: p - len(first)]))
+                        first = np.concatenate((first, s[often][np.argsort(ranks)][: p - len(first)]))
                 else:
-                    first = s[:p]
+                    first, lone = s[:p], len(s)
                 token.append(first)
                 cls.append(np.full(len(first), c, np.int64))
                 n.append(np.full(len(first), len(s), np.int32))
+                rare.append(np.full(len(first), lone, np.int32))
+                own.append(np.arange(len(first)) < lone)
             if len(seen) > 200_000:
                 seen.clear()
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(n))], ["token", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(n)), pa.array(np.concatenate(rare)), pa.array(np.concatenate(own))], ["token", "cls", "n", "rare", "own"])
 
-    return rows.select("text").mapInArrow(emit, "token long, cls long, n int")
+    return rows.select("text").mapInArrow(emit, "token long, cls long, n int, rare int, own boolean")
 
 
 def _leaders(postings: DataFrame, threshold: int) -> DataFrame:
-    """Lists (sorted by size) as rows: each member and the leader it may be similar to (itself where it leads).
+    """Lists as rows: each member and the leader it may be similar to (itself where it leads).
 
-    A leader is followed by all members whose size allows a link; the first beyond leads the next ones. `many` tells
-    lists with three classes or more, which may need the second round. Lists of one class give nothing.
+    Members come with the least rare first, so leaders are central to their near copies. A member follows the first
+    leader whose size allows a link, and leads if there is none: a list has as many leaders as it has scales of size.
+    Lists of one class give nothing.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = lead = lead_n = last = None  # of the list at hand
-        members = 0
-        first: tuple[int, int, int] | None = None  # a list's first member, held until a second one comes
+        token = last = None  # of the list at hand
+        leaders: list[tuple[int, int]] = []
+        first: tuple[int, int, int, int, bool] | None = None  # a list's first member, held until a second one comes
         for batch in batches:
             t = batch.column(0).to_numpy()
-            c, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             # Most lists have one member; leave them out at once.
             alone = np.ones(len(t), bool)
             if len(t) > 1:
@@ -186,24 +198,27 @@ def _leaders(postings: DataFrame, threshold: int) -> DataFrame:
                 alone[:-1] &= ~same
             alone[0] = alone[-1] = False  # their lists may go on in other batches
             out: list[tuple] = []
-            for x, cls, size in zip(t[~alone].tolist(), c[~alone].tolist(), n[~alone].tolist(), strict=True):
+            for row in zip(*(c.filter(pa.array(~alone)).to_pylist() for c in batch.columns), strict=True):
+                x, cls, size = row[:3]
                 if x != token:
-                    token, lead, lead_n, last, members, first = x, cls, size, cls, 1, (x, cls, size)
+                    token, leaders, last, first = x, [(cls, size)], cls, row
                     continue
                 if cls == last:
                     continue
                 last = cls
-                members += 1
                 if first is not None:
                     out.append((*first, first[1]))
                     first = None
-                if 100 * lead_n < threshold * size:
-                    lead, lead_n = cls, size
-                out.append((x, cls, size, lead))
+                lead = next((a for a, m in leaders if 100 * min(m, size) >= threshold * max(m, size)), None)
+                if lead is None:
+                    leaders.append((cls, size))
+                    lead = cls
+                out.append((*row, lead))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["token", "cls", "n", "leader"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()), strict=True)], ["token", "cls", "n", "rare", "own", "leader"])
 
-    return postings.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(emit, "token long, cls long, n int, leader long")
+    central = (1000 * F.col("rare") / F.col("n")).cast("int")
+    return postings.repartition("token").sortWithinPartitions("token", central, "n", "cls").mapInArrow(emit, "token long, cls long, n int, rare int, own boolean, leader long")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -252,6 +267,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     return both.select("a", "b", "text").mapInArrow(emit, "a long, b long")
 
 
+def _across(x: DataFrame, threshold: int, also=None) -> DataFrame:
+    """Pairs a, b of classes in one list, but in two pieces, that sizes and shareable tokens allow."""
+    y = x.withColumnsRenamed({c: f"{c}2" for c in x.columns})
+    least = F.when(F.col("covered") & F.col("covered2"), F.least("room", "room2")).otherwise(F.least("n", "n2"))
+    on = (F.col("token") == F.col("token2")) & (F.col("piece") != F.col("piece2")) & (F.col("cls") < F.col("cls2")) & (100 * least >= threshold * (F.col("n") + F.col("n2") - least))
+    return x.join(y, on if also is None else on & also).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+
+
 def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, text_key, n_shingles, cls) and the verified links (a, b) between classes.
 
@@ -268,9 +291,11 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
         raise ValueError("two token sets share a 64-bit class id; change the hash's digest")
     counts = profile.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
     top = counts.orderBy(F.desc("seen"), "token").limit(FREQUENT).select("token", "seen").toArrow()
-    frequent = top.column("token").to_numpy()[np.lexsort((top.column("token").to_numpy(), top.column("seen").to_numpy()))].view(np.uint64)
+    token, seen = (top.column(c).to_numpy() for c in ("token", "seen"))
+    order = np.lexsort((token, seen))
+    common = int(np.searchsorted(seen[order], COMMON))
 
-    lists = written(_leaders(_postings(rows, size, threshold, frequent), threshold), "lists")
+    lists = written(_leaders(_postings(rows, size, threshold, token[order].view(np.uint64), common), threshold), "lists")
     stars = written(lists.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
     one = profile.where("cls is not null").groupBy("cls").agg(F.min_by(F.struct("doc_id", "text_key", "n", "sig"), F.struct("doc_id", "text_key")).alias("d"))
     classes = written(one.select("cls", "d.*"), "classes")
@@ -278,12 +303,21 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     first = written(_verified(likely, _texts(rows, classes, likely), size, threshold), "links")
 
     known = components(first).withColumnRenamed("node", "cls")
-    placed = lists.join(known, "cls", "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("piece"))
-    apart = placed.groupBy("token").agg(F.min("piece").alias("x"), F.max("piece").alias("y")).where("x <> y").select("token")
+    # Of a set that is `covered`, all tokens that aren't shared by many are in its prefix. Two such sets share at most
+    # their other tokens, unless they meet in a list of one of these; and there at most those that lists hold, too.
+    met = lists.where("own").groupBy("cls").agg(F.count(F.lit(1)).alias("met"))
+    room = F.col("n") - F.col("rare") + F.when(F.col("own"), F.coalesce("met", F.lit(0))).otherwise(0)
+    covered = F.col("rare") <= F.col("n") - F.floor((threshold * F.col("n") + 99) / 100) + 1
+    placed = lists.join(known, "cls", "left").join(met, "cls", "left")
+    placed = placed.select("token", "own", "cls", "n", F.when(covered, room).otherwise(F.col("n")).alias("room"), covered.alias("covered"), F.coalesce("component", "cls").alias("piece"))
+    size_of = F.count(F.lit(1)) >= LONG_LIST
+    apart = placed.groupBy("token").agg(F.min("piece").alias("x"), F.max("piece").alias("y"), size_of.alias("long")).where("x <> y").select("token", "long")
     x = written(placed.join(apart, "token"), "apart")
-    y = x.withColumnsRenamed({"cls": "cls2", "n": "n2", "piece": "piece2"})
-    fits = (F.col("piece") != F.col("piece2")) & (F.col("cls") < F.col("cls2")) & (100 * F.col("n") >= threshold * F.col("n2")) & (100 * F.col("n2") >= threshold * F.col("n"))
-    more = x.join(y, (x.token == y.token) & fits).select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
+    # Similar sets share many long lists; the least token of these (of either kind) makes the pair.
+    held = x.where("long").groupBy("cls", "own").agg(F.collect_set("token").alias("tokens"))  # a part of a prefix
+    long = x.where("long").join(held, ["cls", "own"])
+    once = F.array_min(F.array_intersect("tokens", "tokens2")) == F.col("token")
+    more = _across(x.where("not long"), threshold).unionByName(_across(long, threshold, once)).distinct()
     tried = stars.union(stars.select("b", "a"))
     likely = _possible(more.join(tried, ["a", "b"], "left_anti"), classes, threshold)
     second = written(_verified(likely, _texts(rows, classes, likely), size, threshold), "links")
@@ -316,6 +350,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD
     """
     found = ngram_components(docs, size, threshold, id_col, text_col)
     chosen = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select(F.col("d.doc_id").alias("__id"), F.col("d.text_key").alias("__key"))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(F.col(text_col).cast("string"))})
+    # The table's own columns go through in one struct, whatever their names.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__key"))
     kept = keyed.where("__id is not null").join(chosen, ["__id", "__key"]).dropDuplicates(["__id", "__key"])
-    return kept.select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
+    return kept.select("row.*").unionAll(docs.where(F.col(id_col).isNull()))
