@@ -94,9 +94,12 @@ def test_groups(spark, documents, corpus):
     assert ngram_join.ngram_components(documents([])).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_groups_of_chains(spark, documents, seed):
+@pytest.mark.parametrize("seed", range(4))
+def test_groups_of_chains(spark, documents, seed, monkeypatch):
     """Copies of copies: links that only some members have, near the threshold, and frequent passages."""
+    if seed % 2:  # lists in parts, and pairs once for several lists
+        monkeypatch.setattr(ngram_join, "LIST_ROWS", 4)
+        monkeypatch.setattr(ngram_join, "LONG_LIST", 3)
     rng = random.Random(seed)
     word = lambda: f"w{rng.randint(0, 3000)}"
     rows, common = [], [word() for _ in range(30)]

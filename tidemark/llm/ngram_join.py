@@ -41,6 +41,8 @@ CHUNK_LEAST, CHUNK_TOKENS = 2, 3_000_000
 SALT_ROWS = 256
 #: Documents that a token must be seen in to count as shared by many.
 COMMON = 8
+#: Members of a list that one task reads, about: lists of more frequent tokens are dealt out by class as well.
+LIST_ROWS = 100_000
 #: Members from which on a list's pairs are made once for all the lists that hold them.
 LONG_LIST = 64
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -133,47 +135,56 @@ def _profiles(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(emit, _PROFILE)
 
 
-def _postings(rows: DataFrame, size: int, threshold: int, frequent: np.ndarray, common: int) -> DataFrame:
-    """token, cls, n, rare, own for the prefix of each set under the first order.
+def _postings(rows: DataFrame, size: int, threshold: int, frequent: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """token, salt, cls, n, rare, own for the prefix of each set under the first order.
 
-    frequent: tokens known to be shared, the most frequent last, those from `common` on by many. rare counts a set's
-    tokens that aren't shared by many: of near copies, the one that the others were made from has the fewest. own tells
-    whether the token is one of these.
+    frequent: tokens known to be shared, the most frequent last, and how many documents each was seen in. rare counts a
+    set's tokens that aren't shared by many: of near copies, the one that the others were made from has the fewest. own
+    tells whether the token is one of these. salt is 0, or for very long lists the part (from 1) that a class is in.
     """
-    order = np.argsort(frequent)
-    shared = rows.sparkSession.sparkContext.broadcast((frequent[order], order))
+    order, common = np.argsort(frequent), int(np.searchsorted(seen, COMMON))
+    parts = np.where(seen > LIST_ROWS, seen // LIST_ROWS + 1, 0).astype(np.int32)
+    shared = rows.sparkSession.sparkContext.broadcast((frequent[order], order, parts if parts.any() else None))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = shared.value
-        seen: set[int] = set()  # classes sent by this task; may be forgotten without harm
+        known, place, parts = shared.value
+        done: set[int] = set()  # classes sent by this task; may be forgotten without harm
         for batch in batches:
-            token, cls, n, rare, own = [], [], [], [], []
+            token, salt, cls, n, rare, own = [], [], [], [], [], []
             for _, s in _sets(text_bytes(batch.column(0)), size):
                 c = _class_id(s)
-                if not len(s) or c in seen:
+                if not len(s) or c in done:
                     continue
-                seen.add(c)
+                done.add(c)
                 p = prefix_size(len(s), threshold)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     often = known[at] == s
                     ranks = place[at[often]]
                     first, lone = s[~often][:p], len(s) - int((ranks >= common).sum())
-                    if len(first) < p:
-                        first = np.concatenate((first, s[often][np.argsort(ranks)][: p - len(first)]))
+                    late = np.argsort(ranks)[: p - len(first)] if len(first) < p else ranks[:0]
+                    salts = np.zeros(len(first) + len(late), np.int32)
+                    if parts is not None and len(late):
+                        of = parts[ranks[late]].astype(np.int64)
+                        salts[len(first) :] = np.where(of > 0, c % np.maximum(of, 1) + 1, 0)
+                    first = np.concatenate((first, s[often][late]))
                 else:
-                    first, lone = s[:p], len(s)
+                    first, lone, salts = s[:p], len(s), np.zeros(min(p, len(s)), np.int32)
+                salt.append(salts)
                 token.append(first)
                 cls.append(np.full(len(first), c, np.int64))
                 n.append(np.full(len(first), len(s), np.int32))
                 rare.append(np.full(len(first), lone, np.int32))
                 own.append(np.arange(len(first)) < lone)
-            if len(seen) > 200_000:
-                seen.clear()
+            if len(done) > 200_000:
+                done.clear()
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(n)), pa.array(np.concatenate(rare)), pa.array(np.concatenate(own))], ["token", "cls", "n", "rare", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(salt)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(n)), pa.array(np.concatenate(rare)), pa.array(np.concatenate(own))], ["token", "salt", "cls", "n", "rare", "own"])
 
-    return rows.select("text").mapInArrow(emit, "token long, cls long, n int, rare int, own boolean")
+    return rows.select("text").mapInArrow(emit, _POSTING)
+
+
+_POSTING = "token long, salt int, cls long, n int, rare int, own boolean"
 
 
 def _leaders(postings: DataFrame, threshold: int) -> DataFrame:
@@ -185,29 +196,31 @@ def _leaders(postings: DataFrame, threshold: int) -> DataFrame:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = last = None  # of the list at hand
+        token = last = None  # of the list at hand; a token and its salt
         leaders: list[tuple[int, int]] = []
-        first: tuple[int, int, int, int, bool] | None = None  # a list's first member, held until a second one comes
+        first: tuple | None = None  # a list's first member, held until a second one comes
         for batch in batches:
-            t = batch.column(0).to_numpy()
-            # Most lists have one member; leave them out at once.
-            alone = np.ones(len(t), bool)
+            t, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # Most lists have one member; leave them out at once, but not parts of a list.
+            alone = salt == 0
             if len(t) > 1:
-                same = t[1:] == t[:-1]
+                same = (t[1:] == t[:-1]) & (salt[1:] == salt[:-1])
                 alone[1:] &= ~same
                 alone[:-1] &= ~same
             alone[0] = alone[-1] = False  # their lists may go on in other batches
             out: list[tuple] = []
             for row in zip(*(c.filter(pa.array(~alone)).to_pylist() for c in batch.columns), strict=True):
-                x, cls, size = row[:3]
+                x, cls, size = row[:2], row[2], row[3]
                 if x != token:
+                    if first is not None and first[1]:
+                        out.append((*first, first[2]))
                     token, leaders, last, first = x, [(cls, size)], cls, row
                     continue
                 if cls == last:
                     continue
                 last = cls
                 if first is not None:
-                    out.append((*first, first[1]))
+                    out.append((*first, first[2]))
                     first = None
                 lead = next((a for a, m in leaders if 100 * min(m, size) >= threshold * max(m, size)), None)
                 if lead is None:
@@ -215,10 +228,16 @@ def _leaders(postings: DataFrame, threshold: int) -> DataFrame:
                     lead = cls
                 out.append((*row, lead))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()), strict=True)], ["token", "cls", "n", "rare", "own", "leader"])
+                yield rows_of(out)
+        if first is not None and first[1]:
+            yield rows_of([(*first, first[2])])
+
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], ["token", "salt", "cls", "n", "rare", "own", "leader"])
 
     central = (1000 * F.col("rare") / F.col("n")).cast("int")
-    return postings.repartition("token").sortWithinPartitions("token", central, "n", "cls").mapInArrow(emit, "token long, cls long, n int, rare int, own boolean, leader long")
+    return postings.repartition("token", "salt").sortWithinPartitions("token", "salt", central, "n", "cls").mapInArrow(emit, _POSTING + ", leader long")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -293,10 +312,14 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     top = counts.orderBy(F.desc("seen"), "token").limit(FREQUENT).select("token", "seen").toArrow()
     token, seen = (top.column(c).to_numpy() for c in ("token", "seen"))
     order = np.lexsort((token, seen))
-    common = int(np.searchsorted(seen[order], COMMON))
-
-    lists = written(_leaders(_postings(rows, size, threshold, token[order].view(np.uint64), common), threshold), "lists")
-    stars = written(lists.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
+    token, seen = token[order].view(np.uint64), seen[order]
+
+    lists = written(_leaders(_postings(rows, size, threshold, token, seen), threshold), "lists")
+    pairs = lists.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
+    if len(seen) and seen[-1] > LIST_ROWS:  # the leaders of a long list's parts make a list of their own
+        above = lists.where("salt > 0 and cls = leader").withColumn("salt", F.lit(0)).drop("leader")
+        pairs = pairs.unionAll(_leaders(above, threshold).where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")))
+    stars = written(pairs.distinct(), "stars")
     one = profile.where("cls is not null").groupBy("cls").agg(F.min_by(F.struct("doc_id", "text_key", "n", "sig"), F.struct("doc_id", "text_key")).alias("d"))
     classes = written(one.select("cls", "d.*"), "classes")
     likely = _possible(stars, classes, threshold)
@@ -339,7 +362,8 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRE
     groups = components(links.unionByName(several)).withColumnRenamed("node", "cls")
     held = members.join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     held = written(held.select("doc_id", "text_key", "n_shingles", "component"), "members")
-    low = held.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    # Written, so that both sides of the join are plain shuffles and Spark can split a component that many rows share.
+    low = written(held.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "components")
     return held.join(low, "component", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
