@@ -43,7 +43,7 @@ def test_many_blocks():
         s.get(20_000)
 
 
-@given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60) | st.text(alphabet="abIS'.,<|>endoftext \t́éİ ", max_size=40))
+@given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60) | st.text(alphabet="abIS'.,<|>endoftext \t́éİ ", max_size=40) | st.text(alphabet="abcéßœžǆάςσωжяІŉſK", max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_words_encode_as_whole_texts_do(text):
     enc = test_words_encode_as_whole_texts_do.__dict__.setdefault("enc", WordEncoder(tokenizer_path(), cache_words=50))

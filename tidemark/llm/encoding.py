@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections import ChainMap
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -12,6 +15,16 @@ from .common import chunked
 WORD_BPE = "word_bpe_49k.json"
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones are themselves, others follow 255."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, extra = [], 256
+    for b in range(256):
+        out.append(chr(b if b in plain else extra))
+        extra += b not in plain
+    return out
+
+
 def tokenizer_path(name: str = WORD_BPE) -> str:
     """Where the box keeps a public tokenizer's file."""
     import public_tokenizers
@@ -40,14 +53,38 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
         self.most = cache_words
+        spec = json.loads(self.tokenizer.to_str())
+        self.model = self.tokenizer.model if self._plain_words(spec) else None
+        self.letters = dict(enumerate(byte_letters()))
         added = self.tokenizer.get_added_tokens_decoder()
         self.between, self.mark = next(((t.content, i) for i, t in added.items() if t.special and not t.lstrip and not t.rstrip), ("", -1))
 
+    @staticmethod
+    def _plain_words(spec: dict) -> bool:
+        """Whether a word of composed, lower-case letters is one piece that reaches the model as its bytes' letters."""
+        normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        split, last = before[0], before[-1]
+        letters = split.get("type") == "Split" and r"[\p{L}]+" in split["pattern"].get("Regex", "") and split["behavior"] == "Removed" and split["invert"]
+        return bool(normal == ["NFC", "Replace", "Lowercase"] and letters and len(before) == 2 and last.get("type") == "ByteLevel" and not last["add_prefix_space"] and not last["use_regex"])
+
     def _ask(self, wanted: list[bytes]) -> list[bytes]:
-        """The library's ids of each word. Plain words go in one text, with a special token between them."""
+        """The library's ids of each word.
+
+        Words of composed, lower-case Latin, Greek or Cyrillic letters go to its model at once, as its normaliser and
+        splitter would pass them on unchanged. Others go through all of it, in one text with a special token between.
+        """
         texts = [w.decode("utf-8") for w in wanted]
         out: list[bytes] = [b""] * len(texts)
-        plain = [i for i, t in enumerate(texts) if self.between and "<" not in t]
+        rest = range(len(texts))
+        if self.model is not None:
+            rest, tokenize, letters = [], self.model.tokenize, self.letters
+            for i, (w, t) in enumerate(zip(wanted, texts, strict=True)):
+                if t.isalpha() and (t.isascii() or max(t) < "\u0500" and is_normalized("NFC", t)) and t == t.lower():
+                    out[i] = array("I", [x.id for x in tokenize(w.decode("latin-1").translate(letters))]).tobytes()
+                else:
+                    rest.append(i)
+        plain = [i for i in rest if self.between and "<" not in texts[i]]
         for k in range(0, len(plain), self.JOINED):
             some = plain[k : k + self.JOINED]
             [found] = self.tokenizer.encode_batch_fast([self.between.join([texts[i] for i in some])], add_special_tokens=False)
@@ -56,7 +93,7 @@ class WordEncoder:
             held = ids.tobytes()
             for i, a, b in zip(some, (4 * cuts[:-1] + 4).tolist(), (4 * cuts[1:]).tolist(), strict=True):
                 out[i] = held[a:b]
-        if other := sorted(set(range(len(texts))).difference(plain)):
+        if other := sorted(set(rest).difference(plain)):
             for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, "<u4").tobytes()
         return out

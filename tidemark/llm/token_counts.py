@@ -19,20 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunked, small_batches, text_bytes
+from .encoding import byte_letters
 
 END = "</w>"
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: printable ones are themselves, others follow 255."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    out, extra = [], 256
-    for b in range(256):
-        out.append(chr(b if b in plain else extra))
-        extra += b not in plain
-    return out
-
-
 class LongestMatch:
     """Counts the pieces of greedy longest-match-first tokenization. A word ends in the symbol END."""
 
