@@ -119,6 +119,32 @@ def test_chat(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_keeps_content_and_calls_without_an_identifier(spark):
+    calls = [
+        {"id": "a", "name": "lookup", "arguments": {"key": "k"}},
+        {"name": "lookup", "arguments": {"key": {"$ref": "a"}}},
+        {"name": "lookup", "arguments": {"key": "v"}},
+        {"name": "search", "arguments": {"query": "x"}},
+    ]
+    rows = [
+        (1, 0, "assistant", json.dumps({"content": 'let me "see"', "tool_calls": calls[:3]})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "found"})),
+        (1, 2, "assistant", json.dumps({"content": None, "tool_calls": calls[3:]})),
+        (1, 3, "assistant", json.dumps({"content": "no calls", "tool_calls": []})),
+        (None, 0, "assistant", json.dumps({"content": "", "tool_calls": calls[1:2]})),
+    ]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    found = Counter((r.conv_id, r.turn, r.nth, r.call_id, r.linked, r.valid, r.level, json.loads(r.json)["name"]) for r in got if r.kind == "call")
+    assert found == Counter([
+        (1, 0, 0, "a", True, True, 0, "lookup"), (1, 0, 1, None, False, False, 1, "lookup"), (1, 0, 2, None, False, True, 0, "lookup"),
+        (1, 2, 0, None, False, True, 0, "search"), (None, 0, 0, None, False, False, None, "lookup"),
+    ])
+    assert Counter((r.conv_id, r.turn, r.nth, json.loads(r.json)["content"]) for r in got if r.kind == "message") == Counter([(1, 0, 0, 'let me "see"'), (1, 3, 0, rows[3][3]), (None, 0, 0, "")])
+    assert len([r for r in got if r.kind == "result" and r.linked]) == 1 and len(got) == 9
+    for r in got:
+        assert json.dumps(json.loads(r.json), separators=(",", ":"), sort_keys=True, ensure_ascii=False) == r.json
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -1,15 +1,15 @@
 """Chat formatting with linked tool calls, in DataFrame functions only.
 
-An assistant's message that is a JSON object with `tool_calls` (a list of objects with id, name and arguments) holds
-calls; a tool's message that is a JSON object with `tool_call_id` and `content` is a result. Results are joined to
-calls by conversation and identifier, calls are put in topological order of the results their arguments name
-({"$ref": id}), arguments are checked against the tools' schemas, and every message is written as canonical JSON: keys
-in order, no white space. All joins are by conversation and identifier, so a conversation of any length is spread.
+An assistant's message that is a JSON object with `tool_calls` (a list of objects with id, name and arguments, one of
+them with an id or a name) holds calls, beside a message where it has `content` too; a tool's message that is a JSON
+object with `tool_call_id` and `content` is a result. Results are joined to calls by conversation and identifier, calls
+are put in topological order of the results their arguments name ({"$ref": id}), arguments are checked against the
+tools' schemas, and every message is written as canonical JSON: keys in order, no white space. All joins are by conversation and identifier, so a conversation of any length is spread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -22,17 +22,28 @@ TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
 }
 #: Names that Spark gives the types of JSON values.
 _TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
-_CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
+_CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
 
 
+def _holds_calls() -> Column:
+    found = F.exists(F.from_json("text", _CALLS)["tool_calls"], lambda c: c["id"].isNotNull() | c["name"].isNotNull())
+    return F.coalesce((F.col("role") == "assistant") & F.ltrim("text").startswith("{") & found, F.lit(False))
+
+
+def _key() -> Column:
+    """What tells calls of a conversation apart in their order: identifiers, or else arguments, which set the level."""
+    return F.coalesce(F.concat(F.lit("="), "call_id"), F.concat(F.lit("?"), F.coalesce("arguments", F.lit(""))))
+
+
 def tool_calls(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, call_id, name, arguments (canonical JSON, null where it is no JSON object), nth in its message."""
+    """conv_id, turn, call_id (null where a call has none), name, arguments (canonical JSON, null where it is no JSON
+    object), nth in its message."""
     parsed = F.from_json("text", _CALLS)["tool_calls"]
-    calls = messages.where((F.col("role") == "assistant") & F.ltrim("text").startswith("{")).select("conv_id", "turn", F.posexplode(parsed).alias("nth", "c"))
+    calls = messages.where(_holds_calls()).select("conv_id", "turn", F.posexplode(parsed).alias("nth", "c"))
     arguments = F.try_parse_json(F.coalesce("c.arguments", F.lit("{}")))
     canonical = F.when(F.schema_of_variant(arguments).startswith("OBJECT"), F.to_json(arguments))
-    return calls.where("c.id is not null").select("conv_id", "turn", "nth", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), canonical.alias("arguments"))
+    return calls.select("conv_id", "turn", "nth", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), canonical.alias("arguments"))
 
 
 def tool_results(messages: DataFrame) -> DataFrame:
@@ -60,25 +71,25 @@ def validated(calls: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: 0 for calls that name no other call's result, else one more than the calls they name.
+    """conv_id, key, level: 0 for calls that name no other call's result, else one more than the calls they name.
 
     Calls on a cycle, or that name one, have no level. One join for each level; stops when a round adds none.
     """
     named = F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$ref":"((?:[^"\\]|\\.)+)"'), F.lit(1)))
-    one = calls.groupBy("conv_id", "call_id").agg(F.min_by("arguments", F.struct("turn", "nth")).alias("arguments"))
-    needs = one.select("conv_id", "call_id", F.explode(named).alias("need"))
-    known = one.select("conv_id", F.col("call_id").alias("need"))
+    one = calls.groupBy("conv_id", _key().alias("key")).agg(F.min_by("arguments", F.struct("turn", "nth")).alias("arguments"))
+    needs = one.select("conv_id", "key", F.explode(F.transform(named, lambda x: F.concat(F.lit("="), x))).alias("need"))
+    known = one.select("conv_id", F.col("key").alias("need"))
     needs = written(needs.join(known, ["conv_id", "need"]), "needs")  # names of calls that there are
-    done = one.join(needs.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
+    done = one.join(needs.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_anti").select("conv_id", "key", F.lit(0).alias("level"))
     if needs.isEmpty():
         return done
     done = written(done, "levels")
     total = done.count()
     while True:
-        held = needs.join(done.withColumnsRenamed({"call_id": "need", "level": "below"}), ["conv_id", "need"], "left")
-        ready = held.groupBy("conv_id", "call_id").agg(F.max("below").alias("top"), F.count_if(F.col("below").isNull()).alias("open"))
-        ready = ready.where("open = 0").select("conv_id", "call_id", (F.col("top") + 1).cast("int").alias("level"))
-        done = written(done.unionByName(ready.join(done, ["conv_id", "call_id"], "left_anti")), "levels")
+        held = needs.join(done.withColumnsRenamed({"key": "need", "level": "below"}), ["conv_id", "need"], "left")
+        ready = held.groupBy("conv_id", "key").agg(F.max("below").alias("top"), F.count_if(F.col("below").isNull()).alias("open"))
+        ready = ready.where("open = 0").select("conv_id", "key", (F.col("top") + 1).cast("int").alias("level"))
+        done = written(done.unionByName(ready.join(done, ["conv_id", "key"], "left_anti")), "levels")
         after = done.count()
         if after == total:
             return done
@@ -88,26 +99,28 @@ def levels(calls: DataFrame) -> DataFrame:
 def format_chat(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] = TOOLS) -> DataFrame:
     """One row for each message, call and result: conv_id, turn, nth, kind, call_id, linked, valid, level, json.
 
-    kind is message, call or result. A call is linked when a result names it, a result when a call at an earlier or
+    kind is message, call or result. A message with calls gives a row for each call and, where its content isn't null,
+    a message with that content; calls without an identifier have a null call_id and aren't linked. A call is linked when a result names it, a result when a call at an earlier or
     the same turn has its identifier (the first such call, where several share it). A conversation is written by
-    ordering its rows by turn, level (null last) and nth. Messages that look like JSON but don't parse are plain
-    messages; null texts and roles are JSON nulls; rows with a null conversation or turn stay, linked with nothing;
+    ordering its rows by turn, level (null last), nth and kind (messages before calls). Messages that
+    look like JSON but don't parse are plain messages; null texts and roles are JSON nulls; rows with a null conversation or turn stay, linked with nothing;
     repeated rows give repeated rows. An empty table gives an empty result.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     calls = validated(tool_calls(rows), tools)
     results = tool_results(rows)
-    is_call = F.coalesce((F.col("role") == "assistant") & F.ltrim("text").startswith("{") & F.exists(F.from_json("text", _CALLS)["tool_calls"], lambda c: c["id"].isNotNull()), F.lit(False))
+    is_call = _holds_calls()
     is_result = F.coalesce((F.col("role") == "tool") & F.ltrim("text").startswith("{") & F.from_json("text", _RESULT)["tool_call_id"].isNotNull(), F.lit(False))
-    plain = rows.where(~is_call & ~is_result).select(
+    content = F.when(is_call, F.from_json("text", _CALLS)["content"]).otherwise(F.col("text"))
+    plain = rows.where(~is_result & (~is_call | content.isNotNull())).select(
         "conv_id", "turn", F.lit(0).alias("nth"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("boolean").alias("linked"), F.lit(None).cast("boolean").alias("valid"), F.lit(0).alias("level"),
-        F.to_json(F.struct(F.col("text").alias("content"), "role", "turn"), {"ignoreNullFields": "false"}).alias("json"),
+        F.to_json(F.struct(content.alias("content"), "role", "turn"), {"ignoreNullFields": "false"}).alias("json"),
     )
     answered = results.groupBy("conv_id", "call_id").agg(F.max("turn").alias("last"))
     asked = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("first"), F.min_by("name", F.struct("turn", "nth")).alias("name"))
     canonical = lambda *parts: F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
     member = lambda key, column: F.regexp_extract(F.to_json(F.struct(column.alias(key)), {"ignoreNullFields": "false"}), r"(?s)^\{(.*)\}$", 1)
-    out_calls = calls.join(answered, ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"], "left").select(
+    out_calls = calls.join(answered, ["conv_id", "call_id"], "left").withColumn("key", _key()).join(levels(calls), ["conv_id", "key"], "left").select(
         "conv_id", "turn", "nth", F.lit("call").alias("kind"), "call_id", F.coalesce(F.col("last") >= F.col("turn"), F.lit(False)).alias("linked"), "valid", "level",
         canonical(F.concat(F.lit('"arguments":'), F.coalesce("arguments", F.lit("null"))), member("id", F.col("call_id")), member("name", F.col("name")), F.lit('"role":"assistant"'), member("turn", F.col("turn"))).alias("json"),
     )
