@@ -41,6 +41,41 @@ def test_automaton_finds_every_word_within_one_edit():
         assert lexicon.match(w) == want, w
 
 
+def test_automaton_meets_misspelled_stems_and_short_terms():
+    terms = {"vequor": toxicity.STEM, "zork": toxicity.STEM, "scum": toxicity.EXACT, "blockhead": toxicity.EXACT}
+    rng = random.Random(2)
+    words = {"", "v", "zor", "scu", "cum", "vequo", "equor"}
+    for t in terms:
+        for _ in range(300):
+            w = list(t + "".join(rng.choice("ae") for _ in range(rng.randint(0, 3))))
+            for _ in range(rng.randint(0, 2)):
+                k, c = rng.randrange(len(w) + 1), rng.choice("cekmoqruvz")
+                w[k : k + rng.randint(0, 1)] = [c] if rng.random() < 0.7 else []
+            words.add("".join(w))
+    close = lambda w, t, kind: min(_edits(w[:n], t) for n in range(len(w) + 1)) <= 1 if kind == toxicity.STEM else _edits(w, t) <= 1
+    for near, clean in ((None, frozenset()), (frozenset(), frozenset()), (frozenset(terms) - {"blockhead"}, frozenset({"scu", "vequo"}))):
+        lexicon = toxicity.Lexicon(terms, near, clean)
+        met = {"blockhead"} | (near if near is not None else {"vequor"})
+        for w in words:
+            exact = max((k for t, k in terms.items() if w == t or k == toxicity.STEM and w.startswith(t)), default=0)
+            want = exact or (toxicity.FUZZY if any(close(w, t, terms[t]) for t in met if t == "blockhead" or w not in clean) else 0)
+            assert lexicon.match(w) == want, w
+
+
+def test_clean_rows_guard_stems_and_short_terms(spark, documents):
+    terms = {"scum": toxicity.EXACT, "lowei": toxicity.STEM, "blockhead": toxicity.EXACT}
+    words = [("scam", 1, 40), ("scumm", 30, 1), ("scut", 0, 1)] + [(f"lower{i}", 0, 1) for i in range(9)]
+    assert toxicity.learn_near(terms, words, 100, 1000) == (frozenset({"scum"}), frozenset({"scam", "scut"}))
+    assert toxicity.learn_near(terms, [], 5, 5) == (frozenset(), frozenset())  # too few rows to tell
+    plain = ["alpha", "beta", "gamma", "scam"]
+    toxic = lambda i: ["scum", "vequor" + "abcdefgh"[i // 7 % 8] * 3][i // 7 % 2]
+    docs = [(i, f"{plain[i % 4]} own{i} {plain[i % 3]} text{i} {toxic(i) if i % 7 == 0 else 'delta'}") for i in range(1400)]
+    docs += [(2000, "alpha scumm beta"), (2001, "alpha veqorxyz beta"), (2002, "alpha scam beta")]
+    model = toxicity.fit(documents(docs), spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(1400)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(documents(docs), model).collect()}
+    assert got[2000] and got[2001] and not got[2002]
+
+
 def test_quotation_weighs_less_than_abuse():
     m = toxicity.Matcher(toxicity.Lexicon({"idiot": toxicity.EXACT}))
     x = m.features([b"you are an idiot and so on", 'he said "such an idiot" and left'.encode(), "er schrieb « idiot » dort".encode(), None, b""])

@@ -1,8 +1,10 @@
 """Toxicity scores from a learned lexicon, matched by Levenshtein automata.
 
 A lexicon of terms (whole words, or stems that many words begin with) is learned from labelled texts. It is kept as a
-trie. For every word of a text a Levenshtein automaton, run along the trie's edges, finds the term within one edit
-(exact matches and stems first), so misspelled terms count too. Each hit is weighed by the words around it: quotation
+trie. For every word of a text a Levenshtein automaton, run along the trie's edges, finds the term within one edit, or
+the stem within one edit of some prefix (exact matches and stems first), so misspelled terms count too. Stems and short
+terms have many neighbours: they are matched so only where clean labelled texts hold few words that are near, and
+words that those texts hold as often as others don't count. Each hit is weighed by the words around it: quotation
 marks and words of reporting speak for a quotation, words of address for abuse. A logistic model turns the sums of a
 text into a score.
 """
@@ -32,6 +34,8 @@ SHORTEST, LONGEST_STEM = 3, 8
 #: Words on each side of a hit that its context takes in.
 CONTEXT = 6
 FUZZY_LETTERS = 5
+#: Share of clean rows that may hold an unseen word near a stem or a short term, for it to be matched with an edit.
+NEAR_SHARE = 0.002
 REPORTING = frozenset("said says say quote quoted quotes wrote writes called reported word term sagte schrieb dit écrit dijo escribió".split())
 ADDRESS = frozenset("you your yours you're u du dich dir tu toi vous te tú usted".split())
 
@@ -44,22 +48,48 @@ class Node:
     kind: int = 0
 
 
-class Lexicon:
-    """A trie of terms. Stems match every word that begins with them; other terms match words within one edit."""
+class Trie:
+    """Terms that are met by automaton, and what words near them must hold."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms, self.root, self.words = terms, Node(), Node()
-        # One edit leaves the first or the last half of a term as it is: so a word must begin or end with one.
+        self.root = Node()
+        # One edit leaves the first or the last half of a term as it is: so a word must begin or end with one. What
+        # follows a stem is open: there its last half may be at three places.
         self.starts: set[str] = set()
         self.ends: set[str] = set()
+        self.middles: dict[tuple[int, int], set[str]] = {}
         for term, kind in terms.items():
-            self._add(self.root, term, kind)
-            if kind == EXACT and len(term) >= FUZZY_LETTERS:  # short terms have too many neighbours
-                self._add(self.words, term, kind)
-                self.starts.add(term[: len(term) // 2])
-                self.ends.add(term[len(term) // 2 :])
+            Lexicon._add(self.root, term, kind)
+            half = len(term) // 2
+            self.starts.add(term[:half])
+            if kind == STEM:
+                for at in (half - 1, half, half + 1):
+                    self.middles.setdefault((at, len(term) - half), set()).add(term[half:])
+            else:
+                self.ends.add(term[half:])
         self.start_sizes, self.end_sizes = sorted({len(x) for x in self.starts}), sorted({len(x) for x in self.ends})
 
+    def near(self, word: str) -> bool:
+        """Whether a word may be near a term."""
+        return any(word[:n] in self.starts for n in self.start_sizes) or any(word[-n:] in self.ends for n in self.end_sizes) or any(word[at : at + n] in held for (at, n), held in self.middles.items())
+
+
+class Lexicon:
+    """A trie of terms. Stems match every word that begins with them; other terms match words within one edit.
+
+    `near` are the stems, and the terms of under FUZZY_LETTERS letters, that are met with an edit as well (null: stems
+    of that many letters), but for words in `clean`.
+    """
+
+    def __init__(self, terms: dict[str, int], near: frozenset[str] | None = None, clean: frozenset[str] = frozenset()):
+        self.terms, self.root, self.clean = terms, Node(), clean
+        for term, kind in terms.items():
+            self._add(self.root, term, kind)
+        if near is None:
+            near = frozenset(t for t in guarded(terms) if len(t) >= FUZZY_LETTERS)
+        self.words = Trie({t: k for t, k in terms.items() if k == EXACT and len(t) >= FUZZY_LETTERS})
+        self.guarded = Trie({t: k for t, k in terms.items() if t in near})
+
     @staticmethod
     def _add(node: Node, term: str, kind: int) -> None:
         for c in term:
@@ -77,22 +107,24 @@ class Lexicon:
                 return STEM
         if node is not None and node.kind:
             return node.kind
-        near = any(word[:n] in self.starts for n in self.start_sizes) or any(word[-n:] in self.ends for n in self.end_sizes)
-        return FUZZY if near and self._within_one(word) else 0
+        return FUZZY if self._within_one(self.words, word) or word not in self.clean and self._within_one(self.guarded, word) else 0
 
-    def _within_one(self, word: str) -> bool:
-        """Intersects the trie with the automaton of all strings one edit from the word.
+    @staticmethod
+    def _within_one(trie: Trie, word: str) -> bool:
+        """Intersects the trie with the automaton of all strings one edit from the word, or for stems from a prefix.
 
         Bit i of a state says that i letters of the word are consumed: `same` without an edit, `one` with one.
         """
+        if not trie.near(word):
+            return False
         place: dict[str, int] = {}
         for i, c in enumerate(word):
             place[c] = place.get(c, 0) | 1 << i
         full, end = (1 << len(word) + 1) - 1, 1 << len(word)
-        todo = [(self.words, 1, 2)]
+        todo = [(trie.root, 1, 2)]
         while todo:
             node, same, one = todo.pop()
-            if node.kind and one & end:
+            if node.kind and one & (full if node.kind == STEM else end):
                 return True
             for c, child in node.next.items():
                 on = place.get(c, 0)
@@ -104,6 +136,28 @@ class Lexicon:
         return False
 
 
+def guarded(terms: dict[str, int]) -> list[str]:
+    """Terms that need evidence to be met with an edit: stems and short terms, which have many neighbours."""
+    return [t for t, kind in terms.items() if kind == STEM or len(t) < FUZZY_LETTERS]
+
+
+def learn_near(terms: dict[str, int], words: list[tuple[str, int, int]], positive: int, negative: int) -> tuple[frozenset[str], frozenset[str]]:
+    """Guarded terms that are met with an edit, and words that aren't, from (word, positive rows, negative rows).
+
+    A word near a term that clean rows hold counts as a misspelling only where it is LEAST_RATIO times likelier in
+    positive rows. The clean words that one row alone holds estimate how many more there are (Good and Turing): a term
+    with too many isn't met with an edit.
+    """
+    clean = {w: neg for w, pos, neg in words if neg and pos / max(1, positive) < LEAST_RATIO * neg / max(1, negative)}
+    near = set()
+    for t in guarded(terms):
+        trie = Trie({t: terms[t]})
+        if 1 + sum(n == 1 and Lexicon._within_one(trie, w) for w, n in clean.items()) <= NEAR_SHARE * (1 + negative):
+            near.add(t)
+    every = Trie({t: terms[t] for t in near})
+    return frozenset(near), frozenset(w for w in clean if Lexicon._within_one(every, w))
+
+
 def learn_terms(units: list[tuple[str, int, int, int]], positive: int, negative: int) -> dict[str, int]:
     """Terms from (prefix, whole-word rows, positive rows, negative rows).
 
@@ -210,6 +264,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = PRIOR,
 class Model:
     terms: dict[str, int]
     weights: np.ndarray
+    near: frozenset[str] | None = None
+    clean: frozenset[str] = frozenset()
+
+    def matcher(self) -> Matcher:
+        return Matcher(Lexicon(self.terms, self.near, self.clean))
+
+
+def word_sets(texts: list[bytes | None]) -> Iterator[set[str]]:
+    """The distinct words of each text."""
+    for a, b in chunked(texts):
+        w = words(lowered(texts[a:b]), plain=True)
+        unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        spelled = [w.buffer[s:e].decode("utf-8", "replace") if e - s <= 64 else "" for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+            yield {spelled[k] for k in np.unique(inverse[i:j]).tolist()} - {""}
 
 
 class Units:
@@ -233,13 +302,9 @@ class Units:
         return out
 
     def of(self, texts: list[bytes | None]) -> Iterator[tuple[set[str], set[str]]]:
-        for a, b in chunked(texts):
-            w = words(lowered(texts[a:b]), plain=True)
-            unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-            spelled = [w.buffer[s:e].decode("utf-8", "replace") if SHORTEST <= e - s <= 64 else "" for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-            for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-                own = {spelled[k] for k in np.unique(inverse[i:j]).tolist()} - {""}
-                yield own, set().union(*map(self._prefixes, own))
+        for found in word_sets(texts):
+            own = {w for w in found if len(w) >= SHORTEST}
+            yield own, set().union(*map(self._prefixes, own))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -298,24 +363,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     others = {r.unit: r.n for r in against.collect()}
     terms = learn_terms([(u, whole, n, others.get(u, 0)) for u, (whole, n) in units.items()], positive, negative)
 
+    guards = {t: terms[t] for t in guarded(terms)}
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, exact, verdicts, rows = Trie(guards), Lexicon(terms, frozenset()), {}, {}
+        for batch in batches:
+            for own, label in zip(word_sets(text_bytes(batch.column(0))), batch.column(1).to_pylist(), strict=True):
+                for w in own:
+                    if w not in verdicts:
+                        verdicts[w] = not exact.match(w) and Lexicon._within_one(trie, w)
+                    if verdicts[w]:
+                        rows.setdefault(w, [0, 0])[label] += 1
+        if rows:
+            yield pa.RecordBatch.from_pydict({"word": list(rows), "pos": pa.array([n[1] for n in rows.values()], pa.int64()), "neg": pa.array([n[0] for n in rows.values()], pa.int64())})
+
+    counted = sample.select("text", "label").mapInArrow(beside, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    near, clean = learn_near(terms, [tuple(r) for r in counted.where("neg > 0").collect()], positive, negative)
+    model = Model(terms, np.zeros(6), near, clean)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(Lexicon(terms))
+        matcher = model.matcher()
         for batch in batches:
             x = matcher.features(text_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], ["label", *(f"x{i}" for i in range(5))])
 
     held = sample.select("text", "label").mapInArrow(measure, "label int, " + ", ".join(f"x{i} double" for i in range(5))).collect()
     x = np.array([tuple(r)[1:] for r in held], float)
-    return Model(terms, fit_logistic(x, np.array([r.label for r in held], float)))
+    return Model(terms, fit_logistic(x, np.array([r.label for r in held], float)), near, clean)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for every row; null and empty texts score as texts without hits."""
     small_batches(docs.sparkSession)
-    terms, weights = model.terms, model.weights
+    weights = model.weights
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(Lexicon(terms))
+        matcher = model.matcher()
         for batch in batches:
             x = matcher.features(text_bytes(batch.column(1)))
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
@@ -339,10 +422,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, columns as they are, that score below the limit."""
-    terms, weights = model.terms, model.weights
+    weights = model.weights
 
     def keep():
-        matcher = Matcher(Lexicon(terms))
+        matcher = model.matcher()
         return lambda texts: (1 / (1 + np.exp(-np.clip(matcher.features(texts) @ weights[:-1] + weights[-1], -30, 30))) < limit).tolist()
 
     return rows_where(docs, keep, text_col)
