@@ -76,6 +76,21 @@ def test_clean_rows_guard_stems_and_short_terms(spark, documents):
     assert got[2000] and got[2001] and not got[2002]
 
 
+def test_words_end_at_marks_of_any_script():
+    import unicodedata
+
+    rng = random.Random(6)
+    letters = "aé1ßяع字ไ😀“”—…«»\u00a0\u2003。、’ \n-x\u0301𝐚𐄀"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["a—", "“", "字" * 500_000 + "。b"]
+    w = toxicity.split([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        want = "".join(" " if unicodedata.category(c)[0] in "PSZC" else c for c in t.lower()).split()
+        assert [w.buffer[w.start[i] : w.end[i]].decode() for i in range(w.first[k], w.first[k + 1])] == want
+    m = toxicity.Matcher(toxicity.Lexicon({"idiot": toxicity.EXACT, "vequ": toxicity.STEM}))
+    x = m.features([t.encode() for t in ("such an idiot—no", "my\u00a0idiot…", "he said “idiot” there", "«vequandé»", "a vequ" + "é" * 90 + " b", "idiot" + "a" * 90, "ไ" * 300_000)])
+    assert x[0, 0] > 0 and x[1, 0] > 0 and x[2, 3] > 0 and x[3, 1] + x[3, 3] > 0 and x[4, 1] > 0 and not x[5:].any()
+
+
 def test_quotation_weighs_less_than_abuse():
     m = toxicity.Matcher(toxicity.Lexicon({"idiot": toxicity.EXACT}))
     x = m.features([b"you are an idiot and so on", 'he said "such an idiot" and left'.encode(), "er schrieb « idiot » dort".encode(), None, b""])

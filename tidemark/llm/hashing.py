@@ -6,6 +6,7 @@ batch are hashed with a handful of numpy calls; no Python object is made per wor
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,34 @@ _PLAIN = np.ones(256, bool)
 for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
     _PLAIN[_c] = False
 _PLAIN[0x80:] = False
+_marks: list[np.ndarray] = []
+
+
+def _mark_table() -> np.ndarray:
+    """For each code point past ASCII whether it is punctuation, a symbol, a space or a control character."""
+    if not _marks:
+        kinds = (unicodedata.category(chr(c)) for c in range(0x80, 0x110000))
+        _marks.append(np.concatenate((np.zeros(0x80, bool), np.fromiter((k[0] in "PSZ" or k == "Cc" for k in kinds), bool, 0x110000 - 0x80))))
+        _marks[0][[0x200B, 0xFEFF]] = True  # spaces without width
+    return _marks[0]
+
+
+def _add_marks(space: np.ndarray, raw: np.ndarray) -> None:
+    """Marks all bytes of such characters in `raw`, which is UTF-8, as separators."""
+    lead = np.flatnonzero(raw >= 0xC2)
+    if not len(lead):
+        return
+    b = np.concatenate((raw, np.zeros(3, np.uint8))).astype(np.int32)
+    first, low = b[lead], [b[lead + k] & 0x3F for k in (1, 2, 3)]
+    two = (first & 0x1F) << 6 | low[0]
+    three = (first & 0x0F) << 12 | low[0] << 6 | low[1]
+    four = (first & 0x07) << 18 | low[0] << 12 | low[1] << 6 | low[2]
+    code = np.where(first < 0xE0, two, np.where(first < 0xF0, three, np.minimum(four, 0x10FFFF)))
+    found = _mark_table()[code]
+    lead, size = lead[found], 2 + (first[found] >= 0xE0) + (first[found] >= 0xF0)
+    for k in range(4):
+        at = lead[size > k] + k
+        space[at[at < len(space)]] = True
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -70,8 +99,9 @@ class Words:
     buffer: bytes
 
 
-def words(texts: list[bytes | None], lower: bool = False, plain: bool = False) -> Words:
-    """Words of the texts (null: none). plain: letters and digits only, all other ASCII bytes separate."""
+def words(texts: list[bytes | None], lower: bool = False, plain: bool = False, marks: bool = False) -> Words:
+    """Words of the texts (null: none). plain: letters and digits only, all other ASCII bytes separate. marks: so do
+    punctuation, symbols and spaces past ASCII (the texts are UTF-8)."""
     texts = [t or b"" for t in texts]
     buffer = b"\n".join(texts)
     if lower:
@@ -91,7 +121,10 @@ def words(texts: list[bytes | None], lower: bool = False, plain: bool = False) -
                 break
             to = min(len(raw), at + 2 * (to - at))
         piece = raw[at:to]
-        s, e = _spans(separates[piece])
+        space = separates[piece]
+        if marks:
+            _add_marks(space, piece)
+        s, e = _spans(space)
         if len(s):
             up, down = _power_tables(max(_PIECE, len(piece)) + 1)
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * up[: len(piece)], dtype=np.uint64)))

@@ -4,7 +4,8 @@ A lexicon of terms (whole words, or stems that many words begin with) is learned
 trie. For every word of a text a Levenshtein automaton, run along the trie's edges, finds the term within one edit, or
 the stem within one edit of some prefix (exact matches and stems first), so misspelled terms count too. Stems and short
 terms have many neighbours: they are matched so only where clean labelled texts hold few words that are near, and
-words that those texts hold as often as others don't count. Each hit is weighed by the words around it: quotation
+words that those texts hold as often as others don't count. Words are runs of letters and digits of any script and any
+length; of a long one the first SPELLED letters are looked at, which decide about every term. Each hit is weighed by the words around it: quotation
 marks and words of reporting speak for a quotation, words of address for abuse. A logistic model turns the sums of a
 text into a score.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import chunked, rows_where, small_batches, text_bytes, written
 from .decontaminate import lowered
-from .hashing import shingle_sets, words
+from .hashing import Words, shingle_sets, words
 
 #: Labelled rows of each class that the lexicon and the model are fitted on, at most: the bound on the fit's sample.
 TRAIN_ROWS = 10_000
@@ -34,6 +35,7 @@ SHORTEST, LONGEST_STEM = 3, 8
 #: Words on each side of a hit that its context takes in.
 CONTEXT = 6
 FUZZY_LETTERS = 5
+SPELLED = 64
 #: Share of clean rows that may hold an unseen word near a stem or a short term, for it to be matched with an edit.
 NEAR_SHARE = 0.002
 REPORTING = frozenset("said says say quote quoted quotes wrote writes called reported word term sagte schrieb dit écrit dijo escribió".split())
@@ -190,6 +192,15 @@ def learn_terms(units: list[tuple[str, int, int, int]], positive: int, negative:
     return terms
 
 
+def split(texts: list[bytes | None]) -> Words:
+    return words(lowered(texts), plain=True, marks=True)
+
+
+def spelled(w: Words, at: int) -> str:
+    """The first letters of a word."""
+    return w.buffer[w.start[at] : min(int(w.end[at]), int(w.start[at]) + 4 * SPELLED)].decode("utf-8", "replace")[:SPELLED]
+
+
 class Matcher:
     """Finds hits of a lexicon in batches of texts; verdicts on words are remembered, up to a bound."""
 
@@ -203,7 +214,7 @@ class Matcher:
         """One row for each text: how much exact, stem, misspelled and quoted hits it has, and hits for each word."""
         out = np.zeros((len(texts), 5))
         for a, b in chunked(texts):
-            w = words(lowered(texts[a:b]), plain=True)
+            w = split(texts[a:b])
             if not len(w.hash):
                 continue
             unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -214,7 +225,7 @@ class Matcher:
             for i, (h, f) in enumerate(zip(unique.tolist(), first.tolist(), strict=True)):
                 v = known.get(h)
                 if v is None:
-                    v = known[h] = match(w.buffer[w.start[f] : w.end[f]].decode("utf-8", "replace")) if w.end[f] - w.start[f] <= 64 else 0
+                    v = known[h] = match(spelled(w, f))
                 verdicts[i] = v
             found = verdicts[inverse]
             for at in np.flatnonzero(found).tolist():
@@ -274,11 +285,11 @@ class Model:
 def word_sets(texts: list[bytes | None]) -> Iterator[set[str]]:
     """The distinct words of each text."""
     for a, b in chunked(texts):
-        w = words(lowered(texts[a:b]), plain=True)
-        unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        spelled = [w.buffer[s:e].decode("utf-8", "replace") if e - s <= 64 else "" for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        w = split(texts[a:b])
+        _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        found = [spelled(w, k) for k in first.tolist()]
         for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-            yield {spelled[k] for k in np.unique(inverse[i:j]).tolist()} - {""}
+            yield {found[k] for k in np.unique(inverse[i:j]).tolist()}
 
 
 class Units:
