@@ -61,6 +61,12 @@ def test_grid_of_variants():
     assert [r["ordinal"] for r in po.shuffled(rows, 1, 5)] == list(range(5)) and po.shuffled(rows, 1) == po.shuffled(rows, 1)
 
 
+def test_registered_sweep_is_the_whole_grid():
+    from tidemark.plans import study_plans as sp
+
+    assert [r["variant"] for r in sp.ROWS] == [r["variant"] for r in po.variant_rows()] and len(sp._one()) == 1
+
+
 def _truth(spark, n, **changes):
     ticks = _ticks(spark, n, **changes)
     marked = ep.tiers(ticks, EVENT)

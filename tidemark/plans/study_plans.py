@@ -17,7 +17,7 @@ TICK, FAST, SLOW = 900_000, 3_600_000, 18_000_000
 RULES = ep.Rules(tick=TICK, gap=1_800_000, context=3_600_000, required={"A": 800 * SCALE, "B": 1500 * SCALE, "C": 2500 * SCALE}, grace=2_700_000, slow=2500 * SCALE, stable=1_800_000, horizon=43_200_000, prearm=3_600_000, base=TICK)
 THRESHOLDS = {"price_range_bp": 26_000.0, "tick_travel_bp": 60_000.0, "trade_rate_s": 0.0064, "quote_volume_s": 55.0, "book_churn_s": 0.02, "imbalance_delta": 1.6}
 BASELINES = {"price_range_bp": 8_000.0, "tick_travel_bp": 14_000.0, "trade_rate_s": 0.0036, "quote_volume_s": 28.0, "book_churn_s": 0.011, "imbalance_delta": 0.6}
-ROWS = po.variant_rows(taus=(700, 2600), gains=(0.55, 1.20), transforms=("sqrt_excess", "log_excess"), weights={"balanced": po.WEIGHTS["balanced"]}, responses={"fidelity": po.RESPONSES["fidelity"]}, scale=SCALE)
+ROWS = po.variant_rows(scale=SCALE)
 ONE = "sqrt_excess-balanced-fidelity-tau700-g0.55"
 
 
