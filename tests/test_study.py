@@ -151,3 +151,22 @@ def test_boosting_uses_what_varies(spark):
 
 def test_json_has_no_nan():
     assert clean_json({"a": [float("nan"), 1.5], "b": float("inf")}) == {"a": [None, 1.5], "b": None}
+
+
+def test_model_queries_use_every_feature_and_the_whole_grid(spark, monkeypatch):
+    from tidemark.plans import model_plans as mp
+
+    hour, n = 3_600_000, 300
+    rows = spark.range(n).select(F.lit("spot").alias("channel"), (F.col("id") * hour).alias("bar_ms"), (F.col("id") % 3 == 0).cast("int").alias("label"), *(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(97)).cast("double").alias(c) for k, c in enumerate(mp.FEATURES)))
+    seen = {}
+    monkeypatch.setattr(mp, "training_rows", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(mp.models, "select_params", lambda rows, features, at, tie, grid=models.GRID: seen.setdefault("grid", tuple(grid))[-1])
+    monkeypatch.setattr(mp.models, "fit", lambda rows, features, params, at, tie: seen.update(fit=(rows, list(features), params)))
+    monkeypatch.setattr(mp.models, "permutation_importance", lambda bundle, rows, at, tie, repeats=3: seen.update(held=rows, repeats=repeats))
+    mp.feature_importance(spark, "")
+    fitted, features, params = seen["fit"]
+    assert features == mp.FEATURES and params == models.GRID[2] and seen["repeats"] == 3
+    assert seen["held"].count() == 60 and fitted.agg(F.max("bar_ms")).first()[0] < seen["held"].agg(F.min("bar_ms")).first()[0] - 6 * hour
+    monkeypatch.setattr(mp.models, "walk_forward", lambda rows, features, params, *_: rows.selectExpr("0 as fold", "bar_ms", "label", f"{params.depth} as prob"))
+    seen.clear()
+    assert mp.gbt_walk_forward(spark, "").first().prob == models.GRID[2].depth and seen["grid"] == models.GRID

@@ -90,15 +90,18 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-sample probabilities of each fold with the parameters that did best on the first part."""
     rows = training_rows(spark, sf_dir)
-    params = models.select_params(rows, FEATURES, "bar_ms", "channel", models.GRID[:2])
+    params = models.select_params(rows, FEATURES, "bar_ms", "channel")
     out = models.walk_forward(rows, FEATURES, params, "bar_ms", "channel", 3, 0.4, 6 * HOUR)
     return out.select("fold", "bar_ms", "label", "prob")
 
 
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training_rows(spark, sf_dir)
-    bundle = models.fit(rows, FEATURES[:4], models.GRID[0], "bar_ms", "channel")
-    return models.permutation_importance(bundle, rows, "bar_ms", "channel", repeats=1)
+    """Importance of every feature on the held-out last part, for a model of the rows before with their best parameters."""
+    parts = written(validation.embargo_split(training_rows(spark, sf_dir), "bar_ms", "channel", 0.2, 6 * HOUR), "parts")
+    before, held = (parts.where(F.col("part") == p).drop("part") for p in ("selection", "holdout"))
+    params = models.select_params(before, FEATURES, "bar_ms", "channel")
+    bundle = models.fit(before, FEATURES, params, "bar_ms", "channel")
+    return models.permutation_importance(bundle, held, "bar_ms", "channel")
 
 
 _PROB = "floor((0.7 * ((doc_id * 7919 + n_chars) % 1009 / 1009.0::DOUBLE) + 0.25 * quality + 0.01) * 200) / 200.0::DOUBLE + 0.0025"
