@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -25,14 +26,49 @@ def test_hashes_tell_words_apart():
     assert len(h) == len(spelled) and len(set(zip(h, spelled, strict=True))) == len(set(h)) == len(set(spelled))
 
 
-def test_windows_are_equal_where_words_are():
+@pytest.mark.parametrize("size", [1, 2, 7, 12, 50, 64])
+def test_windows_are_equal_where_words_are(size):
     rng = random.Random(2)
     words = [rng.choice("abc") for _ in range(500)]
-    h = hashing.window_hashes(hashing.words([" ".join(words).encode()]).hash, 12)
-    seen = {}
-    for i, x in enumerate(h.tolist()):
-        assert seen.setdefault(x, tuple(words[i : i + 12])) == tuple(words[i : i + 12])
-    assert len(seen) == len({tuple(words[i : i + 12]) for i in range(489)})
+    words += words[100:300]
+    w = hashing.words([" ".join(words).encode()])
+    for h in (hashing.window_hashes(w.hash, size), hashing.mixed_windows(w.hash2, size)):
+        seen = {}
+        for i, x in enumerate(h.tolist()):
+            assert seen.setdefault(x, tuple(words[i : i + size])) == tuple(words[i : i + size])
+        assert len(h) == 701 - size and len(seen) == len({tuple(words[i : i + size]) for i in range(701 - size)})
+
+
+def test_rabin_karp_is_modulo_a_prime(monkeypatch):
+    monkeypatch.setattr(hashing, "_RUN", 64)  # several runs
+    value = hashing.mix(np.arange(1000, dtype=np.uint64))
+    p = (1 << 61) - 1
+    base = 0x5851F42D4C957F2D % p
+    want = [sum(int(value[i + j]) * pow(base, j, p) for j in range(50)) % p for i in range(951)]
+    assert (hashing.window_hashes(value, 50) == hashing.mix(np.array(want, np.uint64))).all()
+
+
+def _morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_repeat_a_pattern_differ(spark, documents):
+    """Thue-Morse words have equal polynomial hashes modulo powers of two, whatever the base."""
+    words = [_morse(n, *ab) for n in (8, 9, 255, 256, 257, 512, 1024, 2048, 4096) for ab in ("ab", "ba")]
+    w = hashing.words([" ".join(words).encode()])
+    assert len(set(w.hash.tolist())) == len(set(w.hash2.tolist())) == len(words)
+    rng = random.Random(8)
+    text = [f"w{rng.randint(0, 999)}" for _ in range(30)]
+    rows = [(k, " ".join([*text, x, *text])) for k, x in enumerate(words)] + [(100 + k, x) for k, x in enumerate(words)] + [(200, " ".join([*text, words[-1], *text]))]
+    rows += [(300 + k, " ".join(_morse(4096, *ab))) for k, ab in enumerate(("ab", "ba"))]
+    got = substring.remove_repeats(documents(rows)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got) == _plain_removal(rows, 50)
+    assert {r.doc_id for r in got if r.n_removed and r.doc_id < 300} == {200}
+    got = ngram_join.ngram_components(documents(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == _plain_groups(rows)
+    items = [(k, x) for k, x in enumerate(words)]
+    found = decontaminate.contained_items(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(r)[:4] for r in found} == _plain_contained(rows, items)
 
 
 def _plain_removal(rows, size):
@@ -143,7 +179,8 @@ def test_components_of_a_path(spark):
 
 
 def _plain_contained(docs, items):
-    spell = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    spell = lambda t: "".join(" " if unicodedata.category(c)[0] in "PSZ" or unicodedata.category(c) == "Cc" or c in "\u200b\ufeff" else c for c in (t or "").lower()).split(" ")
+    spell = lambda t, each=spell: [w for w in each(t) if w]
     out = set()
     for j, item in items:
         w = spell(item)
@@ -180,6 +217,33 @@ def test_contained_items(spark, documents, corpus):
     assert texts and decontaminate.contained_items(docs, table.limit(0)).count() == 0 and decontaminate.contained_items(documents([]), table).count() == 0
 
 
+def test_retyped_marks_hide_no_item(spark, documents):
+    rng = random.Random(4)
+    words = [f"w{rng.randint(0, 500)}é" for _ in range(40)]
+    item = ", ".join(words)
+    texts = ["“" + "”—“".join(words) + "”", "\u00a0«".join(words), "…".join(words[:31]), "…".join(words[:29]), "。".join(words)]
+    got = {tuple(r)[:4] for r in decontaminate.contained_items(documents(list(enumerate(texts))), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == _plain_contained(list(enumerate(texts)), [(1, item)]) and {d for d, *_ in got} == {0, 1, 2, 4}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_items_of_every_size_at_the_threshold(spark, documents, seed):
+    """Items of 1 to 300 words, of which texts hold about three quarters, in several pieces."""
+    rng = random.Random(seed)
+    items, rows = [], []
+    for j in range(60):
+        words = [f"v{rng.randint(0, 5000)}" for _ in range(rng.choice([1, 2, 4, 5, 6, 9, 17, 40, 130, 300]))]
+        items.append((j, " ".join(words)))
+        for _ in range(3):
+            some = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 15))):
+                some[rng.randrange(len(some))] = "other"
+            rows.append((len(rows), " ".join([f"x{rng.randint(0, 99)}" for _ in range(rng.randint(0, 30))] + some * rng.randint(1, 2))))
+    got = {tuple(r)[:4] for r in decontaminate.contained_items(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = _plain_contained(rows, items)
+    assert got == want and len(want) > 20
+
+
 def test_items_beyond_one_block(spark, documents, corpus, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 10)
     items = [(j, corpus[j][1]) for j in range(8)]

@@ -1,6 +1,7 @@
 """Exact Jaccard join on word shingles, filtered under several token orders, and the groups it links.
 
-A token is the 64-bit hash of a shingle of five words, and equal token sets form one class. Two sets of sizes m and n
+A token is the 64-bit hash of a shingle of five words, and equal token sets form one class (that the texts' sets agree
+under a second hash of their words is checked). Two sets of sizes m and n
 with a Jaccard similarity of 75 percent share a token among the first n - ceil(0.75 n) + 1 of each, in any order of all
 tokens; that holds under every order at once, so a pair must pass all filters:
 
@@ -91,6 +92,13 @@ def _sets(texts: list[bytes | None], size: int) -> Iterator[tuple[int, np.ndarra
             yield a + i, s
 
 
+def _two_sets(texts: list[bytes | None], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's set by the first and by the second hash of words."""
+    for a, b in chunked(texts):
+        w = words(texts[a:b], lower=True)
+        yield from zip(shingle_sets(w, size), shingle_sets(w.second(), size), strict=True)
+
+
 def _class_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -116,11 +124,11 @@ def _profiles(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             ids, keys, texts = batch.column(0), batch.column(1), text_bytes(batch.column(2))
             n, cls, digest, sig = [], [], [], []
-            for _, s in _sets(texts, size):
+            for s, other in _two_sets(texts, size):
                 n.append(len(s))
                 cls.append(_class_id(s) if len(s) else None)
                 sig.append(signature(s) if len(s) else None)
-                digest.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(hashlib.blake2b(other.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None)
                 if tokens + len(s) > CHUNK_TOKENS and held:
                     if (found := shared()) is not None:
                         yield found

@@ -58,7 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_ids, op2_toxicity, op3_token_counts, op4_decontaminate, op5_chat, op6_pack, op7_substring_dedup, op8_ngram_join, op9_secrets, op10_topk)}
 
 
-_WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+')"
+_WORDS = r"regexp_extract_all(lower(text), '[^\pP\pS\pZ\p{Cc}\x{200B}\x{FEFF}]+')"
 
 
 def _secret_spans(kind: int, pattern: str, where: str) -> str:

@@ -2,16 +2,16 @@
 
 A window is repeated when its word sequence also starts in a document with a smaller id. All windows of a text are
 hashed, each with its anchor: the least hash among the 16-word windows inside it. Equal windows have equal anchors, so
-only windows whose anchor occurs in two documents need counting, and all windows of one anchor meet in one place. The
-steps:
+only windows whose anchor occurs in two documents need counting. The steps:
 
 1. (anchor, document) pairs of all texts, grouped in Spark: which anchors lie in more than one document.
-2. Documents with such anchors send, for each run of consecutive windows with one anchor, the windows' hashes to the
-   anchor. A task sends equal runs of several documents once, for the smallest id: the others are repeats already.
-3. Each anchor's runs, in ascending document order, give the windows whose hash came with a smaller id.
+2. Documents with such anchors send these anchors' windows: Rabin-Karp hash, second hash, document, place. A task that
+   meets a window again in a larger id knows it to be a repeat and sends its interval alone.
+3. Spark finds the smallest id of each window, by its two hashes. A window that very many documents hold comes about
+   once from each task, so no task gets a hot group.
 4. The windows of each document merge into maximal intervals of words, which are cut from its text.
 
-Nothing is sampled or capped; a window counts as repeated when its 64-bit hash and the 64-bit hash of its anchor agree.
+Nothing is sampled or capped; a window counts as repeated when its Rabin-Karp hash and the second one agree (125 bits).
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunked, small_batches, text_bytes, written
-from .hashing import Words, window_hashes, words
+from .hashing import Words, mixed_windows, window_hashes, words
 
 WINDOW = 50
 ANCHOR = 16
@@ -39,19 +39,22 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(held[: len(held) - rest], held[rest:]) if rest else held
 
 
+#: Repeated windows that a task remembers from one batch to the next; may be forgotten without harm.
+REMEMBERED = 1 << 17
+
+
 class Windows:
-    """All windows of a batch of texts: hash, anchor, text and first word."""
+    """All windows of a batch of texts: text, first word, anchor and, where wanted, both hashes."""
 
-    def __init__(self, w: Words, size: int, anchor: int):
+    def __init__(self, w: Words, size: int, anchor: int, hashed: bool = True):
         n = len(w.hash) - size + 1
         ok = np.flatnonzero(w.doc[:n] == w.doc[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
         self.text = w.doc[ok]
         self.at = ok - w.first[self.text]
-        if len(ok):
-            self.hash = window_hashes(w.hash, size)[ok]
-            self.anchor = _sliding_min(window_hashes(w.hash, anchor, 0x2545F4914F6CDD1D), size - anchor + 1)[ok]
-        else:
-            self.hash = self.anchor = np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64)
+        self.anchor = _sliding_min(mixed_windows(w.hash, anchor), size - anchor + 1)[ok] if len(ok) else none
+        self.hash = window_hashes(w.hash, size)[ok] if hashed and len(ok) else none
+        self.hash2 = mixed_windows(w.hash2, size)[ok] if hashed and len(ok) else none
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """Where runs of consecutive windows of one text with one anchor begin, and end."""
@@ -73,7 +76,7 @@ def shared_anchors(rows: DataFrame, size: int, anchor: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), text_bytes(batch.column(1))
             for a, b in chunked(texts):
-                w = Windows(words(texts[a:b]), size, anchor)
+                w = Windows(words(texts[a:b]), size, anchor, hashed=False)
                 begin, _ = w.runs()
                 if len(begin):
                     yield pa.RecordBatch.from_arrays([pa.array(w.anchor[begin].view(np.int64)), pa.array(ids[a:b][w.text[begin]])], ["anchor", "doc_id"])
@@ -83,79 +86,81 @@ def shared_anchors(rows: DataFrame, size: int, anchor: int) -> DataFrame:
     return pairs.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
 
-_RUNS = "anchor long, doc_id long, text_key long, at int, n int, hashes binary"
+class Known:
+    """Repeated windows that a task has met, with the smallest id of each."""
+
+    def __init__(self):
+        self.hash = self.hash2 = np.zeros(0, np.uint64)
+        self.doc = np.zeros(0, np.int64)
+
+    def repeats(self, hash: np.ndarray, hash2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which of these windows are also in a smaller document, as far as the task knows."""
+        h = np.concatenate((self.hash, hash))
+        h2, d = np.concatenate((self.hash2, hash2)), np.concatenate((self.doc, doc))
+        order = np.lexsort((d, h2, h))
+        h, h2, d = h[order], h2[order], d[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])))[: len(h)]
+        begin = np.flatnonzero(new)
+        least = np.repeat(d[begin], np.diff(np.append(begin, len(d))))
+        out = np.empty(len(d), bool)
+        out[order] = d > least
+        known = begin[np.maximum.reduceat(d > least, begin)] if len(begin) else begin
+        held = len(self.doc)
+        if len(known) > REMEMBERED:
+            known = known[:0]
+        self.hash, self.hash2, self.doc = h[known], h2[known], d[known]
+        return out[held:]
+
+
+_SENT = "hash long, hash2 long, doc_id long, text_key long, at int, n int"
 
 
-def _anchored_runs(rows: DataFrame, anchors: DataFrame, size: int, anchor: int) -> DataFrame:
-    """Runs of windows with a shared anchor; runs known to be repeated have no hashes."""
+def _sent_windows(rows: DataFrame, anchors: DataFrame, size: int, anchor: int) -> DataFrame:
+    """Windows with a shared anchor, as (hash, hash2) at a place; and runs of n windows that are known to be repeated."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[tuple[int, bytes], int] = {}  # a run's smallest id so far; may be forgotten without harm
+        known = Known()
         for batch in batches:
-            ids, keys, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3)
+            ids, keys, texts, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), text_bytes(batch.column(2)), batch.column(3)
             for a, b in chunked(texts):
                 w = Windows(words(texts[a:b]), size, anchor)
-                begin, end = w.runs()
-                text = w.text[begin]
-                own = w.anchor[begin].view(np.int64)
-                edges = np.searchsorted(text, np.arange(b - a + 1))
-                out: list[tuple] = []
-                for i in range(b - a):
-                    lo, hi = int(edges[i]), int(edges[i + 1])
-                    if lo == hi:
-                        continue
-                    doc, key = ids[a + i], keys[a + i]
-                    for r in (lo + np.flatnonzero(np.isin(own[lo:hi], wanted[a + i].values.to_numpy()))).tolist():
-                        s, e = int(begin[r]), int(end[r])
-                        hashes = w.hash[s:e].tobytes()
-                        known = first.get((int(own[r]), hashes))
-                        if known is not None and known < doc:
-                            out.append((int(own[r]), doc, key, int(w.at[s]), e - s, None))
-                        else:
-                            first[int(own[r]), hashes] = doc
-                            out.append((int(own[r]), doc, key, int(w.at[s]), e - s, hashes))
-                if len(first) > 100_000:
-                    first.clear()
-                if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "doc_id", "text_key", "at", "n", "hashes"])
-
-    return rows.join(anchors, "doc_id").select("doc_id", "text_key", "text", "anchors").mapInArrow(emit, _RUNS)
-
-
-def _repeated(runs: DataFrame, size: int) -> DataFrame:
-    """Word intervals (first, end) that repeated windows cover."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, low = None, {}
-        for batch in batches:
-            out: list[tuple] = []
-            for anchor, doc, key, at, n, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if hashes is None:
-                    out.append((doc, key, at, at + n - 1 + size))
+                own, edges = w.anchor.view(np.int64), np.searchsorted(w.text, np.arange(b - a + 1))
+                shared = np.zeros(len(own), bool)
+                for i in np.flatnonzero(np.diff(edges)).tolist():
+                    shared[edges[i] : edges[i + 1]] = np.isin(own[edges[i] : edges[i + 1]], wanted[a + i].values.to_numpy())
+                at = np.flatnonzero(shared)
+                if not len(at):
                     continue
-                if anchor != last:
-                    last, low = anchor, {}
-                found = [low.setdefault(h, doc) < doc for h in np.frombuffer(hashes, np.uint64).tolist()]
-                i = 0
-                while i < n:
-                    if found[i]:
-                        j = i
-                        while j + 1 < n and found[j + 1]:
-                            j += 1
-                        out.append((doc, key, at + i, at + j + size))
-                        i = j
-                    i += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "text_key", "first", "end"])
+                text = a + w.text[at]
+                again = known.repeats(w.hash[at], w.hash2[at], ids[text])
+                if not again.all():
+                    k, t = at[~again], text[~again]
+                    yield _batch(w.hash[k].view(np.int64), w.hash2[k].view(np.int64), ids[t], keys[t], w.at[k], np.ones(len(k)))
+                if again.any():
+                    place, t = w.at[at[again]], text[again]
+                    begin = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (np.diff(place) != 1))))
+                    yield _batch(None, None, ids[t[begin]], keys[t[begin]], place[begin], np.diff(np.append(begin, len(place))))
+
+    return rows.join(anchors, "doc_id").select("doc_id", "text_key", "text", "anchors").mapInArrow(emit, _SENT)
+
+
+def _batch(*columns: np.ndarray | None) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    rows = len(columns[2])
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if c is None else pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], ["hash", "hash2", "doc_id", "text_key", "at", "n"])
+
 
-    # Runs without hashes need no partner: they are spread by their document.
-    spread = runs.repartition(F.col("anchor"), F.when(F.col("hashes").isNull(), F.col("doc_id")))
-    return spread.sortWithinPartitions("anchor", "doc_id").mapInArrow(mark, "doc_id long, text_key long, first int, end int")
+def _repeated(sent: DataFrame) -> DataFrame:
+    """doc_id, text_key, first, n: runs of repeated windows."""
+    equal = Window.partitionBy("hash", "hash2")
+    # Runs that are known to be repeated need no partner: null hashes are dealt out by place.
+    spread = sent.withColumn("hash2", F.coalesce("hash2", F.xxhash64("doc_id", "at")))
+    least = spread.withColumn("least", F.min("doc_id").over(equal))
+    return least.where("hash is null or least < doc_id").select("doc_id", "text_key", F.col("at").alias("first"), "n")
 
 
 def repeated_spans(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, spans: for each document with repeats, (first, end) of the words that they cover.
+    """doc_id, spans: for each id with repeats, (text_key, first, end) of the words that they cover.
 
     Words are runs of anything but ASCII white space, compared byte by byte. text_key (Spark's xxhash64 of the text)
     tells rows that share an id apart; these don't count as repeats of each other. Null, empty and short texts have no
@@ -163,9 +168,9 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     rows, anchor = _rows(docs, id_col, text_col), max(1, min(ANCHOR, size // 2))
-    runs = _anchored_runs(rows, shared_anchors(rows, size, anchor), size, anchor)
-    spans = _repeated(runs, size).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    return written(spans, "repeats")
+    runs = _repeated(_sent_windows(rows, shared_anchors(rows, size, anchor), size, anchor))
+    span = F.struct("text_key", "first", (F.col("first") + F.col("n") + size - 1).alias("end"))
+    return runs.groupBy("doc_id").agg(F.collect_set(span).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -188,8 +193,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, spans in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                own, removed, kept, at = (text or b"").split(), merged([(s["first"], s["end"]) for s in spans or []]), [], 0
+            for doc, key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                own, removed, kept, at = (text or b"").split(), merged([(s["first"], s["end"]) for s in spans or [] if s["text_key"] == key]), [], 0
                 for a, b in removed:
                     kept += own[at:a]
                     at = b
@@ -203,5 +208,6 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), spans_type, pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "removed", "kept_text"])
 
     spans = repeated_spans(docs, size, id_col, text_col)
-    found = _rows(docs, id_col, text_col).join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    # By id alone, as in the join with the anchors: Spark shuffles the texts once for both.
+    found = _rows(docs, id_col, text_col).join(spans, "doc_id", "left").select("doc_id", "text_key", "text", "spans")
     return found.mapInArrow(cut, "doc_id long, n_words long, n_removed long, removed array<struct<first:int,end:int>>, kept_text string")
