@@ -97,6 +97,91 @@ def test_quotation_weighs_less_than_abuse():
     assert x[0, 3] == 0 and x[1, 0] < x[0, 0] and x[1, 3] > 0 and x[2, 3] > 0 and not x[3:].any()
 
 
+def test_contexts_are_learned_from_labelled_windows(spark, documents):
+    """The same word in abuse and in reports: what stands beside it tells them apart, as marks do."""
+    rng = random.Random(7)
+    fill = lambda n: [rng.choice("abcdefgh") * rng.randint(2, 5) for _ in range(n)]
+    docs, marks = [], []
+    for i in range(1500):
+        toxic, report = i % 4 == 0, i % 25 == 1
+        hit = ["zoundface"] if toxic else ["complained", "zoundface", "allegedly"] if report else []
+        docs.append((i, " ".join(fill(rng.randint(4, 20)) + hit + fill(rng.randint(4, 20)))))
+        marks.append((i, int(toxic)))
+    table = spark.createDataFrame(marks, "doc_id long, toxic int")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "LEAST_RATIO", 5.0)
+        model = toxicity.fit(documents(docs), table)
+        assert list(model.terms) == ["zoundface"]
+        by = {h: x for h, x in zip(toxicity.split([b"complained allegedly"]).hash.tolist(), ("complained", "allegedly"), strict=True)}
+        assert {by.get(h) for h, odds in model.context.words.items() if odds > 1} == {"complained", "allegedly"}
+        again = toxicity.fit(documents(docs[::-1]).repartition(7), table)
+        assert (again.terms, again.near, again.clean, again.context) == (model.terms, model.near, model.clean, model.context) and again.weights.tolist() == model.weights.tolist()
+    x = model.matcher().features([b"xx zoundface yy", b"she complained zoundface allegedly yy", b'xx "zoundface" yy'])
+    assert x[0, 3] == 0 < x[2, 3] and x[1, 3] > 0.5 and x[1, 0] < x[2, 0] < x[0, 0]
+
+
+def test_terms_have_any_length_and_evidence_decides():
+    long = "q" * 90
+    units = [(long, 30, 30, 0), *((long[:n], 0, 30, 0) for n in range(3, 17)), ("abc", 40, 40, 2), ("abcd", 3, 3, 0), ("few", 5, 5, 0), ("xyz", 50, 50, 50), ("xyzq", 20, 20, 0)]
+    assert toxicity.learn_terms(units, 1000, 9000) == {long: toxicity.EXACT, "abc": toxicity.EXACT, "xyzq": toxicity.EXACT}
+    assert toxicity.learn_terms(units, 1000, 1000) == {long: toxicity.EXACT, "xyzq": toxicity.EXACT}  # 40 to 2: not 25 times as likely
+    assert toxicity.learn_terms([("rare", 99, 99, 0)], 10_000, 10_000) == {"rare": toxicity.EXACT}
+    m = toxicity.Matcher(toxicity.Lexicon({long: toxicity.EXACT}))
+    x = m.features([long.encode(), (long[:40] + "x" + long[40:]).encode(), (long + "qqq").encode(), b"q" * 3_000_000])
+    assert x[0, 0] > 0 and x[1, 2] > 0 and not x[2:].any()
+
+
+def _plain_score(text, model):
+    """The score by definition: words, edit distances, windows and the logistic function."""
+    import unicodedata
+
+    low = (text or "").lower()
+    words, at = [], 0
+    for part in re.split(r"( )", "".join(" " if unicodedata.category(c)[0] in "PSZ" or unicodedata.category(c) == "Cc" or c in "\u200b\ufeff" else c for c in low)):
+        if part and part != " ":
+            words.append((at, part))
+        at += len(part)
+
+    def kind(w):
+        stems = [t for t, k in model.terms.items() if k == toxicity.STEM]
+        if any(w.startswith(t) for t in stems):
+            return 2
+        if model.terms.get(w) == toxicity.EXACT:
+            return 1
+        met = [t for t, k in model.terms.items() if k == toxicity.EXACT and len(t) >= 5] + [t for t in model.near if w not in model.clean]
+        return 3 if any(min(_edits(w[:n], t) for n in range(len(w) + 1)) <= 1 if model.terms[t] == toxicity.STEM else _edits(w, t) <= 1 for t in met) else 0
+
+    sums, hits = [0.0] * 4, 0
+    hashes = {w: int(toxicity.split([w.encode()]).hash[0]) for _, w in words}
+    for n, (start, w) in enumerate(words):
+        if k := kind(w):
+            near = words[max(0, n - 6) : n], words[n + 1 : n + 7]
+            left, right = words[max(0, n - 7) : max(0, n - 6)], words[n + 7 : n + 8]
+            before, after = low[left[0][0] + len(left[0][1]) if left else 0 : start], low[start + len(w) : right[0][0] if right else len(low)]
+            marked = any(a in before and b in after and (a != b or before.count(a) % 2) for a, b in ('""', "“”", "„“", "«»", "»«", "‹›", "「」"))
+            odds = model.context.marks * marked + sum(model.context.words.get(hashes[x], 0.0) for x in {x for side in near for _, x in side})
+            quoted = max(0.0, math.tanh(odds / 2))
+            sums[k - 1] += 1 - quoted
+            sums[3] += quoted
+            hits += 1
+    x = [1 - math.exp(-1.5 * s) for s in sums] + [math.sqrt(hits / max(1, len(words)))]
+    z = sum(a * b for a, b in zip(x, model.weights[:-1], strict=True)) + model.weights[-1]
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_scores_are_the_definition(spark, documents):
+    rng = random.Random(12)
+    context = {int(toxicity.split([w.encode()]).hash[0]): odds for w, odds in (("said", 1.1), ("you", -0.9), ("reported", 2.0))}
+    terms = {"idiot": toxicity.EXACT, "scum": toxicity.EXACT, "vequor": toxicity.STEM, "zork": toxicity.STEM, "blockhead": toxicity.EXACT}
+    model = toxicity.Model(terms, np.array([8.0, 6.5, 2.5, -1.0, 0.7, -5.0]), frozenset({"scum", "vequor"}), frozenset({"scam"}), toxicity.Context(0.8, context))
+    pool = ["idiot", "idoit", "idiots", "scum", "scam", "scun", "vequorande", "vekuor", "zorkling", "zrk", "blokhead", "said", "you", "reported", "é", "字", "plain", "words", "x" * 80]
+    rows = [(i, "".join(rng.choice(pool) + rng.choice([" ", ", ", ' "', '" ', " «", "» ", "—", "\n", "“", "” "]) for _ in range(rng.randint(0, 25)))) for i in range(250)]
+    rows += [(300, None), (301, ""), (302, " "), (303, '"'), (304, "idiot"), (304, "idiot"), (None, "scum")]
+    got = Counter((r.doc_id, round(r.score, 9)) for r in toxicity.score(documents(rows), model).collect())
+    assert got == Counter((i, round(_plain_score(t, model), 9)) for i, t in rows)
+    assert toxicity.score(documents([]), model).count() == 0
+
+
 def _labelled(spark, n=600):
     rng = random.Random(3)
     plain = ["".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 7))) for _ in range(500)]

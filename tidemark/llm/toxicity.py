@@ -5,13 +5,16 @@ trie. For every word of a text a Levenshtein automaton, run along the trie's edg
 the stem within one edit of some prefix (exact matches and stems first), so misspelled terms count too. Stems and short
 terms have many neighbours: they are matched so only where clean labelled texts hold few words that are near, and
 words that those texts hold as often as others don't count. Words are runs of letters and digits of any script and any
-length; of a long one the first SPELLED letters are looked at, which decide about every term. Each hit is weighed by the words around it: quotation
-marks and words of reporting speak for a quotation, words of address for abuse. A logistic model turns the sums of a
-text into a score.
+length. Each hit is weighed by the words around it: marks of quotation, and the words that labelled texts have beside
+hits more in clean rows (quotation, report) or in toxic ones (address, abuse), say how far a hit is a quotation. A
+logistic model turns the sums of a text into a score.
+
+The fit is the same in every run: of near copies the row with the least hash stays, and nothing else is chosen.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,23 +26,26 @@ from pyspark.sql import functions as F
 
 from .common import chunked, rows_where, small_batches, text_bytes, written
 from .decontaminate import lowered
-from .hashing import Words, shingle_sets, words
+from .hashing import Words, mix, shingle_sets, words
 
 #: Labelled rows of each class that the lexicon and the model are fitted on, at most: the bound on the fit's sample.
 TRAIN_ROWS = 10_000
-#: Units that positive rows propose, at most; they go to every worker (a few bytes each).
-UNITS = 200_000
-#: Positive rows that a term must be in: this many, and this share of them; and how much likelier it must be there.
-LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 4, 0.01, 25.0
-SHORTEST, LONGEST_STEM = 3, 8
+#: Positive rows that a term must be in, how much likelier it must be there, and how far (the logarithm of the likelihood
+#: ratio) its counts must be from those of a word that says nothing: few of a million such words get so far.
+LEAST_ROWS, LEAST_RATIO, EVIDENCE = 4, 25.0, 12.0
+#: Letters of the shortest term, and of the longest prefix that may be a stem; whole words have any length.
+SHORTEST, LONGEST_STEM = 3, 16
 #: Words on each side of a hit that its context takes in.
 CONTEXT = 6
 FUZZY_LETTERS = 5
-SPELLED = 64
 #: Share of clean rows that may hold an unseen word near a stem or a short term, for it to be matched with an edit.
 NEAR_SHARE = 0.002
-REPORTING = frozenset("said says say quote quoted quotes wrote writes called reported word term sagte schrieb dit écrit dijo escribió".split())
-ADDRESS = frozenset("you your yours you're u du dich dir tu toi vous te tú usted".split())
+#: What quotation marks around a hit say before any text is seen: of 10 marked hits, half of them expected to be clean,
+#: how many are clean and how many toxic.
+MARKED_PRIOR = (8.2, 1.8)
+
+#: Marks before and after a quotation.
+QUOTES = tuple((a.encode(), b.encode()) for a, b in ('""', "“”", "„“", "«»", "»«", "‹›", "「」"))
 
 EXACT, STEM, FUZZY = 1, 2, 3
 
@@ -69,6 +75,7 @@ class Trie:
                     self.middles.setdefault((at, len(term) - half), set()).add(term[half:])
             else:
                 self.ends.add(term[half:])
+        self.longest = max(map(len, terms), default=0)
         self.start_sizes, self.end_sizes = sorted({len(x) for x in self.starts}), sorted({len(x) for x in self.ends})
 
     def near(self, word: str) -> bool:
@@ -89,6 +96,8 @@ class Lexicon:
             self._add(self.root, term, kind)
         if near is None:
             near = frozenset(t for t in guarded(terms) if len(t) >= FUZZY_LETTERS)
+        #: Letters of a word that decide about every term.
+        self.letters = max(map(len, terms), default=0) + 2
         self.words = Trie({t: k for t, k in terms.items() if k == EXACT and len(t) >= FUZZY_LETTERS})
         self.guarded = Trie({t: k for t, k in terms.items() if t in near})
 
@@ -117,6 +126,7 @@ class Lexicon:
 
         Bit i of a state says that i letters of the word are consumed: `same` without an edit, `one` with one.
         """
+        word = word[: trie.longest + 2]
         if not trie.near(word):
             return False
         place: dict[str, int] = {}
@@ -160,27 +170,32 @@ def learn_near(terms: dict[str, int], words: list[tuple[str, int, int]], positiv
     return frozenset(near), frozenset(w for w in clean if Lexicon._within_one(every, w))
 
 
+def evidence(pos: int, neg: int, share: float) -> float:
+    """Logarithm of the likelihood ratio of these counts against a share of positive ones."""
+    n = pos + neg
+    return sum(k * math.log(k / (n * p)) for k, p in ((pos, share), (neg, 1 - share)) if k)
+
+
 def learn_terms(units: list[tuple[str, int, int, int]], positive: int, negative: int) -> dict[str, int]:
-    """Terms from (prefix, whole-word rows, positive rows, negative rows).
+    """Terms from (unit, whole-word rows, positive rows, negative rows), a unit being a whole word or a prefix.
 
-    A prefix qualifies when enough positive rows hold words that begin with it and few negative ones do. From the
-    shortest on, it is lengthened while one longer prefix keeps nearly all of its rows, and its extensions are dropped.
+    A unit qualifies when positive rows hold words that begin with it, negative ones hardly do, and chance is no
+    likely cause. From the shortest on, it is lengthened while one longer unit keeps nearly all of its rows, and its
+    extensions are dropped.
     """
     counts = {u: (whole, pos, neg) for u, whole, pos, neg in units}
     longer: dict[str, list[str]] = {}
     for u in counts:
-        longer.setdefault(u[:-1], []).append(u)
-    terms: dict[str, int] = {}
+        longer.setdefault(u[: min(len(u) - 1, LONGEST_STEM)], []).append(u)
 
     def strong(u: str) -> bool:
         _, pos, neg = counts[u]
-        return pos >= max(LEAST_ROWS, LEAST_SHARE * positive) and pos / max(1, positive) >= LEAST_RATIO * (neg + 0.25) / max(1, negative)
+        return pos >= LEAST_ROWS and pos / max(1, positive) >= LEAST_RATIO * (neg + 0.25) / max(1, negative) and evidence(pos, neg, positive / (positive + negative)) >= EVIDENCE
 
-    todo = sorted(u for u in counts if len(u) == SHORTEST)
-    while todo:
-        u = todo.pop()
-        if not strong(u):
-            todo += longer.get(u, [])
+    found = {u for u in counts if strong(u)}
+    terms: dict[str, int] = {}
+    for u in sorted(found):
+        if any(u[:n] in found for n in range(SHORTEST, min(len(u), LONGEST_STEM + 1))):
             continue
         while True:
             best = max(longer.get(u, []), key=lambda x: (counts[x][1], x), default=None)
@@ -196,9 +211,46 @@ def split(texts: list[bytes | None]) -> Words:
     return words(lowered(texts), plain=True, marks=True)
 
 
-def spelled(w: Words, at: int) -> str:
-    """The first letters of a word."""
-    return w.buffer[w.start[at] : min(int(w.end[at]), int(w.start[at]) + 4 * SPELLED)].decode("utf-8", "replace")[:SPELLED]
+def spelled(w: Words, at: int, letters: int | None = None) -> str:
+    """A word, or its first letters."""
+    end = int(w.end[at]) if letters is None else min(int(w.end[at]), int(w.start[at]) + 4 * letters)
+    return w.buffer[w.start[at] : end].decode("utf-8", "replace")[:letters]
+
+
+@dataclass(frozen=True)
+class Context:
+    """What speaks for a quotation, as logarithms of odds: marks around a hit, and words (by hash) beside it."""
+
+    marks: float = math.log(MARKED_PRIOR[0] / MARKED_PRIOR[1])
+    words: dict[int, float] = field(default_factory=dict)
+
+
+def beside(w: Words, at: int) -> tuple[bool, set[int]]:
+    """Whether the hit at this word stands between quotation marks, and the hashes of the words around it."""
+    doc = int(w.doc[at])
+    low, high = max(int(w.first[doc]), at - CONTEXT), min(int(w.first[doc + 1]), at + CONTEXT + 1)
+    # What separates the window from the words beyond belongs to it.
+    left = w.end[low - 1] if low > w.first[doc] else w.offset[doc]
+    right = w.start[high] if high < w.first[doc + 1] else w.offset[doc + 1] if doc + 1 < len(w.offset) else len(w.buffer)
+    before, after = w.buffer[left : w.start[at]], w.buffer[w.end[at] : right]
+    marks = any(a in before and b in after and (a != b or before.count(a) % 2 == 1) for a, b in QUOTES)
+    return marks, set(w.hash[low:at].tolist()) | set(w.hash[at + 1 : high].tolist())
+
+
+def learn_context(rows: list[tuple[int | None, int, int, float]]) -> Context:
+    """Weights from (hash of a word beside hits, clean rows, toxic rows, clean rows expected); null: marks around hits.
+
+    What is expected follows from the words hit alone, so that a context doesn't stand for these. A word counts where
+    chance is no likely cause of its counts.
+    """
+
+    def odds(neg: int, pos: int, expected: float, a: float, b: float) -> float:
+        middle = (a + b) / 2
+        return math.log((neg + a) / (expected + middle)) - math.log((pos + b) / (neg + pos - expected + middle))
+
+    _, *marked = next((r for r in rows if r[0] is None), (None, 0, 0, 0.0))
+    found = {h: odds(neg, pos, e, 0.5, 0.5) for h, neg, pos, e in rows if h is not None and 0 < e < neg + pos and evidence(pos, neg, 1 - e / (neg + pos)) >= EVIDENCE}
+    return Context(odds(*marked, *MARKED_PRIOR), found)
 
 
 class Matcher:
@@ -206,13 +258,12 @@ class Matcher:
 
     MOST = 300_000
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: Lexicon, context: Context | None = None):
+        self.lexicon, self.context = lexicon, context or Context()
         self.known: dict[int, int] = {}
 
-    def features(self, texts: list[bytes | None]) -> np.ndarray:
-        """One row for each text: how much exact, stem, misspelled and quoted hits it has, and hits for each word."""
-        out = np.zeros((len(texts), 5))
+    def hits(self, texts: list[bytes | None]) -> Iterator[tuple[int, Words, np.ndarray]]:
+        """For each part of the texts its first text's index, its words, and what each word is."""
         for a, b in chunked(texts):
             w = split(texts[a:b])
             if not len(w.hash):
@@ -221,34 +272,33 @@ class Matcher:
             verdicts = np.zeros(len(unique), np.int8)
             if len(self.known) + len(unique) > self.MOST:
                 self.known.clear()
-            known, match = self.known, self.lexicon.match
+            known, match, letters = self.known, self.lexicon.match, self.lexicon.letters
             for i, (h, f) in enumerate(zip(unique.tolist(), first.tolist(), strict=True)):
                 v = known.get(h)
                 if v is None:
-                    v = known[h] = match(spelled(w, f))
+                    v = known[h] = match(spelled(w, f, letters))
                 verdicts[i] = v
-            found = verdicts[inverse]
+            yield a, w, verdicts[inverse]
+
+    def features(self, texts: list[bytes | None]) -> np.ndarray:
+        """One row for each text: how much exact, stem, misspelled and quoted hits it has, and hits for each word."""
+        out = np.zeros((len(texts), 5))
+        for a, w, found in self.hits(texts):
             for at in np.flatnonzero(found).tolist():
-                doc = int(w.doc[at])
-                quoted = self._quoted(w, at, doc)
+                doc, quoted = int(w.doc[at]), self._quoted(w, at)
                 out[a + doc, found[at] - 1] += 1 - quoted
                 out[a + doc, 3] += quoted
-            hits = np.bincount(w.doc, weights=found > 0, minlength=b - a)
-            out[a:b, 4] = hits / np.maximum(1, np.diff(w.first))
+            n = len(w.first) - 1
+            out[a : a + n, 4] = np.bincount(w.doc, weights=found > 0, minlength=n) / np.maximum(1, np.diff(w.first))
         out[:, :4] = 1 - np.exp(-1.5 * out[:, :4])  # the first hit says most
         out[:, 4] = np.sqrt(out[:, 4])
         return out
 
-    def _quoted(self, w, at: int, doc: int) -> float:
-        """0 (abuse) to 1 (quotation) from the window around a hit."""
-        low, high = max(int(w.first[doc]), at - CONTEXT), min(int(w.first[doc + 1]), at + CONTEXT + 1)
-        before = w.buffer[w.start[low] : w.start[at]]
-        after = w.buffer[w.end[at] : w.end[high - 1]]
-        near = set((before + b" " + after).decode("utf-8", "replace").split())
-        open_mark = before.count(b'"') % 2 == 1 and b'"' in after
-        marks = open_mark or (b"\xe2\x80\x9c" in before or b"\xc2\xab" in before) and (b"\xe2\x80\x9d" in after or b"\xc2\xbb" in after)
-        score = 0.6 * marks + 0.3 * bool(near & REPORTING) - 0.3 * bool(near & ADDRESS)
-        return min(1.0, max(0.0, score))
+    def _quoted(self, w: Words, at: int) -> float:
+        """0 (nothing speaks for a quotation) to 1."""
+        marks, near = beside(w, at)
+        odds = self.context.marks * marks + sum(sorted(self.context.words[h] for h in near & self.context.words.keys()))
+        return max(0.0, math.tanh(odds / 2))
 
 
 #: What hits weigh before any text is seen: a kind of hit that the labelled texts lack keeps its weight.
@@ -277,9 +327,10 @@ class Model:
     weights: np.ndarray
     near: frozenset[str] | None = None
     clean: frozenset[str] = frozenset()
+    context: Context = Context()
 
     def matcher(self) -> Matcher:
-        return Matcher(Lexicon(self.terms, self.near, self.clean))
+        return Matcher(Lexicon(self.terms, self.near, self.clean), self.context)
 
 
 def word_sets(texts: list[bytes | None]) -> Iterator[set[str]]:
@@ -293,20 +344,19 @@ def word_sets(texts: list[bytes | None]) -> Iterator[set[str]]:
 
 
 class Units:
-    """Distinct words of texts, and their prefixes (a word of up to 16 letters is a prefix of itself)."""
+    """Distinct words of texts, and their units: their prefixes of up to LONGEST_STEM letters, and themselves."""
 
     MOST = 50_000
 
-    def __init__(self, wanted: frozenset[str] | None = None):
-        self.wanted = wanted
+    def __init__(self):
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def _prefixes(self, word: str) -> tuple[str, ...]:
+    def _units(self, word: str) -> tuple[str, ...]:
         out = self.known.get(word)
         if out is None:
-            out = tuple(word[:n] for n in range(SHORTEST, min(len(word), 16) + 1))
-            if self.wanted is not None:
-                out = tuple(p for p in out if p in self.wanted)
+            out = tuple(word[:n] for n in range(SHORTEST, min(len(word), LONGEST_STEM) + 1))
+            if len(word) > LONGEST_STEM:
+                return (*out, word)  # too rare and too long to be remembered
             if len(self.known) >= self.MOST:
                 self.known.clear()
             self.known[word] = out
@@ -315,14 +365,15 @@ class Units:
     def of(self, texts: list[bytes | None]) -> Iterator[tuple[set[str], set[str]]]:
         for found in word_sets(texts):
             own = {w for w in found if len(w) >= SHORTEST}
-            yield own, set().union(*map(self._prefixes, own))
+            yield own, set().union(*map(self._units, own))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns lexicon and weights from labelled texts: TRAIN_ROWS of each class at most, chosen by a hash of the id.
+    """Learns lexicon, contexts and weights from labelled texts: TRAIN_ROWS of each class at most, by a hash of the id.
 
-    Of several labels for an id the highest counts. Null labels, ids and texts are left out. Without rows of both
-    classes the model knows no terms, and scores the share of the class that there is.
+    Of several labels for an id the highest counts. Null labels, ids and texts are left out. Of texts with one label
+    that agree in two min-hashes (near copies mostly do) one stays, the least by a hash, or their words would pass for
+    terms. Without rows of both classes the model knows no terms, and scores the share of the class that there is.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -334,49 +385,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = [0] * batch.num_rows
+            least = [(0, 0)] * batch.num_rows
             for a, b in chunked(texts := text_bytes(batch.column(0))):
                 for i, s in enumerate(shingle_sets(words(texts[a:b], lower=True))):
-                    least[a + i] = int(s[0]) >> 1 if len(s) else 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["text", "label", "least"])
+                    least[a + i] = (int(s[0]) >> 1, int(mix(s ^ np.uint64(0x452821E638D01377)).min()) >> 1) if len(s) else (0, 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in zip(*least, strict=True))], ["text", "label", "least", "least2"])
 
-    # Near copies mostly have the same least shingle; one of them is enough, or their words would pass for terms.
-    sample = rows.join(chosen, "doc_id").select("text", "label").mapInArrow(mark, "text string, label int, least long")
-    sample = written(sample.dropDuplicates(["label", "least"]).select("text", "label"), "toxicity-sample")
+    sample = rows.join(chosen, "doc_id").select("text", "label").mapInArrow(mark, "text string, label int, least long, least2 long")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    sample = written(sample.groupBy("label", "least", "least2").agg(one).select("text", "label"), "toxicity-sample")
     size = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     positive, negative = size.get(1, 0), size.get(0, 0)
     if not positive or not negative:
         return Model({}, np.array([0.0] * 5 + [8.0 if positive else -8.0]))
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, whole, units = Counter(), Counter(), Units()
-        for batch in batches:
-            for own, prefixes in units.of(text_bytes(batch.column(0))):
-                rows.update(prefixes)
-                whole.update(own)
-        if rows:
-            yield pa.RecordBatch.from_pydict({"unit": list(rows), "whole": pa.array([whole[u] for u in rows], pa.int64()), "n": pa.array(list(rows.values()), pa.int64())})
-
-    proposed = sample.where("label = 1").select("text").mapInArrow(propose, "unit string, whole long, n long")
-    proposed = proposed.groupBy("unit").agg(F.sum("whole").alias("whole"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS)
-    units = {r.unit: (r.whole, r.n) for r in proposed.orderBy(F.desc("n"), "unit").limit(UNITS).collect()}
-    shared = spark.sparkContext.broadcast(frozenset(units))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, units = Counter(), Units(shared.value)
+        whole, rows, units = Counter(), (Counter(), Counter()), Units()
         for batch in batches:
-            for _, prefixes in units.of(text_bytes(batch.column(0))):
-                rows.update(prefixes)
-        if rows:
-            yield pa.RecordBatch.from_pydict({"unit": list(rows), "n": pa.array(list(rows.values()), pa.int64())})
-
-    against = sample.where("label = 0").select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    others = {r.unit: r.n for r in against.collect()}
-    terms = learn_terms([(u, whole, n, others.get(u, 0)) for u, (whole, n) in units.items()], positive, negative)
+            for (own, found), label in zip(units.of(text_bytes(batch.column(0))), batch.column(1).to_pylist(), strict=True):
+                rows[label].update(found)
+                if label:
+                    whole.update(own)
+        if names := list(rows[0] | rows[1]):
+            numbers = ([x[u] for u in names] for x in (whole, rows[1], rows[0]))
+            yield pa.RecordBatch.from_pydict({"unit": pa.array(names)} | {c: pa.array(x, pa.int64()) for c, x in zip(("whole", "pos", "neg"), numbers, strict=True)})
+
+    units = sample.mapInArrow(count, "unit string, whole long, pos long, neg long").groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("whole", "pos", "neg")))
+    # Only units that qualify, or that may lengthen one that does, come to the driver.
+    likely = units.where((F.col("pos") >= LEAST_ROWS * 0.8) & (F.col("pos") / positive >= 0.8 * LEAST_RATIO * (F.col("neg") + 0.25) / negative))
+    terms = learn_terms([tuple(r) for r in likely.select("unit", "whole", "pos", "neg").collect()], positive, negative)
 
     guards = {t: terms[t] for t in guarded(terms)}
 
-    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, exact, verdicts, rows = Trie(guards), Lexicon(terms, frozenset()), {}, {}
         for batch in batches:
             for own, label in zip(word_sets(text_bytes(batch.column(0))), batch.column(1).to_pylist(), strict=True):
@@ -388,10 +429,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if rows:
             yield pa.RecordBatch.from_pydict({"word": list(rows), "pos": pa.array([n[1] for n in rows.values()], pa.int64()), "neg": pa.array([n[0] for n in rows.values()], pa.int64())})
 
-    counted = sample.select("text", "label").mapInArrow(beside, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = sample.select("text", "label").mapInArrow(neighbours, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     near, clean = learn_near(terms, [tuple(r) for r in counted.where("neg > 0").collect()], positive, negative)
     model = Model(terms, np.zeros(6), near, clean)
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, rows = model.matcher(), {}
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            for a, w, found in matcher.hits(text_bytes(batch.column(0))):
+                held: dict[int, set[tuple[int, int, int]]] = {}
+                for at in np.flatnonzero(found).tolist():
+                    (marks, near), own = beside(w, at), int(w.hash[at])
+                    held.setdefault(a + int(w.doc[at]), set()).update({(own, 2, h) for h in near}, {(own, 0, 0)}, {(own, 1, 0)} if marks else ())
+                for doc, keys in held.items():
+                    for key in keys:
+                        rows.setdefault(key, [0, 0])[labels[doc]] += 1
+        if rows:
+            numbers = np.array([(key[1], *n) for key, n in rows.items()], np.int64)
+            hashes = np.array([(key[0], key[2]) for key in rows], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes[:, 0], numbers[:, 0], hashes[:, 1], numbers[:, 1], numbers[:, 2])], ["hit", "kind", "hash", "neg", "pos"])
+
+    seen = sample.select("text", "label").mapInArrow(windows, "hit long, kind long, hash long, neg long, pos long")
+    seen = written(seen.groupBy("hit", "kind", "hash").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "toxicity-windows")
+    # Words that only rows of one label hold say nothing on contexts.
+    mixed = seen.where("kind = 0 and neg > 0 and pos > 0").select("hit", (F.col("neg") / (F.col("neg") + F.col("pos"))).alias("share"))
+    around = seen.where("kind > 0").join(mixed, "hit").groupBy("kind", "hash")
+    around = around.agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"), F.sum((F.col("neg") + F.col("pos")) * F.col("share")).alias("expected"))
+    around = around.where((F.col("kind") == 1) | (F.col("neg") + F.col("pos") >= 2 * LEAST_ROWS)).collect()  # words of the sample's rows
+    context = learn_context([(r.hash % (1 << 64) if r.kind == 2 else None, r.neg, r.pos, round(r.expected, 9)) for r in around])
+    model = Model(terms, np.zeros(6), near, clean, context)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
         for batch in batches:
@@ -399,8 +467,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], ["label", *(f"x{i}" for i in range(5))])
 
     held = sample.select("text", "label").mapInArrow(measure, "label int, " + ", ".join(f"x{i} double" for i in range(5))).collect()
-    x = np.array([tuple(r)[1:] for r in held], float)
-    return Model(terms, fit_logistic(x, np.array([r.label for r in held], float)), near, clean)
+    x = np.array(sorted(tuple(r) for r in held), float)  # in one order, so that sums come out alike
+    return Model(terms, fit_logistic(x[:, 1:], x[:, 0]), near, clean, context)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
