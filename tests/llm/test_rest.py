@@ -358,10 +358,41 @@ def test_bounds_hold():
         assert (topk.features(q, segments) @ topk.features(x, segments).T >= q @ x.T - 1e-6).all()
 
 
-def test_large_components_stay_exact(spark):
-    rows = [(0, [3.0e5, 2.5e5]), (1, [3.0e5, 1.0]), (2, [-3.0e5, 4.0e5])]
+def test_fine_bounds_are_for_survivors_only(monkeypatch):
+    """Rows far from a query fall to the coarse bound, so that only few meet the finer one and the components."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 64)).cumsum(axis=1)
+    x = topk.quantised(np.repeat(centres, 50, axis=0) + rng.normal(scale=0.05, size=(1000, 64)))
+    q, ids = x[::100], np.arange(1000)
+    floors = np.array([np.sort(np.delete(x @ v, i * 100))[-5] for i, v in enumerate(q)]) * 65536
+    found = {i: (ids[at].tolist(), scores) for i, at, scores in topk.search_block(q, ids[::100], floors, x, ids, ids, ids[::100], 5)}
+    for i, v in enumerate(q):
+        want = sorted((-round(s * 65536), j) for j, s in enumerate((x @ v).tolist()) if j != i * 100)[:5]
+        assert found[i] == ([j for _, j in want], [-s for s, _ in want])
+    coarse = topk.features(q, 4) @ topk.features(x, 4).T >= floors[:, None] / 65536
+    assert coarse.mean() < 0.3
+
+
+@pytest.mark.parametrize("scale", [3.0e5, 1.0e8, 1.0e30])
+@pytest.mark.parametrize("dim", [2, 20])
+def test_large_components_stay_exact(spark, scale, dim):
+    """Any finite vector takes part; a score beyond 64 bits is shown as the highest or lowest long."""
+    rng = np.random.default_rng(dim)
+    rows = [(i, (rng.normal(size=dim) * (scale if i % 3 else 1.0)).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(100, rows[1][1]), (101, rows[1][1]), (50, rows[2][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert Counter(tuple(r) for r in topk.exact_top_k(df).collect()) == _plain_top(rows, 50, 5)
+    most = 2**63 - 1
+    want = Counter()
+    for key, n in _plain_top(rows, 10, 5).items():
+        want[(*key[:3], max(-most, min(most, key[3])))] += n
+    assert Counter(tuple(r) for r in topk.exact_top_k(df, every=10).collect()) == want
+
+
+def test_the_largest_doubles(spark):
+    rows = [(0, [1.7e308, -1.7e308]), (1, [1.7e308, 1.0]), (2, [-1.7e308, 4.0e307]), (3, [0.1, 0.2])]
+    got = [tuple(r) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    most = 2**63 - 1
+    assert got == [(0, 1, 1, most), (0, 2, 3, -most), (0, 3, 2, -most)]
 
 
 # --- the pipeline
