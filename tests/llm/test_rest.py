@@ -312,6 +312,51 @@ def test_base_spans(spark, documents):
     assert secrets.find_secrets(documents([])).count() == 0
 
 
+def _plain_added(text, scope=200):
+    """Weak parts that complementary ones within scope confirm, by definition."""
+    key = r"(?:[Aa][Cc][Cc][Ee][Ss][Ss]_?[Kk][Ee][Yy](?:_?[Ii][Dd])?|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn])"
+    parts = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
+    parts += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    parts += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]{16,}", text)]
+    parts += [(m.start(), m.end(), 3) for m in re.finditer(key + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}""", text)]
+    parts += [(m.start(), m.end(), 4) for m in re.finditer("[A-Za-z0-9+/]{24,}", text) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    parts += [(m.start(), m.end(), 5) for m in re.finditer("https?://[A-Za-z0-9.:/_-]{4,}", text)]
+    out = set()
+    for a, b, k in parts:
+        if k < 3:
+            continue
+        met = [(x, y, j) for x, y, j in parts if max(a, x) - min(b, y) <= scope]
+        covered = any(x < b and a < y and j < k for x, y, j in met)
+        beside = {j for x, y, j in met if not (x < b and a < y)}
+        identifier, secret = bool(beside & {1, 3}), bool(beside & {0, 2, 4})
+        if not covered and {3: secret, 4: identifier, 5: identifier and secret}[k]:
+            out.add((a, k, b))
+    return out
+
+
+def test_parts_are_linked_by_the_gap_between_them(spark, documents):
+    rng = random.Random(11)
+    bare = lambda n: "Zz9" * (n // 3)
+    texts = [f"{bare(n)} client_id=bob77" for n in (60, 240, 900, 6000)] + [f"client_id=bob77 {'x ' * k}{bare(300)} {'y ' * k}https://host.example/{'p' * 700}" for k in (0, 99, 100, 101)]
+    pieces = [bare(30), bare(450), "client_id=abcdef", "user: someone", "https://h.example/a", "AKIA" + "Q" * 20, "0123456789abcdef" * 30, "token=abcdefghijklmnop", "é🙂 "]
+    texts += ["".join(rng.choice(pieces) + rng.choice([" ", ". ", " w" * rng.randint(1, 130) + " "]) for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    got = secrets.find_secrets(documents(list(enumerate(texts)))).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert {(s.start, s.kind, s.end) for s in r.added} == _plain_added(texts[r.doc_id]), texts[r.doc_id][:80]
+    assert {r.doc_id: len(r.added) for r in got if r.doc_id < 4} == {0: 2, 1: 2, 2: 2, 3: 2}
+
+
+def test_many_matches_of_one_text(spark, documents):
+    """Work grows with the matches, not with their square: 60,000 of them, places and redaction."""
+    text = "é deadbeefdeadbeef token=abcdefghijkl0123 " * 30_000
+    [r] = secrets.find_secrets(documents([(1, text)])).collect()
+    step = len(text) // 30_000
+    assert sorted(tuple(s) for s in r.base) == sorted([(i * step + 2, 2, i * step + 18) for i in range(30_000)] + [(i * step + 19, 0, i * step + 41) for i in range(30_000)])
+    [out] = secrets.redacted(documents([(1, text)])).collect()
+    assert out.text == "é [secret] [secret] " * 30_000
+
+
 def test_report_and_redaction(spark, documents):
     docs = documents(list(enumerate(TEXTS)))
     [r] = secrets.secret_report(docs.where("doc_id = 0")).collect()

@@ -126,7 +126,7 @@ def oracle_sql() -> dict[str, str]:
                     bool_or(x.s < w.s + w.n AND w.s < x.s + x.n AND x.k < w.k) AS covered,
                     bool_or(NOT (x.s < w.s + w.n AND w.s < x.s + x.n) AND x.k IN (1, 3)) AS identifier,
                     bool_or(NOT (x.s < w.s + w.n AND w.s < x.s + x.n) AND x.k IN (0, 2, 4)) AS secret
-                  FROM p w JOIN p x ON w.r = x.r AND w.k >= 3 AND abs(w.s - x.s) <= 200 GROUP BY ALL),
+                  FROM p w JOIN p x ON w.r = x.r AND w.k >= 3 AND greatest(w.s, x.s) - least(w.s + w.n, x.s + x.n) <= 200 GROUP BY ALL),
             a AS (SELECT r, s, k, n FROM p WHERE k < 3
                   UNION ALL SELECT r, s, k, n FROM m WHERE NOT covered AND CASE k WHEN 3 THEN secret WHEN 4 THEN identifier ELSE identifier AND secret END),
             z AS (SELECT r, s, k, ['assign', 'access', 'hex', 'identifier', 'string', 'endpoint'][k + 1] || ':' || s || ':' || (s + n) AS x FROM a)

@@ -21,37 +21,56 @@ WEAK_ID = r"""((?i:access_?key(?:_?id)?|client_?id|user(?:name)?|login))["']?\x2
 WEAK_SECRET = r"[A-Za-z0-9+/]{24,}"
 ENDPOINT = r"https?://[A-Za-z0-9.:/_-]{4,}"
 KINDS = ("assign", "access", "hex", "identifier", "string", "endpoint")
-#: Code points between the parts of a credential, at most.
+#: Code points between the parts of a credential, from the end of one to the start of the next, at most.
 SCOPE = 200
+#: Matches of a text that are added up, or cut out, at once: work grows with their number, not with its square.
+BLOCK = 64
 MARK = "[secret]"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: inside other functions an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _blocks(values: Column) -> Column:
+    """values (bound) in slices of BLOCK."""
+    last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))).otherwise(F.array().cast("array<array<int>>"))
+
+
+def _before(values: Column, op) -> Column:
+    """For each value (integers from 0 on) what op (a sum or a maximum) makes of all values before it."""
+    none = F.array().cast("array<int>")
+
+    def along(some: Column, value) -> Column:
+        step = lambda acc, x: F.struct(op(acc["held"], value(x)).alias("held"), F.concat(acc["out"], F.array(acc["held"])).alias("out"))
+        return F.aggregate(some, F.struct(F.lit(0).alias("held"), none.alias("out")), step)
+
+    inner = _let(values, lambda v: F.transform(_blocks(v), lambda block: along(block, lambda x: x)))
+    shifted = lambda block, a: F.transform(block["out"], lambda v: op(a, v))
+    return _let(inner, lambda blocks: F.flatten(F.zip_with(blocks, along(blocks, lambda x: x["held"])["out"], shifted)))
+
+
 def _matches(text: Column, pattern: str, keep=None) -> Column:
     """array<struct<start, end>> of the pattern's leftmost matches, in code points.
 
     What lies between matches comes from splitting by the same pattern; running sums of the lengths of both give the
-    places. keep(matches, i) tells whether match i counts.
+    places. keep(match) tells whether a match counts.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.transform(hits, lambda x: F.length(x))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    steps = F.arrays_zip(F.slice(gaps, 1, F.size(lengths)).alias("gap"), lengths.alias("size"))
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
-    spans = F.aggregate(steps, state, step, lambda acc: acc["out"])
-    found = F.when(F.size(hits) > 0, spans if keep is None else F.filter(spans, lambda _, i: keep(hits, i))).otherwise(none)
-    return F.coalesce(found, none)
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), 1, F.size(hits))
+        steps = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), F.length(h).alias("n"), h.alias("hit")))
+        return _let(steps, lambda s: F.zip_with(_before(F.transform(s, lambda x: x["gap"] + x["n"]), lambda a, b: a + b), s, span))
 
+    def span(at: Column, x: Column) -> Column:
+        return F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["hit"].alias("hit"))
 
-def _group_length(text: Column, pattern: str, least: int):
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return lambda _, i: F.length(F.get(groups, i)) >= least
+    spans = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none))
+    kept = spans if keep is None else F.filter(spans, lambda s: keep(s["hit"]))
+    return F.transform(F.coalesce(kept, none), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def _tagged(spans: Column, kind: int) -> Column:
@@ -69,10 +88,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     t = F.col("text")
-    mixed = lambda hits, i: F.get(hits, i).rlike("[0-9]") & F.get(hits, i).rlike("[A-Z]") & F.get(hits, i).rlike("[a-z]")
+    mixed = lambda hit: hit.rlike("[0-9]") & hit.rlike("[A-Z]") & hit.rlike("[a-z]")
+    value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 12
     base = F.concat(
-        _tagged(_matches(t, ASSIGN, _group_length(t, ASSIGN, 12)), 0),
-        _tagged(_matches(t, ACCESS, lambda hits, i: F.length(F.get(hits, i)) >= 18), 1),
+        _tagged(_matches(t, ASSIGN, value), 0),
+        _tagged(_matches(t, ACCESS, lambda hit: F.length(hit) >= 18), 1),
         _tagged(_matches(t, HEX), 2),
     )
     weak = F.concat(_tagged(_matches(t, WEAK_ID), 3), _tagged(_matches(t, WEAK_SECRET, mixed), 4), _tagged(_matches(t, ENDPOINT), 5))
@@ -82,18 +102,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, text_key and the weak spans that complementary parts confirm.
 
+    Parts are within scope when at most `scope` code points lie between the end of one and the start of the other.
     A bare string needs an identifier (access or weak) in its scope, a weak identifier a secret (assign, hex or bare
     string), an endpoint both. Weak spans that overlap a base span or a stronger weak one are part of that.
     """
     both = found.where(F.size("weak") > 0).distinct()
     parts = both.select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("s")).select("doc_id", "text_key", "s.*")
-    bucket = F.floor(F.col("start") / scope)
-    weak = parts.where("kind >= 3").withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    # Parts are met by the bucket they start in: starts at most `scope` apart are in neighbouring buckets.
-    near = parts.select("doc_id", "text_key", F.col("start").alias("s2"), F.col("kind").alias("k2"), F.col("end").alias("e2"), bucket.alias("bucket"))
+    # Two parts at most `scope` apart: a bucket that one reaches, or its neighbour, is reached by the other.
+    low, high = F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)
+    weak = parts.where("kind >= 3").withColumn("bucket", F.explode(F.sequence(low - 1, high + 1)))
+    near = parts.select("doc_id", "text_key", F.col("start").alias("s2"), F.col("kind").alias("k2"), F.col("end").alias("e2"), F.explode(F.sequence(low, high)).alias("bucket"))
     w, n = weak.alias("w"), near.alias("n")
     same = F.col("w.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("w.text_key") == F.col("n.text_key")) & (F.col("w.bucket") == F.col("n.bucket"))
-    close = same & (F.abs(F.col("w.start") - F.col("n.s2")) <= scope)
+    close = same & (F.greatest("w.start", "n.s2") - F.least("w.end", "n.e2") <= scope)
     overlaps = (F.col("s2") < F.col("end")) & (F.col("start") < F.col("e2"))
     met = w.join(n, close).select("w.doc_id", "w.text_key", "start", "kind", "end", "k2", overlaps.alias("overlaps"))
     apart = ~F.col("overlaps")
@@ -138,15 +159,21 @@ def redacted(docs: DataFrame, mark: str = MARK, id_col: str = "doc_id", text_col
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text, F.length(text)).alias("__key"), F.col(id_col).cast("long").alias("__id")).alias("d")
     h = hit.alias("h")
     joined = keyed.join(h, F.col("d.__id").eqNullSafe(F.col("h.__id")) & (F.col("d.__key") == F.col("h.__key")), "left")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    source = F.col("row")[text_col]
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["end"] <= acc["at"]
-        gap = F.substring(source, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(out).alias("out"))
-
-    cut = F.aggregate("__spans", state, step, lambda acc: F.concat(acc["out"], F.substring(source, acc["at"] + 1, F.length(source))))
+    source, spans_of = F.col("row")[text_col], F.col("__spans")
+    ends = F.transform(spans_of, lambda s: s["end"])
+    reach = _before(ends, lambda a, b: F.greatest(a, b))
+    # Kept pieces: from where the spans before reach to, up to a span; inside another span there is none.
+    pieces = F.filter(F.zip_with(reach, spans_of, lambda r, s: F.struct(r.alias("a"), s["start"].alias("b"))), lambda p: p["b"] >= p["a"])
+
+    def cut_block(some: Column) -> Column:
+        first = F.get(some, 0)["a"]
+        part = F.substring(source, first + 1, F.get(some, F.size(some) - 1)["b"] - first)
+        return _let(part, lambda t: F.transform(some, lambda p: F.substring(t, p["a"] - first + 1, p["b"] - p["a"])))
+
+    def cut_all(of: Column) -> Column:
+        last = F.floor((F.size(of) - 1) / BLOCK).cast("int")
+        return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(of, b * BLOCK + 1, BLOCK)), cut_block))
+
+    cut = F.array_join(F.concat(_let(pieces, cut_all), F.array(F.substring(source, F.array_max(ends) + 1, F.length(source)))), mark)
     new = F.when(F.col("__spans").isNull(), source).otherwise(cut)
     return joined.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
