@@ -280,6 +280,82 @@ def test_chat_keeps_content_and_calls_without_an_identifier(spark):
         assert json.dumps(json.loads(r.json), separators=(",", ":"), sort_keys=True, ensure_ascii=False) == r.json
 
 
+def _plain_calls(rows):
+    """Calls by definition: (conv, turn, nth, id, linked, valid, level) of conversations."""
+    tools, calls, results = chat.TOOLS, [], []
+    for conv, turn, role, text in rows:
+        try:
+            held = json.loads(text)
+        except (TypeError, ValueError):
+            continue
+        if role == "assistant" and isinstance(held, dict) and any("id" in c or "name" in c for c in held.get("tool_calls", [])):
+            calls += [(conv, turn, n, c.get("id"), c.get("name"), c.get("arguments", {})) for n, c in enumerate(held["tool_calls"])]
+        elif role == "tool" and isinstance(held, dict) and "tool_call_id" in held:
+            results.append((conv, turn, held["tool_call_id"]))
+
+    def right(v, kind):
+        if kind == "integer":
+            return type(v) is int or isinstance(v, float) and v == math.floor(v)
+        return type(v) in {"string": (str,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,)}[kind]
+
+    def valid(name, args):
+        if name not in tools or not isinstance(args, dict) or set(args) - set(tools[name]):
+            return False
+        return all(right(args[k], kind) if k in args else not required for k, (kind, required) in tools[name].items())
+
+    def refs(v):
+        if isinstance(v, dict):
+            return {v["$ref"]} if isinstance(v.get("$ref"), str) else set().union(*map(refs, v.values()))
+        return set().union(*map(refs, v)) if isinstance(v, list) else set()
+
+    def level(conv, call, path=()):
+        """The level that the first call with this identifier has."""
+        if call in path:
+            return math.inf
+        args = min((c for c in calls if c[0] == conv and c[3] == call), key=lambda c: c[1:3])[5]
+        return of(conv, args, (*path, call))
+
+    def of(conv, args, path=()):
+        there = [r for r in refs(args) if any(c[0] == conv and c[3] == r for c in calls)]
+        return max((1 + level(conv, r, path) for r in there), default=0)
+
+    out = Counter()
+    for conv, turn, nth, call, name, args in calls:
+        depth = level(conv, call) if call is not None else of(conv, args)
+        linked = call is not None and any(r[0] == conv and r[2] == call and r[1] >= turn for r in results)
+        out[conv, turn, nth, call, linked, valid(name, args), None if depth == math.inf else depth] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_calls_of_random_conversations(spark, seed):
+    """Identifiers with escapes, chains, several references, cycles, unknown names, and integers of any size."""
+    rng = random.Random(seed)
+    rows = []
+    for conv in range(12):
+        ids = [rng.choice(["a", 'q"uote', "back\\slash", "é\n", "tab\t", "x"]) + str(k) for k in range(rng.randint(1, 14))]
+        values = lambda: rng.choice(["text", 3, 3.0, 2.5, 10**30, -(2**63) - 1, 1e20, True, None, [1], {"$ref": rng.choice(ids)}, {"a": [{"$ref": rng.choice(ids)}, {"$ref": rng.choice([*ids, "nowhere"])}]}])  # noqa: E731, B023
+        turn = 0
+        for i in ids:
+            call = {"id": i, "name": rng.choice(["search", "search", "lookup", "calculate", "none"]), "arguments": {k: values() for k in rng.sample(["query", "limit", "key", "expression", "more"], rng.randint(0, 3))}}
+            if rng.random() < 0.2:
+                del call["id"]
+            if rng.random() < 0.4:
+                call = {**call, "name": "search", "arguments": {"query": rng.choice(["x", 'say "$ref":"a0"']), "limit": rng.choice([1, 2.0, 10**25, 7.5, "8"])}}
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [call]})))
+            turn += rng.randint(0, 1)
+            if rng.random() < 0.6:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice(ids), "content": "c"})))
+    chain = [(99, k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "lookup", "arguments": {"key": {"$ref": f"c{k - 1}"}}}]})) for k in range(40)]
+    rows += chain + [(98, 0, "assistant", json.dumps({"tool_calls": [{"id": a, "name": "lookup", "arguments": {"key": {"$ref": b}}} for a, b in ("ab", "bc", "ca", "da", "ed")]}))]
+    rows += [(97, 0, "assistant", '{"tool_calls":[{"id":"z","name":"search","arguments":{"query":"a","query":"b"}}]}')]
+    got = Counter((r.conv_id, r.turn, r.nth, r.call_id, r.linked, r.valid, r.level) for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r.kind == "call")
+    want = _plain_calls(rows[:-1])
+    want[97, 0, 0, "z", False, False, 0] += 1  # a key named twice
+    assert got == want
+    assert {k[6] for k in got if k[0] == 99} == set(range(40)) and {k[6] for k in got if k[0] == 98} == {None}
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

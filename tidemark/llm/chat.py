@@ -20,8 +20,8 @@ TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
     "lookup": {"key": ("string", True)},
     "calculate": {"expression": ("string", True)},
 }
-#: Names that Spark gives the types of JSON values.
-_TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
+#: Names that Spark gives the types of JSON values. Integers beyond 64 bits are decimals without a scale.
+_TYPES = {"string": "^STRING", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))", "number": "^(BIGINT|DOUBLE|DECIMAL)", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT"}
 _CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
 
@@ -55,7 +55,8 @@ def tool_results(messages: DataFrame) -> DataFrame:
 
 def validated(calls: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """calls with `valid`: the tool is known, arguments are an object with all that is required and nothing unknown or
-    of another type."""
+    of another type. A number without a fraction is an integer however it is written (1.0, 1e3, more than 64 bits), as
+    JSON Schema has it. Objects that name a key twice are no arguments."""
     valid = F.lit(False)
     value = F.try_parse_json("arguments")
     keys = F.json_object_keys("arguments")
@@ -63,37 +64,66 @@ def validated(calls: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -
         ok = F.size(F.array_except(keys, F.array(*map(F.lit, parameters)).cast("array<string>"))) == 0
         for key, (kind, required) in parameters.items():
             part = F.variant_get(value, F.lit(f"$['{key}']"), "variant")
-            shape = F.regexp_extract(F.schema_of_variant(part), "^[A-Z]+", 0)
-            right = shape.isin(_TYPES[kind])
+            right = F.schema_of_variant(part).rlike(_TYPES[kind])
+            if kind == "integer":
+                number = F.when(F.schema_of_variant(part) == "DOUBLE", F.try_variant_get(part, "$", "double"))
+                right = right | F.coalesce((number == F.floor(number)) | (F.abs(number) > 1e15), F.lit(False))
             ok = ok & (F.coalesce(right, F.lit(False)) if required else F.coalesce(right, ~F.array_contains(keys, key)))
         valid = F.when(F.col("name") == name, ok).otherwise(valid)
     return calls.withColumn("valid", F.col("arguments").isNotNull() & F.coalesce(valid, F.lit(False)))
 
 
+def _named() -> Column:
+    """Identifiers of the calls whose results the arguments name."""
+    found = F.regexp_extract_all("arguments", F.lit(r'"\$ref":"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.get_json_object(F.concat(F.lit('{"v":"'), x, F.lit('"}')), "$.v")))
+
+
+def _chain_ends(one: DataFrame) -> DataFrame:
+    """conv_id, key, to, steps from conv_id, key, to of calls that each name one other: where the chain that begins with
+    a call leaves these calls, and after how many steps. Calls on a cycle, or that lead to one, are left out. Each round
+    doubles the steps that are looked ahead."""
+    chains = written(one.select("conv_id", "key", "to", F.lit(1).cast("long").alias("steps")), "chains")
+    n, ahead = chains.count(), 1
+    while True:
+        after = chains.select("conv_id", F.col("key").alias("to"), F.col("to").alias("then"), F.col("steps").alias("more"))
+        held = written(chains.join(after, ["conv_id", "to"], "left"), "chains")
+        if ahead > n or held.where("then is not null").isEmpty():
+            return held.where("then is null").select("conv_id", "key", "to", "steps")
+        chains = held.select("conv_id", "key", F.coalesce("then", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        ahead *= 2
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, key, level: 0 for calls that name no other call's result, else one more than the calls they name.
 
-    Calls on a cycle, or that name one, have no level. One join for each level; stops when a round adds none.
+    Calls on a cycle, or that name one, have no level. Chains of calls that name one other each are followed by
+    doubling; only calls that name several take a join for each level of theirs.
     """
-    named = F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$ref":"((?:[^"\\]|\\.)+)"'), F.lit(1)))
     one = calls.groupBy("conv_id", _key().alias("key")).agg(F.min_by("arguments", F.struct("turn", "nth")).alias("arguments"))
-    needs = one.select("conv_id", "key", F.explode(F.transform(named, lambda x: F.concat(F.lit("="), x))).alias("need"))
+    needs = one.select("conv_id", "key", F.explode(F.transform(_named(), lambda x: F.concat(F.lit("="), x))).alias("need"))
     known = one.select("conv_id", F.col("key").alias("need"))
     needs = written(needs.join(known, ["conv_id", "need"]), "needs")  # names of calls that there are
-    done = one.join(needs.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_anti").select("conv_id", "key", F.lit(0).alias("level"))
+    first = one.join(needs.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_anti").select("conv_id", "key", F.lit(0).cast("long").alias("level"))
     if needs.isEmpty():
-        return done
-    done = written(done, "levels")
-    total = done.count()
-    while True:
-        held = needs.join(done.withColumnsRenamed({"key": "need", "level": "below"}), ["conv_id", "need"], "left")
-        ready = held.groupBy("conv_id", "key").agg(F.max("below").alias("top"), F.count_if(F.col("below").isNull()).alias("open"))
-        ready = ready.where("open = 0").select("conv_id", "key", (F.col("top") + 1).cast("int").alias("level"))
-        done = written(done.unionByName(ready.join(done, ["conv_id", "key"], "left_anti")), "levels")
-        after = done.count()
-        if after == total:
-            return done
+        return first.withColumn("level", F.col("level").cast("int"))
+    first = written(first, "levels")
+    counted = needs.groupBy("conv_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("to"))
+    ends = written(_chain_ends(counted.where("n = 1")), "ends")
+    several = needs.join(counted.where("n > 1").select("conv_id", "key"), ["conv_id", "key"])
+    several = several.join(ends.select("conv_id", F.col("key").alias("need"), "to", "steps"), ["conv_id", "need"], "left")
+    several = written(several.select("conv_id", "key", F.coalesce("to", "need").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "needs")
+    done = written(first.join(several.select("conv_id", F.col("to").alias("key")).distinct(), ["conv_id", "key"], "left_semi"), "levels")
+    total = -1
+    while (after := done.count()) != total:
         total = after
+        held = several.join(done.withColumnRenamed("key", "to"), ["conv_id", "to"], "left")
+        ready = held.groupBy("conv_id", "key").agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        ready = ready.where("open = 0").select("conv_id", "key", "level")
+        done = written(done.unionByName(ready.join(done, ["conv_id", "key"], "left_anti")), "levels")
+    found = written(first.unionByName(done.join(first, ["conv_id", "key"], "left_anti")), "levels")
+    chained = ends.join(found.withColumnRenamed("key", "to"), ["conv_id", "to"]).select("conv_id", "key", (F.col("level") + F.col("steps")).alias("level"))
+    return found.unionByName(chained).withColumn("level", F.col("level").cast("int"))
 
 
 def format_chat(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] = TOOLS) -> DataFrame:
@@ -103,7 +133,8 @@ def format_chat(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]
     a message with that content; calls without an identifier have a null call_id and aren't linked. A call is linked when a result names it, a result when a call at an earlier or
     the same turn has its identifier (the first such call, where several share it). A conversation is written by
     ordering its rows by turn, level (null last), nth and kind (messages before calls). Messages that
-    look like JSON but don't parse are plain messages; null texts and roles are JSON nulls; rows with a null conversation or turn stay, linked with nothing;
+    look like JSON but don't parse are plain messages; of a key that a message names twice the last one counts, and
+    arguments that do so are null; numbers of more than 38 digits are written as doubles; null texts and roles are JSON nulls; rows with a null conversation or turn stay, linked with nothing;
     repeated rows give repeated rows. An empty table gives an empty result.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
