@@ -160,14 +160,44 @@ def test_one_of_each_group_stays(spark, documents, corpus):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_orders_are_intersected_before_texts_move():
+    """Sets that share few tokens meet under one order now and then, hardly under all."""
+    rng = np.random.default_rng(5)
+    one = both = 0
+    for _ in range(300):
+        x, y = (np.unique(hashing.mix(rng.integers(0, 2**63, 100).astype(np.uint64))) for _ in range(2))
+        y[:12] = x[:12]
+        y = np.unique(y)
+        sketches = [ngram_join.sketch(s, 75) for s in (x, y)]
+        half = [s[: len(s) // 2] for s in sketches]
+        one += bool(np.isin(*(np.frombuffer(h, "<u2") for h in half)).any())
+        both += ngram_join.prefixes_meet(sketches[0], len(x), sketches[1], len(y), 75)
+    assert 0 < both < one < 300
+
+
+def test_a_list_of_many_members(spark, documents):
+    """A passage that 20,000 documents share, of which few are similar: every link is found and none made up."""
+    rng = random.Random(21)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join([*passage, *(f"o{k}x{j}" for j in range(rng.choice([5, 6, 7, 30])))])) for k in range(20_000)]
+    rows += [(30_000 + k, rows[k][1] + " more") for k in range(0, 200, 20)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(documents(rows)).collect()}
+    shingles = lambda n: 30 + n - 4
+    size = {k: len(t.split()) - 30 for k, t in rows}
+    # 26 shared shingles of 31 and 31 (5 own words) are 72 %; so only the copies link.
+    assert all(100 * 26 < 75 * (shingles(a) + shingles(b) - 26) for a in (5, 6, 7, 30) for b in (5, 6, 7, 30))
+    assert got == {k: k - 30_000 if k >= 30_000 else k for k, _ in rows} and max(size.values()) == 31
+
+
 def test_signatures_never_exclude_similar_sets():
     rng = np.random.default_rng(3)
     for _ in range(300):
-        n, m = rng.integers(1, 400, 2)
+        n, m = rng.integers(1, 800, 2)
         pool = hashing.mix(rng.integers(0, 2**63, n + m).astype(np.uint64))
         x, y = np.unique(rng.choice(pool, n)), np.unique(rng.choice(pool, m))
         both = len(np.intersect1d(x, y))
         if 100 * both >= 50 * (len(x) + len(y) - both):
+            assert ngram_join.prefixes_meet(ngram_join.sketch(x, 50), len(x), ngram_join.sketch(y, 50), len(y), 50)
             assert ngram_join.may_be_similar(ngram_join.signature(x), len(x), ngram_join.signature(y), len(y), 50)
         assert ngram_join.similar(x, y, 50) == (100 * both >= 50 * (len(x) + len(y) - both))
 

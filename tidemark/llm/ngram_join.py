@@ -6,9 +6,10 @@ with a Jaccard similarity of 75 percent share a token among the first n - ceil(0
 tokens; that holds under every order at once, so a pair must pass all filters:
 
 - the first order puts tokens that are frequent in the corpus last and the others by hash; its prefixes are the index;
-- two further orders by other hashes are checked on a candidate pair before its intersection is counted.
+- under two further orders (by other hashes) every set keeps a sketch of its prefix, fingerprints of these tokens. A
+  candidate pair's prefixes must meet under each of these orders too, before its texts move.
 
-Before any text moves, a candidate pair must also pass a bound on its intersection: every set keeps a few counts of its
+What the orders leave must also pass a bound on its intersection: every set keeps a few counts of its
 tokens by hash bucket, and two sets share at most the sum of the smaller counts.
 
 Pairs within a posting list are not all made. First each list links its members to a leader near their size. Where
@@ -20,6 +21,7 @@ component, so no link that matters is lost.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ SALT_ROWS = 256
 COMMON = 8
 #: Members of a list that one task reads, about: lists of more frequent tokens are dealt out by class as well.
 LIST_ROWS = 100_000
+#: Tokens of a prefix up to which fingerprints have 2 bytes, beyond that 4.
+SHORT_PREFIX = 128
 #: Members from which on a list's pairs are made once for all the lists that hold them.
 LONG_LIST = 64
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -55,17 +59,31 @@ def prefix_size(n: int, threshold: int = THRESHOLD) -> int:
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
-    """Whether the Jaccard similarity of two sorted sets reaches the threshold; other token orders are tried first."""
+    """Whether the Jaccard similarity of two sorted sets reaches the threshold."""
     if min(len(x), len(y)) * 100 < threshold * max(len(x), len(y)):
         return False
-    for seed in _ORDERS:
-        p, q = (np.partition(mix(s ^ seed), prefix_size(len(s), threshold) - 1)[: prefix_size(len(s), threshold)] for s in (x, y))
-        if not np.isin(p, q).any():
-            return False
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * shared >= threshold * (len(x) + len(y) - shared)
 
 
+def sketch(s: np.ndarray, threshold: int) -> bytes:
+    """Sorted fingerprints of a set's prefix under each further order, one order after the other."""
+    p = prefix_size(len(s), threshold)
+    kind = "<u2" if p <= SHORT_PREFIX else "<u4"
+    return b"".join(np.sort(np.partition(mix(s ^ seed), p - 1)[:p].astype(kind)).tobytes() for seed in _ORDERS)
+
+
+def prefixes_meet(x: bytes, nx: int, y: bytes, ny: int, threshold: int) -> bool:
+    """False only if sets with these sketches share no token of their prefixes under one of the further orders."""
+    both = []
+    for held, n in ((x, nx), (y, ny)):
+        p = prefix_size(n, threshold)
+        both.append(np.frombuffer(held, "<u2" if p <= SHORT_PREFIX else "<u4").reshape(len(_ORDERS), p))
+    if both[0].dtype != both[1].dtype:
+        both = [b.astype("<u2") for b in both]
+    return all(np.isin(a, b).any() for a, b in zip(*both, strict=True))
+
+
 def signature(s: np.ndarray) -> bytes:
     """Tokens of a set in each of about a quarter as many buckets, a byte for each (255: as many or more)."""
     bits = max(4, (len(s) // 4).bit_length())
@@ -103,14 +121,14 @@ def _class_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_PROFILE = "doc_id long, text_key long, n int, cls long, digest binary, sig binary, token long, seen long"
+_PROFILE = "doc_id long, text_key long, n int, cls long, digest binary, sig binary, sketch binary, token long, seen long"
 
 
-def _profiles(rows: DataFrame, size: int) -> DataFrame:
-    """Per document its set's size, class and digest; and per chunk of documents the tokens that several share."""
+def _profiles(rows: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Per document its set's size, class, digest, signature and sketch; and per chunk of documents the tokens that several share."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("token", pa.int64()), ("seen", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("sketch", pa.binary()), ("token", pa.int64()), ("seen", pa.int64())])
         held: list[np.ndarray] = []
         tokens = 0
 
@@ -118,16 +136,17 @@ def _profiles(rows: DataFrame, size: int) -> DataFrame:
             token, seen = np.unique(np.concatenate(held), return_counts=True)
             ok = seen >= CHUNK_LEAST
             none = pa.nulls(int(ok.sum()))
-            columns = [none.cast(f.type) for f in list(schema)[:6]] + [pa.array(token[ok].view(np.int64)), pa.array(seen[ok].astype(np.int64))]
+            columns = [none.cast(f.type) for f in list(schema)[:7]] + [pa.array(token[ok].view(np.int64)), pa.array(seen[ok].astype(np.int64))]
             return pa.RecordBatch.from_arrays(columns, schema=schema) if ok.any() else None
 
         for batch in batches:
             ids, keys, texts = batch.column(0), batch.column(1), text_bytes(batch.column(2))
-            n, cls, digest, sig = [], [], [], []
+            n, cls, digest, sig, sketches = [], [], [], [], []
             for s, other in _two_sets(texts, size):
                 n.append(len(s))
                 cls.append(_class_id(s) if len(s) else None)
                 sig.append(signature(s) if len(s) else None)
+                sketches.append(sketch(s, threshold) if len(s) else None)
                 digest.append(hashlib.blake2b(other.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None)
                 if tokens + len(s) > CHUNK_TOKENS and held:
                     if (found := shared()) is not None:
@@ -136,7 +155,7 @@ def _profiles(rows: DataFrame, size: int) -> DataFrame:
                 held.append(s)
                 tokens += len(s)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(sketches, pa.binary()), none, none], schema=schema)
         if held and (found := shared()) is not None:
             yield found
 
@@ -249,17 +268,17 @@ def _leaders(postings: DataFrame, threshold: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Those of the distinct pairs a, b whose signatures leave them a chance."""
+    """Those of the distinct pairs a, b whose prefixes meet under every order, and whose signatures leave them a chance."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = (c.to_pylist() for c in batch.columns[2:])
-            ok = [may_be_similar(x, nx, y, ny, threshold) for x, nx, y, ny in zip(*columns, strict=True)]
+            ok = [prefixes_meet(p, nx, q, ny, threshold) and may_be_similar(x, nx, y, ny, threshold) for p, x, nx, q, y, ny in zip(*columns, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    x = classes.select(F.col("cls").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx"))
-    y = classes.select(F.col("cls").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "nx", "y", "ny")
+    x = classes.select(F.col("cls").alias("a"), F.col("sketch").alias("p"), F.col("sig").alias("x"), F.col("n").alias("nx"))
+    y = classes.select(F.col("cls").alias("b"), F.col("sketch").alias("q"), F.col("sig").alias("y"), F.col("n").alias("ny"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "p", "x", "nx", "q", "y", "ny")
     return written(both.mapInArrow(emit, "a long, b long"), "pairs")
 
 
@@ -295,10 +314,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
 
 
 def _across(x: DataFrame, threshold: int, also=None) -> DataFrame:
-    """Pairs a, b of classes in one list, but in two pieces, that sizes and shareable tokens allow."""
-    y = x.withColumnsRenamed({c: f"{c}2" for c in x.columns})
+    """Pairs a, b of classes in one list, but in two pieces, that sizes and shareable tokens allow.
+
+    Classes only meet within bands of sizes: similar sets are in one band, or in two neighbouring ones.
+    """
+    band = F.floor(F.log(F.col("n")) / math.log(1.01 * 100 / threshold)).cast("int")
+    y = x.withColumn("band", band).withColumnsRenamed({c: f"{c}2" for c in x.columns})
+    x = x.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
     least = F.when(F.col("covered") & F.col("covered2"), F.least("room", "room2")).otherwise(F.least("n", "n2"))
-    on = (F.col("token") == F.col("token2")) & (F.col("piece") != F.col("piece2")) & (F.col("cls") < F.col("cls2")) & (100 * least >= threshold * (F.col("n") + F.col("n2") - least))
+    on = (F.col("token") == F.col("token2")) & (x["band"] == y["band"]) & (F.col("piece") != F.col("piece2")) & (F.col("cls") < F.col("cls2")) & (100 * least >= threshold * (F.col("n") + F.col("n2") - least))
     return x.join(y, on if also is None else on & also).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
 
 
@@ -311,7 +335,7 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    profile = written(_profiles(rows.select("doc_id", "text_key", "text"), size), "profiles")
+    profile = written(_profiles(rows.select("doc_id", "text_key", "text"), size, threshold), "profiles")
     members = profile.where("doc_id is not null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "cls", "digest")
     clash = members.groupBy("cls").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
     if clash.count():  # about one in 10**9 corpora of 10**5 documents; never passed over in silence
@@ -328,7 +352,7 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
         above = lists.where("salt > 0 and cls = leader").withColumn("salt", F.lit(0)).drop("leader")
         pairs = pairs.unionAll(_leaders(above, threshold).where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")))
     stars = written(pairs.distinct(), "stars")
-    one = profile.where("cls is not null").groupBy("cls").agg(F.min_by(F.struct("doc_id", "text_key", "n", "sig"), F.struct("doc_id", "text_key")).alias("d"))
+    one = profile.where("cls is not null").groupBy("cls").agg(F.min_by(F.struct("doc_id", "text_key", "n", "sig", "sketch"), F.struct("doc_id", "text_key")).alias("d"))
     classes = written(one.select("cls", "d.*"), "classes")
     likely = _possible(stars, classes, threshold)
     first = written(_verified(likely, _texts(rows, classes, likely), size, threshold), "links")
