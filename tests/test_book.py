@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import levels
@@ -9,20 +11,34 @@ def _levels(*pairs):
     return [{"price": float(p), "qty": float(q)} for p, q in pairs]
 
 
-def test_snapshot_then_delta():
-    b = LiveBook()
-    b.apply("snapshot", 10, 100, _levels((100, 2), (99, 3)), _levels((101, 4), (102, 5)))
-    n = b.apply("delta", 11, 101, _levels((100, 0), (100.5, 1)), _levels((101, 6), (103, 7)))
-    bids, asks = b.top(3)
-    assert n == 4 and bids == [(100.5, 1), (99, 3)] and asks == [(101, 6), (102, 5), (103, 7)]
-    assert (b.update_id, b.seq) == (11, 101)
-
-
-def test_update_one_restarts_the_book():
-    b = LiveBook()
-    b.apply("snapshot", 5, 1, _levels((100, 1)), _levels((101, 1)))
-    b.apply("delta", 1, 2, _levels((90, 2)), _levels((91, 2)))
-    assert b.top(1) == ([(90, 2)], [(91, 2)])
+def _plain_book(messages):
+    """Bids and asks that the messages leave: price to quantity."""
+    sides = ({}, {})
+    for kind, update, changes in messages:
+        if kind == "snapshot" or update == 1:
+            sides = ({}, {})
+        for side, pairs in zip(sides, changes, strict=True):
+            for price, qty in pairs:
+                side.pop(price, None)
+                if qty:
+                    side[price] = qty
+    return sides
+
+
+def test_live_books_equal_a_plain_fold():
+    rng = random.Random(17)
+    for _ in range(40):
+        live, messages = LiveBook(), []
+        for n in range(rng.randint(1, 30)):
+            kind = "snapshot" if not n or rng.random() < 0.05 else "delta"
+            update = 1 if n and rng.random() < 0.05 else n + 2
+            pairs = lambda low: [(low + k / 2, rng.choice([0, 1, 2.5, 7])) for k in rng.sample(range(12), rng.randint(0, 5))]
+            changes = pairs(90.0), pairs(100.0)
+            messages.append((kind, update, changes))
+            live.apply(kind, update, 100 + n, *(_levels(*c) for c in changes))
+            assert (live.update_id, live.seq) == (update, 100 + n)
+            bids, asks = _plain_book(messages)
+            assert live.top(6) == (sorted(bids.items(), reverse=True)[:6], sorted(asks.items())[:6])
 
 
 def test_old_version_does_not_clean_the_book():

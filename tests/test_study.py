@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import episodes as ep
-from tidemark.operators import metrics, models, validation
+from tidemark.operators import bars, metrics, models, validation
 from tidemark.operators import policy as po
 from tidemark.sources.tables import clean_json, synthetic_ticks
 
@@ -96,9 +96,85 @@ def test_tier_c_is_no_gate(spark):
     assert m.tier_c_recall == 0 and "tier_c_recall" not in m.checks and m.tier_a_recall == m.tier_b_recall == 1.0 and len(m.checks) == 9
 
 
-def test_published_reductions():
-    # The published counts and reductions agree.
-    assert 1 - 3437 / 12605 == pytest.approx(0.727330, abs=1e-6) and 1 - 10834 / 35105 == pytest.approx(0.691383, abs=1e-6)
+def test_published_reductions(spark):
+    """The published counts give the published reductions."""
+    for n, kept, want in ((12_605, 3437, 0.727330), (35_105, 10_834, 0.691383)):
+        decisions = spark.range(n).select(F.lit("v").alias("variant"), (F.col("id") * 1000).alias("ts_ms"), F.lit(5000).cast("long").alias("interval_ms"), (F.col("id") < kept).cast("int").alias("snapshot"))
+        ticks = decisions.select("ts_ms", F.lit(1.0).alias("mid"), F.lit(0.0).alias("imbalance"), *(F.lit(0.0).alias(f"fast_{s}") for s in po.ALL))
+        marked = ep.tiers(ticks, EVENT)
+        strong = ep.episodes(marked, ep.Rules())
+        m = ep.evaluate(ticks, decisions, strong, ep.lone_episodes(marked, strong, ep.Rules()), ep.Rules(), ["variant"]).first()
+        assert (m.snapshot_count, m.base_snapshot_count) == (kept, n) and m.snapshot_reduction == pytest.approx(want, abs=1e-6)
+
+
+def _plain_decisions(ticks, row, calibration, tick):
+    """Heat, interval and snapshots of one policy, tick by tick."""
+    import math
+
+    heat, taken, interval, out = 0.0, None, row["interval_quiet"], []
+    times = [t["ts_ms"] for t in ticks]
+    for n, t in enumerate(ticks):
+        dt = max(1, times[n] - times[n - 1]) if n else tick
+        x = {s: t[f"fast_{s}"] / max(calibration[f"base_{s}"], 1e-9) for s in po.ALL}
+        over = {f: any(x[s] > row[f"dead_{f}"] for s in names) for f, names in po.SENSORS.items()}
+        high = {f: any(t[f"fast_{s}"] / calibration[f"event_{s}"] >= row["shock"] for s in names) for f, names in po.SENSORS.items()}
+        both = over["flow"] and over["book"]
+        energy = row["bonus"] * both
+        for f, names in po.SENSORS.items():
+            for s in names:
+                excess = max(0.0, x[s] / row[f"dead_{f}"] - 1)
+                energy += row[f"w_{s}"] * (math.sqrt(excess) if row["transform"] == "sqrt_excess" else math.log1p(excess)) * (1.0 if both or f == "price" else row["single"])
+        tau = row["tau"] if over["price"] or both else max(row["least_tau"], row["tau"] * row["quiet"])
+        heat = min(row["max_heat"], heat * math.exp(-dt / tau) + row["gain"] * energy * dt / row["unit_ms"])
+        new = next((row[f"interval_{r}"] for r in ("extreme", "active", "normal") if heat >= row[f"heat_{r}"]), row["interval_quiet"])
+        if high["price"]:
+            new = min(new, row["interval_extreme"])
+        elif high["flow"] and high["book"]:
+            new = min(new, row["interval_active"])
+        snap = taken is None or times[n] - taken >= new or new < interval
+        if snap:
+            taken = times[n]
+        interval = new
+        out.append((row["variant"], times[n], round(heat, 9), new, int(snap)))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1000, 7000, 10**9])
+def test_policies_on_gapped_timelines_against_a_plain_loop(spark, chunk):
+    import random
+
+    rng, at, ticks = random.Random(chunk), 0, []
+    for _ in range(400):
+        at += rng.choice([250, 250, 250, 1, 40, 900, 6000])
+        ticks.append({"ts_ms": at, "mid": 100.0, "imbalance": 0.1} | {f"fast_{s}": BASE[s] * rng.choice([0, 0.5, 1, 1.6, 4, 9]) for s in po.ALL})
+    calibration = {f"base_{k}": v for k, v in BASE.items()} | {f"event_{k}": 9.5 * v for k, v in BASE.items()}
+    table = spark.createDataFrame([tuple(calibration.values())], ", ".join(f"{k} double" for k in calibration))
+    rows = po.variant_rows()[::67]
+    line = spark.createDataFrame([tuple(t.values()) for t in ticks], "ts_ms long, mid double, imbalance double, " + ", ".join(f"fast_{s} double" for s in po.ALL)).repartition(5)
+    got = po.simulate(po.energised(line, po.variants(spark, rows), table, 250), chunk_ms=chunk).collect()
+    want = [d for r in rows for d in _plain_decisions(ticks, r, calibration, 250)]
+    assert sorted((r.variant, r.ts_ms, round(r.heat, 9), r.interval_ms, r.snapshot) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("chunk", [700, 10**9])
+def test_fixed_intervals_on_gapped_timelines(spark, chunk):
+    import random
+
+    rng, times = random.Random(3), [0, 250, 500, 750, 10_100]
+    for _ in range(200):
+        times.append(times[-1] + rng.choice([1, 100, 250, 400, 2600]))
+    line = spark.createDataFrame([(t,) for t in times], "ts_ms long").repartition(4)
+    want = set()
+    for name, interval in po.FIXED.items():
+        last = None
+        for t in times:
+            if last is None or t - last >= interval:
+                last = t
+                want.add((name, t))
+    assert {(r.variant, r.ts_ms) for r in po.fixed(line, chunk_ms=chunk).collect() if r.snapshot} == want
+    some = bars.greedy_cadence(line, 1000, chunk=chunk)
+    assert {r.ts_ms for r in some.collect() if r.snapshot} == {t for n, t in want if n == "fixed-1s"}
+    assert bars.greedy_cadence(line.limit(0), 1000).count() == 0
 
 
 def test_evaluation_without_episodes(spark):

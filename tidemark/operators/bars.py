@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import floor_to, ratio, rounded
+from .chunks import greedy
 
 
 def ohlcv(trades: DataFrame, step: int, keys: Sequence[str] = ("channel",), out: str = "bar_ms") -> DataFrame:
@@ -55,13 +56,11 @@ def fixed_cadence(rows: DataFrame, step: int, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys, floor_to("ts_ms", step).alias("sample_ms")).agg(F.max_by(value, F.struct("ts_ms", "event_id")).alias("__row")).select(*keys, "sample_ms", "__row.*")
 
 
-def greedy_cadence(ticks: DataFrame, interval: int, at: str = "ts_ms") -> DataFrame:
+def greedy_cadence(ticks: DataFrame, interval: int, at: str = "ts_ms", chunk: int = 86_400_000) -> DataFrame:
     """Ticks with snapshot 1 where `interval` has passed since the last snapshot, the first tick being one.
 
-    On a regular grid that is every ceil(interval / tick)-th tick, so no recurrence is needed.
+    Ticks may lie at any distance; several at one time count as one, and a null time is no snapshot.
     """
-    bounds = ticks.agg(F.min(at).alias("__first"), (F.count_distinct(at)).alias("__n"), F.max(at).alias("__last"))
-    tick = F.greatest((F.col("__last") - F.col("__first")) / F.greatest(F.col("__n") - 1, F.lit(1)), F.lit(1)).cast("long")
-    step = F.greatest(F.ceil(F.lit(interval) / tick), F.lit(1)) * tick
-    marked = ticks.crossJoin(F.broadcast(bounds))  # one row
-    return marked.withColumn("snapshot", F.when(F.pmod(F.col(at) - F.col("__first"), step) == 0, 1).otherwise(0)).drop("__first", "__n", "__last")
+    times = ticks.where(F.col(at).isNotNull()).select(F.col(at).cast("long").alias("__at")).distinct().withColumn("__due", F.col("__at") - interval)
+    marked = greedy(times, [], "__at", F.floor(F.col("__at") / chunk), "__due", "snapshot").drop("__due")
+    return ticks.join(marked, ticks[at] == marked["__at"], "left").drop("__at").withColumn("snapshot", F.coalesce("snapshot", F.lit(0)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
             state = combine(state, tuple(e))
         return pdf[[*keys, CHUNK]].assign(__state=out)
 
-    begun = effects.groupBy(*keys).applyInPandas(states, ", ".join([*key_fields, "__state double"])) if keys else effects.groupBy(F.lit(1)).applyInPandas(states, ", ".join([*key_fields, "__state double"]))
+    begun = effects.groupBy(*keys).applyInPandas(states, ", ".join([*key_fields, "__state double"])) if keys else effects.groupBy(F.lit("")).applyInPandas(states, ", ".join([*key_fields, "__state double"]))
     joined = base.join(begun, [*keys, CHUNK])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,3 +113,67 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
     """The value in the row before, null in the first row (lag over the whole series)."""
     held = F.struct(col(value).alias("v"))
     return carry(df, keys, order, chunk, {name: held}, inclusive=False).withColumn(name, F.col(name)["v"])
+
+
+def _chosen(at: np.ndarray, due: np.ndarray, first: int) -> list[int]:
+    """The rows that are chosen from row `first` on: each next one is the first whose `due` isn't before the last one."""
+    out, n = [], len(at)
+    while first < n:
+        out.append(first)
+        low, span = first + 1, 16
+        while low < n:
+            ok = due[low : low + span] >= at[first]
+            if ok.any():
+                low += int(ok.argmax())
+                break
+            low, span = low + span, 2 * span
+        first = low
+    return out
+
+
+def greedy(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, due: str, name: str) -> DataFrame:
+    """Adds `name`: 1 for rows that a greedy choice along `at` takes, else 0.
+
+    A series' first row is taken, and each row whose `due` isn't before the last one taken. What a chunk does to the
+    last row taken before it is a step function of that row's time, with as many steps as rows that can come first; so
+    each chunk is solved by itself, and only these steps are brought together. Times differ within a series, and columns
+    hold no nulls.
+    """
+    keys, base = list(keys), df.withColumn(CHUNK, chunk)
+    head = [f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keys, CHUNK).schema]
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at)
+        t, d = pdf[at].to_numpy(), pdf[due].to_numpy()
+        bounds, ends, reach = [], [], None
+        for i in range(len(d)):  # ends where a row comes first whatever was taken before the chunk
+            if reach is None or d[i] > reach:
+                reach = d[i]
+                bounds.append(int(reach))
+                ends.append(int(t[_chosen(t, d, i)[-1]]))
+                if reach >= t[0]:
+                    break
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in [*keys, CHUNK]} | {"__bounds": [bounds], "__ends": [ends]})
+
+    effects = base.groupBy(*keys, CHUNK).applyInPandas(steps, ", ".join([*head, "__bounds array<long>", "__ends array<long>"]))
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, out = pdf.sort_values(CHUNK), None, []
+        for bounds, ends in zip(pdf["__bounds"], pdf["__ends"], strict=True):
+            out.append(np.iinfo(np.int64).min if last is None else last)
+            at_step = 0 if last is None else int(np.searchsorted(bounds, last))
+            last = int(ends[at_step]) if at_step < len(ends) else last
+        return pdf[[*keys, CHUNK]].assign(__last=out)
+
+    begun = effects.groupBy(*(keys or [F.lit("")])).applyInPandas(states, ", ".join([*head, "__last long"]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at)
+        t, d, last = pdf[at].to_numpy(), pdf[due].to_numpy(), int(pdf["__last"].iloc[0])
+        marks, begin = np.zeros(len(t), np.int32), np.flatnonzero(d >= last)
+        if len(begin):
+            marks[_chosen(t, d, int(begin[0]))] = 1
+        return pdf.drop(columns=[CHUNK, "__last"]).assign(**{name: marks})
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), f"{name} int"])
+    return base.join(begun, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(run, schema)

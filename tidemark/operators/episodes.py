@@ -112,7 +112,8 @@ def oversampling(strong: DataFrame, decisions: DataFrame, rules: Rules, keys: Se
     data ended (no value).
     """
     keys = list(keys)
-    nxt = strong.withColumn("next_ms", F.lead("start_ms").over(Window.orderBy("start_ms")))  # episodes are few
+    back = strong.withColumn("__back", -F.col("start_ms"))
+    nxt = previous(back, [], ["__back"], F.floor(F.col("__back") / DAY), "next_ms", "start_ms").drop("__back")
     end = decisions.groupBy(*keys).agg(F.max("ts_ms").alias("__end"))
     natural = F.col("end_ms") + rules.horizon + rules.tick
     e = nxt.crossJoin(F.broadcast(end)).withColumn("__stop", F.least(natural, F.col("next_ms"), F.col("__end") + rules.tick))

@@ -154,8 +154,8 @@ def fixed_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = asof.time_grid(trades(spark, sf_dir), "ts_ms", 900_000)
-    return bars.greedy_cadence(ticks, 2_500_000)
+    """Over the times of trades, which lie at any distance."""
+    return bars.greedy_cadence(trades(spark, sf_dir).select("ts_ms").distinct(), 2_500_000)
 
 
 _FLOW = f"CASE WHEN volume = 0 THEN NULL ELSE {r6('delta / volume')} END AS delta_ratio, CASE WHEN volume = 0 THEN NULL ELSE {r6('turnover / volume')} END AS vwap"
@@ -223,9 +223,8 @@ ORACLE = {
         SELECT bar_ms, max(prob) FILTER (side = 'Buy') AS p_long, max(prob) FILTER (side = 'Sell') AS p_short FROM t LEFT JOIN s USING (bar_ms) GROUP BY bar_ms""",
     "fixed_cadence": f"""WITH {TRADES} SELECT channel, ts_ms // 600000 * 600000 AS sample_ms, ts_ms, event_id, price, size FROM trades
         QUALIFY row_number() OVER (PARTITION BY channel, ts_ms // 600000 ORDER BY ts_ms DESC, event_id DESC) = 1""",
-    "greedy_cadence": f"""WITH RECURSIVE {TRADES}, t AS (SELECT unnest(range(min(ts_ms) // 900000 * 900000, max(ts_ms) // 900000 * 900000 + 1, 900000)) AS ts_ms FROM trades),
-        s AS (SELECT min(ts_ms) AS ts_ms, min(ts_ms) AS last FROM t UNION ALL
-              SELECT s.ts_ms + 900000, CASE WHEN s.ts_ms + 900000 - s.last >= 2500000 THEN s.ts_ms + 900000 ELSE s.last END FROM s WHERE s.ts_ms + 900000 <= (SELECT max(ts_ms) FROM t))
-        SELECT ts_ms, CAST(CASE WHEN ts_ms = last THEN 1 ELSE 0 END AS INTEGER) AS snapshot FROM s""",
+    "greedy_cadence": f"""WITH RECURSIVE {TRADES}, t AS (SELECT DISTINCT ts_ms FROM trades),
+        s AS (SELECT min(ts_ms) AS ts_ms FROM t UNION ALL SELECT n FROM (SELECT (SELECT min(t.ts_ms) FROM t WHERE t.ts_ms >= s.ts_ms + 2500000) AS n FROM s) WHERE n IS NOT NULL)
+        SELECT t.ts_ms, CAST(s.ts_ms IS NOT NULL AS INTEGER) AS snapshot FROM t LEFT JOIN s ON s.ts_ms = t.ts_ms""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -70,7 +70,7 @@ def triple_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bars(spark, sf_dir)
-    signals = b.where(F.col("idx") % 5 == 0).select("channel", "idx", F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("direction"))
+    signals = b.select("channel", "idx", F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("direction"))
     return labels.index_barrier(signals, b, KEYS, TARGET)
 
 
@@ -188,7 +188,7 @@ ORACLE = {
         f AS (SELECT *, CASE WHEN b IS NULL OR signal_ms - b > 21600000 THEN 1 ELSE 0 END AS is_first FROM l)
         SELECT channel, signal_ms, CAST(direction AS INTEGER) AS direction, formation, CAST(is_first AS INTEGER) AS is_first, CASE direction WHEN 1 THEN 'L' ELSE 'S' END || lpad(CAST(sum(is_first) OVER (PARTITION BY channel, direction ORDER BY signal_ms, formation) AS VARCHAR), 7, '0') AS episode_id FROM f""",
     "triple_barrier": f"WITH {_CAND}, {_PATH}, {_barrier('cand', 'path', 'bar_ms', 3_600_000)} SELECT * FROM res",
-    "index_barrier": f"""WITH {GRID}, {_IDX}, ipath AS (SELECT *, 0 AS price_missing FROM idx), isig AS (SELECT channel, idx AS signal_ms, CASE WHEN idx % 2 = 0 THEN 1 ELSE -1 END AS direction FROM idx WHERE idx % 5 = 0),
+    "index_barrier": f"""WITH {GRID}, {_IDX}, ipath AS (SELECT *, 0 AS price_missing FROM idx), isig AS (SELECT channel, idx AS signal_ms, CASE WHEN idx % 2 = 0 THEN 1 ELSE -1 END AS direction FROM idx),
         {_barrier('isig', 'ipath', 'idx', 1)} SELECT channel, signal_ms AS idx, direction, entry, outcome, hit_bars, label FROM res""",
     "mfe_mae": f"""WITH {_CAND}, {_PATH}, sig AS (SELECT DISTINCT channel, signal_ms, direction FROM cand), ent AS (SELECT sig.*, p.close AS entry FROM sig LEFT JOIN path p ON p.channel = sig.channel AND p.bar_ms = signal_ms),
         m AS (SELECT s.channel, s.signal_ms, s.direction, any_value(entry) AS entry, max(b.high) AS hi, min(b.low) AS lo, count(b.high) AS n FROM ent s LEFT JOIN path b ON b.channel = s.channel AND b.bar_ms > s.signal_ms AND b.bar_ms <= s.signal_ms + 24 * 3600000 GROUP BY ALL),

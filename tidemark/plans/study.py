@@ -19,6 +19,7 @@ class Study:
     winner: str
     passed: bool
     holdout: DataFrame | None
+    baselines: DataFrame | None = None
 
 
 def thresholds_of(calibration: DataFrame) -> dict[str, float]:
@@ -32,7 +33,16 @@ def judge(ticks: DataFrame, rows: list[dict], calibration: DataFrame, rules: ep.
     marked = written(ep.tiers(ticks, thresholds_of(calibration)), "tiers")
     strong = written(ep.episodes(marked, rules), "episodes")
     lone = written(ep.lone_episodes(marked, strong, rules), "episodes")
-    decisions = written(po.simulate(po.energised(ticks, po.variants(spark, rows), calibration, rules.tick)), "decisions")
+    decisions = written(po.simulate(po.energised(ticks, po.variants(spark, rows), calibration, rules.tick), chunk_ms=rules.tick * po.CHUNK_TICKS), "decisions")
+    return written(ep.evaluate(ticks, decisions, strong, lone, rules, ["variant"], gates), "metrics")
+
+
+def judge_fixed(ticks: DataFrame, calibration: DataFrame, rules: ep.Rules, intervals: dict[str, int] = po.FIXED, gates: dict[str, float] = ep.GATES) -> DataFrame:
+    """Metrics of sampling at fixed intervals."""
+    marked = written(ep.tiers(ticks, thresholds_of(calibration)), "tiers")
+    strong = written(ep.episodes(marked, rules), "episodes")
+    lone = written(ep.lone_episodes(marked, strong, rules), "episodes")
+    decisions = written(po.fixed(ticks, intervals, chunk_ms=rules.tick * po.CHUNK_TICKS), "decisions")
     return written(ep.evaluate(ticks, decisions, strong, lone, rules, ["variant"], gates), "metrics")
 
 
@@ -47,4 +57,4 @@ def run_study(calibration_ticks: DataFrame, holdout_ticks: DataFrame, rows: list
     best = po.winner(ranked).first()
     holdout = judge(holdout_ticks, [r for r in plain if r["variant"] == best.variant], calibration, rules, gates) if best["pass"] else None
     top = ranked.orderBy(F.desc("pass"), F.desc("tier_a_snapshot_recall"), F.desc("tier_b_snapshot_recall"), F.desc("ab_weighted_recall"), F.asc("oversampling_p95_ms"), F.asc("ordinal")).limit(20)
-    return Study(top, ep.gate_report(metrics), best.variant, best["pass"], holdout)
+    return Study(top, ep.gate_report(metrics), best.variant, best["pass"], holdout, judge_fixed(calibration_ticks, calibration, rules, gates=gates))

@@ -91,7 +91,7 @@ def _calibration(spark: SparkSession) -> DataFrame:
 
 def _decisions(spark: SparkSession, line: DataFrame, rows: list[dict]) -> DataFrame:
     energy = po.energised(line, po.variants(spark, rows), _calibration(spark), TICK)
-    return written(po.simulate(energy), "decisions")
+    return written(po.simulate(energy, chunk_ms=TICK * po.CHUNK_TICKS), "decisions")
 
 
 def _one() -> list[dict]:
@@ -145,6 +145,13 @@ def policy_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("variant", "ordinal", "gates_passed", "pass", "snapshot_reduction")
 
 
+def fixed_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, strong, lone = _truth(spark, sf_dir)
+    found = written(po.fixed(line, scale=SCALE, chunk_ms=TICK * po.CHUNK_TICKS), "decisions")
+    m = ep.evaluate(line, found, strong, lone, RULES, ["variant"], GATES)
+    return m.select("variant", *(rounded(c).alias(c) for c in _SHOWN), "snapshot_count", "gates_passed")
+
+
 TIMELINE = f"""{TRADES}, ev AS (SELECT event_id, ts_ms, price, price * size AS quote, size % 7 AS churn, channel = 'spot' AS prim FROM trades),
     st AS (SELECT event_id, abs(price - lag(price) OVER (ORDER BY ts_ms, event_id)) AS step FROM ev WHERE prim), e AS (SELECT ev.*, step FROM ev LEFT JOIN st USING (event_id)),
     tk AS (SELECT unnest(range(min(ts_ms) // {TICK} * {TICK}, (max(ts_ms) + {SLOW}) // {TICK} * {TICK} + 1, {TICK})) AS tick FROM ev)"""
@@ -194,9 +201,9 @@ def _policy_sql(rows: list[dict]) -> str:
     final = lambda h: f"CASE WHEN p.price_shock THEN least({raw(h)}, p.interval_extreme) WHEN p.micro_shock THEN least({raw(h)}, p.interval_active) ELSE {raw(h)} END"
     h1, h2 = "least(p.max_heat, p.add)", heat.format(h="s.heat")
     return f"""pol AS (SELECT * FROM (VALUES {values}) t({", ".join(columns)})),
-    pw AS (SELECT variant, ts_ms, row_number() OVER (PARTITION BY variant ORDER BY ts_ms) AS i, exp(-{TICK}.0 / CASE WHEN {over["price"]} OR {conf} THEN tau ELSE greatest(least_tau, tau * quiet) END) AS decay,
-        gain * (CASE WHEN {conf} THEN bonus ELSE 0 END + {terms}) * ({TICK} / unit_ms) AS add, {shock["price"]} AS price_shock, {shock["flow"]} AND {shock["book"]} AS micro_shock, {conf} AS confluence,
-        max_heat, heat_normal, heat_active, heat_extreme, interval_extreme, interval_active, interval_normal, interval_quiet FROM line CROSS JOIN pol),
+    pw AS (SELECT variant, ts_ms, row_number() OVER (PARTITION BY variant ORDER BY ts_ms) AS i, exp(-dt / CASE WHEN {over["price"]} OR {conf} THEN tau ELSE greatest(least_tau, tau * quiet) END) AS decay,
+        gain * (CASE WHEN {conf} THEN bonus ELSE 0 END + {terms}) * (dt / unit_ms) AS add, {shock["price"]} AS price_shock, {shock["flow"]} AND {shock["book"]} AS micro_shock, {conf} AS confluence,
+        max_heat, heat_normal, heat_active, heat_extreme, interval_extreme, interval_active, interval_normal, interval_quiet FROM (SELECT *, greatest(1, coalesce(ts_ms - lag(ts_ms) OVER (ORDER BY ts_ms), {TICK})) AS dt FROM line) CROSS JOIN pol),
     sim AS (SELECT variant, i, ts_ms, {h1} AS heat, {final(h1)} AS iv, p.interval_quiet AS pv, ts_ms AS snap, 1 AS taken FROM pw p WHERE i = 1
         UNION ALL SELECT p.variant, p.i, p.ts_ms, {h2}, {final(h2)}, s.iv, CASE WHEN p.ts_ms - s.snap >= {final(h2)} OR {final(h2)} < s.iv THEN p.ts_ms ELSE s.snap END,
             CASE WHEN p.ts_ms - s.snap >= {final(h2)} OR {final(h2)} < s.iv THEN 1 ELSE 0 END FROM sim s JOIN pw p ON p.variant = s.variant AND p.i = s.i + 1),
@@ -226,13 +233,18 @@ def _q(c: str, q: float, f: str = "") -> str:
 
 _RECALLS = ", ".join(f"count(*) FILTER (tier = '{t}') AS tier_{t.lower()}_event_count, coalesce(avg(CASE WHEN hit IS NULL THEN 0 ELSE 1 END) FILTER (tier = '{t}'), 1) AS tier_{t.lower()}_recall, coalesce(avg(CASE WHEN snap IS NULL THEN 0 ELSE 1 END) FILTER (tier = '{t}'), 1) AS tier_{t.lower()}_snapshot_recall" for t in "ABC")
 _CHECKS = {g: f"{g} {'<=' if g in ep._AT_MOST else '>='} {limit!r}" for g, limit in GATES.items()}
-_METRICS = f"""{_TRUTH}, {_policy_sql(ROWS)}, {_CAPTURE}, {_OVER}, {_RECON},
+_METRICS_OF = lambda decisions: f"""{_TRUTH}, {decisions}, {_CAPTURE}, {_OVER}, {_RECON},
     m1 AS (SELECT variant, {_RECALLS}, {_q("hit - start_ms", 0.95)} AS reaction_p95_ms FROM cap GROUP BY variant),
     m2 AS (SELECT variant, {_q("oversampling_ms", 0.95)} AS oversampling_p95_ms FROM os GROUP BY variant),
     m3 AS (SELECT variant, count(*) FILTER (interval_ms <= {RULES.required["B"]} AND ctx.ts_ms IS NULL) / greatest(count(*) FILTER (ctx.ts_ms IS NULL), 1) AS false_fast_time, avg(CASE WHEN interval_ms <= {RULES.required["B"]} THEN 1 ELSE 0 END) AS fast_time_fraction,
         count(*) FILTER (snapshot > 0) AS snapshot_count, (max(dec.ts_ms) - min(dec.ts_ms)) // {RULES.base} + 1 AS base_snapshot_count FROM dec LEFT JOIN ctx ON ctx.ts_ms = dec.ts_ms GROUP BY variant),
     mm AS (SELECT *, coalesce((2.0 * tier_a_recall * tier_a_event_count + tier_b_recall * tier_b_event_count) / nullif(2.0 * tier_a_event_count + tier_b_event_count, 0), 1) AS ab_weighted_recall, 1 - snapshot_count / base_snapshot_count AS snapshot_reduction FROM m1 JOIN m2 USING (variant) JOIN m3 USING (variant) JOIN re USING (variant)),
     me AS (SELECT *, CAST({" + ".join(f"({c})::INT" for c in _CHECKS.values())} AS INTEGER) AS gates_passed FROM mm)"""
+_METRICS = _METRICS_OF(_policy_sql(ROWS))
+_FIXED = f"""fx AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {i * SCALE})" for n, i in po.FIXED.items())}) t(variant, iv)), tt AS (SELECT ts_ms, row_number() OVER (ORDER BY ts_ms) AS i FROM line),
+    fq AS (SELECT variant, iv, i, ts_ms, ts_ms AS snap FROM tt CROSS JOIN fx WHERE i = 1
+        UNION ALL SELECT q.variant, q.iv, t.i, t.ts_ms, CASE WHEN t.ts_ms - q.snap >= q.iv THEN t.ts_ms ELSE q.snap END FROM fq q JOIN tt t ON t.i = q.i + 1),
+    dec AS (SELECT variant, ts_ms, CAST(iv AS BIGINT) AS interval_ms, CAST(snap = ts_ms AS INTEGER) AS snapshot FROM fq)"""
 _R = "WITH RECURSIVE "
 ORACLE = {
     "tick_sensors_fast": f"WITH {TIMELINE} {_sensor_sql(FAST, 'fast_')}",
@@ -253,6 +265,7 @@ ORACLE = {
     "oversampling": f"{_R}{_TRUTH}, {_policy_sql(ROWS)}, {_OVER} SELECT * FROM os",
     "reconstruction_mae": f"{_R}{_LINE}, {_policy_sql(ROWS)}, {_RECON} SELECT variant, floor(mid_mae_bp * 10000 + 0.5) / 10000 AS mid_mae_bp, {r6('imbalance_mae')} AS imbalance_mae FROM re",
     "acceptance_gates": f"{_R}{_METRICS} SELECT variant, tier_a_event_count, tier_b_event_count, tier_c_event_count, {', '.join(f'{r6(c)} AS {c}' for c in _SHOWN)}, snapshot_count, base_snapshot_count, gates_passed, gates_passed = {len(GATES)} AS pass FROM me",
+    "fixed_baselines": f"{_R}{_METRICS_OF(_FIXED)} SELECT variant, {', '.join(f'{r6(c)} AS {c}' for c in _SHOWN)}, snapshot_count, gates_passed FROM me",
     "gate_counts": f"{_R}{_METRICS} " + " UNION ALL ".join(f"SELECT '{g}' AS gate, count(*) FILTER ({c}) AS n_passed, count(*) AS n FROM me" for g, c in _CHECKS.items()),
     "policy_leaderboard": f"""{_R}{_METRICS}, o AS (SELECT me.*, CAST(k AS INTEGER) AS ordinal FROM me JOIN (VALUES {", ".join(f"('{r['variant']}', {n})" for n, r in enumerate(ROWS))}) t(variant, k) USING (variant))
         SELECT variant, ordinal, gates_passed, gates_passed = {len(GATES)} AS pass, {r6("snapshot_reduction")} AS snapshot_reduction FROM o ORDER BY gates_passed = {len(GATES)} DESC, {", ".join(f"{r6(c)} DESC" for c in ("tier_a_snapshot_recall", "tier_b_snapshot_recall", "ab_weighted_recall", "tier_a_recall", "tier_b_recall"))},
