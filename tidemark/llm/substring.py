@@ -112,11 +112,12 @@ class Known:
         return out[held:]
 
 
-_SENT = "hash long, hash2 long, doc_id long, text_key long, at int, n int"
+_SENT = "hash long, hash2 long, doc_id long, text_key long, at int, n int, more array<int>"
 
 
 def _sent_windows(rows: DataFrame, anchors: DataFrame, size: int, anchor: int) -> DataFrame:
-    """Windows with a shared anchor, as (hash, hash2) at a place; and runs of n windows that are known to be repeated."""
+    """Windows with a shared anchor, as (hash, hash2) at a place, and where else in a batch of the same text (more); and
+    runs of n windows that are known to be repeated."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known()
@@ -134,20 +135,27 @@ def _sent_windows(rows: DataFrame, anchors: DataFrame, size: int, anchor: int) -
                 text = a + w.text[at]
                 again = known.repeats(w.hash[at], w.hash2[at], ids[text])
                 if not again.all():
-                    k, t = at[~again], text[~again]
-                    yield _batch(w.hash[k].view(np.int64), w.hash2[k].view(np.int64), ids[t], keys[t], w.at[k], np.ones(len(k)))
+                    k = at[~again]
+                    k = k[np.lexsort((k, w.text[k], w.hash2[k], w.hash[k]))]
+                    same = [x[k[1:]] == x[k[:-1]] for x in (w.hash, w.hash2, w.text)]
+                    begin = np.flatnonzero(np.concatenate(([True], ~(same[0] & same[1] & same[2]))))
+                    one, n = k[begin], np.diff(np.append(begin, len(k)))
+                    others = np.delete(w.at[k], begin).astype(np.int32)
+                    more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n - 1))), pa.int32()), pa.array(others), mask=pa.array(n == 1))
+                    yield _batch(w.hash[one].view(np.int64), w.hash2[one].view(np.int64), ids[a + w.text[one]], keys[a + w.text[one]], w.at[one], np.ones(len(one)), more)
                 if again.any():
                     place, t = w.at[at[again]], text[again]
                     begin = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (np.diff(place) != 1))))
-                    yield _batch(None, None, ids[t[begin]], keys[t[begin]], place[begin], np.diff(np.append(begin, len(place))))
+                    yield _batch(None, None, ids[t[begin]], keys[t[begin]], place[begin], np.diff(np.append(begin, len(place))), None)
 
     return rows.join(anchors, "doc_id").select("doc_id", "text_key", "text", "anchors").mapInArrow(emit, _SENT)
 
 
-def _batch(*columns: np.ndarray | None) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+def _batch(*columns: np.ndarray | pa.Array | None) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
     rows = len(columns[2])
-    return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if c is None else pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], ["hash", "hash2", "doc_id", "text_key", "at", "n"])
+    arrays = [pa.nulls(rows, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, ["hash", "hash2", "doc_id", "text_key", "at", "n", "more"])
 
 
 def _repeated(sent: DataFrame) -> DataFrame:
@@ -156,7 +164,9 @@ def _repeated(sent: DataFrame) -> DataFrame:
     # Runs that are known to be repeated need no partner: null hashes are dealt out by place.
     spread = sent.withColumn("hash2", F.coalesce("hash2", F.xxhash64("doc_id", "at")))
     least = spread.withColumn("least", F.min("doc_id").over(equal))
-    return least.where("hash is null or least < doc_id").select("doc_id", "text_key", F.col("at").alias("first"), "n")
+    found = least.where("hash is null or least < doc_id")
+    places = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<int>")))
+    return found.select("doc_id", "text_key", F.explode(places).alias("first"), "n")
 
 
 def repeated_spans(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,15 +183,14 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     return runs.groupBy("doc_id").agg(F.collect_set(span).alias("spans"))
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """Maximal intervals that the spans cover."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    if not len(first):
+        return []
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    begin = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1])))
+    return list(zip(first[begin].tolist(), reach[np.append(begin[1:] - 1, len(first) - 1)].tolist(), strict=True))
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,8 +202,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                own, removed, kept, at = (text or b"").split(), merged([(s["first"], s["end"]) for s in spans or [] if s["text_key"] == key]), [], 0
+            spans = batch.column(3)
+            edges, held = spans.offsets.to_numpy(), [spans.values.field(c).to_numpy() for c in ("text_key", "first", "end")]
+            for k, (doc, key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True)):
+                span_key, first, end = (x[edges[k] : edges[k + 1]] for x in held)
+                own, removed, kept, at = (text or b"").split(), merged(first[span_key == key], end[span_key == key]), [], 0
                 for a, b in removed:
                     kept += own[at:a]
                     at = b
