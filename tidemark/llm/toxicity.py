@@ -9,7 +9,7 @@ length. Each hit is weighed by the words around it: marks of quotation, and the
 hits more in clean rows (quotation, report) or in toxic ones (address, abuse), say how far a hit is a quotation. A
 logistic model turns the sums of a text into a score.
 
-The fit is the same in every run: of near copies the row with the least hash stays, and nothing else is chosen.
+The fit is the same in every run: near copies give way to the one with the least hash, and nothing else is chosen.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ TRAIN_ROWS = 10_000
 LEAST_ROWS, LEAST_RATIO, EVIDENCE = 4, 25.0, 12.0
 #: Letters of the shortest term, and of the longest prefix that may be a stem; whole words have any length.
 SHORTEST, LONGEST_STEM = 3, 16
+MIN_HASHES = 4
 #: Words on each side of a hit that its context takes in.
 CONTEXT = 6
 FUZZY_LETTERS = 5
@@ -371,29 +372,37 @@ class Units:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns lexicon, contexts and weights from labelled texts: TRAIN_ROWS of each class at most, by a hash of the id.
 
-    Of several labels for an id the highest counts. Null labels, ids and texts are left out. Of texts with one label
-    that agree in two min-hashes (near copies mostly do) one stays, the least by a hash, or their words would pass for
-    terms. Without rows of both classes the model knows no terms, and scores the share of the class that there is.
+    Of several labels for an id the highest counts. Null labels, ids and texts are left out. A text that agrees with
+    another of its label in two of MIN_HASHES min-hashes (near copies mostly do) stays only if its hash is the lesser
+    one, or words of copies would pass for terms. Without rows of both classes the model knows no terms, and scores the share of the class that there is.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
-    some = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for k in (0, 1)]
+    given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    given = given.groupBy("doc_id").agg(F.max("label").alias("label"))
+    some = [given.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for k in (0, 1)]
     chosen = F.broadcast(some[0].unionAll(some[1]))  # 2 * TRAIN_ROWS rows of two numbers at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
+    marks = [f"m{i}" for i in range(MIN_HASHES)]
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = mix(np.arange(1, MIN_HASHES + 1, dtype=np.uint64))
         for batch in batches:
-            least = [(0, 0)] * batch.num_rows
+            least = np.zeros((batch.num_rows, MIN_HASHES), np.int64)
             for a, b in chunked(texts := text_bytes(batch.column(0))):
                 for i, s in enumerate(shingle_sets(words(texts[a:b], lower=True))):
-                    least[a + i] = (int(s[0]) >> 1, int(mix(s ^ np.uint64(0x452821E638D01377)).min()) >> 1) if len(s) else (0, 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in zip(*least, strict=True))], ["text", "label", "least", "least2"])
-
-    sample = rows.join(chosen, "doc_id").select("text", "label").mapInArrow(mark, "text string, label int, least long, least2 long")
-    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
-    sample = written(sample.groupBy("label", "least", "least2").agg(one).select("text", "label"), "toxicity-sample")
+                    if len(s):
+                        least[a + i] = [int(mix(s ^ seed).min() >> np.uint64(1)) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in least.T)], ["text", "label", *marks])
+
+    sample = rows.join(chosen, "doc_id").select("text", "label").mapInArrow(mark, "text string, label int, " + ", ".join(f"{m} long" for m in marks))
+    sample = sample.groupBy("label", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), *(F.min(m).alias(m) for m in marks))
+    sample = written(sample, "toxicity-sample")
+    pairs = [F.struct(F.lit(i * MIN_HASHES + j).alias("k"), F.col(marks[i]).alias("x"), F.col(marks[j]).alias("y")) for i in range(MIN_HASHES) for j in range(i)]
+    keys = sample.select("label", "h", F.explode(F.array(*pairs)).alias("key"))
+    beaten = keys.join(keys.groupBy("label", "key").agg(F.min("h").alias("least")), ["label", "key"]).where("least < h").select("label", "h").distinct()
+    sample = written(sample.join(beaten, ["label", "h"], "left_anti").select("text", "label"), "toxicity-sample")
     size = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     positive, negative = size.get(1, 0), size.get(0, 0)
     if not positive or not negative:
