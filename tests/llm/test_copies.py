@@ -176,10 +176,10 @@ def test_orders_are_intersected_before_texts_move():
 
 
 def test_a_list_of_many_members(spark, documents):
-    """A passage that 20,000 documents share, of which few are similar: every link is found and none made up."""
+    """A passage that 6,000 documents share, of which few are similar: every link is found and none made up."""
     rng = random.Random(21)
     passage = [f"p{k}" for k in range(30)]
-    rows = [(k, " ".join([*passage, *(f"o{k}x{j}" for j in range(rng.choice([5, 6, 7, 30])))])) for k in range(20_000)]
+    rows = [(k, " ".join([*passage, *(f"o{k}x{j}" for j in range(rng.choice([5, 6, 7, 30])))])) for k in range(6_000)]
     rows += [(30_000 + k, rows[k][1] + " more") for k in range(0, 200, 20)]
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(documents(rows)).collect()}
     shingles = lambda n: 30 + n - 4
