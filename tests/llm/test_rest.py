@@ -551,6 +551,19 @@ def test_stages(spark, documents, corpus, tmp_path):
     assert Counter(tuple(r)[:5] for r in p.run(spark, str(tmp_path)).collect()) == want
 
 
+def test_stages_on_empty_tables(spark, documents, tmp_path):
+    """Without labels nothing is toxic, without items nothing leaks, and without documents there is nothing."""
+    import corpus_pipeline as p
+
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (3, None), (None, "token=abcdefgh12345678")]
+    for name, docs in (("some", rows), ("none", [])):
+        sf = str(tmp_path / name)
+        documents(docs).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        assert sorted(str(r.doc_id) for r in p.run(spark, sf).collect()) == (["1", "3", "None"] if docs else [])
+
+
 def test_held_out_is_one_fifth(spark):
     n = spark.range(1000).select(toxicity.held_out("id").alias("h")).where(F.col("h")).count()
     assert 150 < n < 250
