@@ -51,9 +51,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset."""
+    """A new path below spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset,
+    which a cluster's executors couldn't read: there it must be set."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, top, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", top)
