@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows that the JVM hands to a Python worker at once. Texts are long; the default of 10,000 rows would hold
 #: hundreds of MB in a worker when a run of very long texts meets.
 ROWS_PER_BATCH = 500
+#: Bytes that end such a batch before that; a longer row is a batch of its own.
+BYTES_PER_BATCH = 8 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +47,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Python workers can import this package and get at most ROWS_PER_BATCH rows at once."""
+    """Python workers can import this package and get at most ROWS_PER_BATCH rows, or about BYTES_PER_BATCH, at once."""
     ship(spark)
     if int(spark.conf.get(BATCH_CONF)) > ROWS_PER_BATCH or int(spark.conf.get(BATCH_CONF)) <= 0:
         spark.conf.set(BATCH_CONF, str(ROWS_PER_BATCH))
+    if int(spark.conf.get(BYTES_CONF).removesuffix("b")) > BYTES_PER_BATCH:
+        spark.conf.set(BYTES_CONF, str(BYTES_PER_BATCH))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
