@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import ratio
 from .chunks import carry
 
 DAY = 86_400_000
@@ -70,3 +71,37 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
 def basis(left: Column, right: Column) -> Column:
     """(left / right - 1) in basis points."""
     return (left / F.nullif(right, F.lit(0.0)) - 1) * 1e4
+
+
+def asof_joins(left: DataFrame, at: str, series: dict[str, tuple[DataFrame, str, Sequence[str]]], chunk: int = DAY) -> DataFrame:
+    """left with <prefix>_<value> of the last row of each series at or before its time, any distance back.
+
+    series: by prefix the rows, their time and values; one row for a time. All series and left go through one shuffle.
+    """
+    held = {p: rows.select(F.struct(*values).alias("s")).schema["s"].dataType for p, (rows, _, values) in series.items()}
+
+    def side(rows: DataFrame, number: int, own: DataFrame | None, time: str, prefix: str | None = None, values: Sequence[str] = ()) -> DataFrame:
+        first = F.struct(*left.columns) if own is None else F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType)
+        return rows.select(first.alias("__row"), F.col(time).cast("long").alias("__at"), F.lit(number).alias("__side"), *((F.struct(*values) if p == prefix else F.lit(None).cast(t)).alias(f"__s_{p}") for p, t in held.items()))
+
+    both = side(left, 1, None, at)
+    for p, (rows, time, values) in series.items():
+        both = both.unionByName(side(rows, 0, rows, time, p, values))
+    filled = carry(both, [], ["__at", "__side"], F.floor(F.col("__at") / chunk), {f"__f_{p}": F.col(f"__s_{p}") for p in series}).where("__side = 1")
+    return filled.select("__row.*", *(F.col(f"__f_{p}")[v].alias(f"{p}_{v}") for p, (_, _, values) in series.items() for v in values))
+
+
+def zero_filled(df: DataFrame) -> DataFrame:
+    """Nulls become 0 in counts, volumes and turnovers, by their names, but for open interest and the spot candles."""
+    named = [c for c in df.columns if any(x in c for x in ("_count", "_volume", "_turnover")) and not c.startswith(("oi_", "spot_kline"))]
+    return df.fillna(0, subset=named) if named else df
+
+
+def derived(df: DataFrame, step: int = 60_000, at: str = "minute_ms") -> DataFrame:
+    """Columns that follow from an enriched minute: deltas, trade prices, bases, long/short net, and when it is known."""
+    out = {}
+    for p in ("spot", "perp"):
+        buy, sell = F.coalesce(f"{p}_buy_volume", F.lit(0.0)), F.coalesce(f"{p}_sell_volume", F.lit(0.0))
+        out |= {f"{p}_delta": buy - sell, f"{p}_delta_ratio": ratio(buy - sell, buy + sell), f"{p}_trade_vwap": ratio(f"{p}_turnover", f"{p}_volume")}
+    out |= {"perp_spot_basis_bps": basis(F.col("perp_close"), F.col("close")), "mark_index_basis_bps": basis(F.col("mark_close"), F.col("index_close"))}
+    return df.withColumns(out | {"long_short_net": F.col("ls_buyRatio") - F.col("ls_sellRatio"), "available_ms": F.col(at) + step})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import imbalance, quantity, sorted_levels, within
+from ..functions.numeric import finite, floor_to, ratio
 from .chunks import carry
 
 DAY = 86_400_000
@@ -85,3 +86,33 @@ def top_levels(book: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
     key = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
     w = Window.partitionBy(*keys, "side").orderBy(key)
     return book.withColumn("level", F.row_number().over(w)).where(F.col("level") <= depth)
+
+
+#: Statistics of a sampled book that minutes are made of.
+STATS = ("spread_bps", "bid_qty_l50", "ask_qty_l50", "imbalance_l50", "micro_dev_bps", *(f"{n}_{w}bps" for w in BANDS for n in ("bid_qty", "ask_qty", "imbalance")))
+
+
+def sample_stats(bids: Column, asks: Column, depth: int = 50) -> dict[str, Column]:
+    """STATS of one snapshot; what needs a mid is null when a side is empty, an imbalance where there is no quantity."""
+    r = snapshot_record(bids, asks, depth)
+    bid, ask = quantity(r["bids"]), quantity(r["asks"])
+    out = {"spread_bps": r["spread_bps"], "bid_qty_l50": bid, "ask_qty_l50": ask, "imbalance_l50": ratio(bid - ask, bid + ask), "micro_dev_bps": microprice_bps(bids, asks)}
+    for w in BANDS:
+        b, a = within(r["bids"], r["mid"], w), within(r["asks"], r["mid"], w)
+        out |= {f"bid_qty_{w}bps": b, f"ask_qty_{w}bps": a, f"imbalance_{w}bps": ratio(b - a, b + a)}
+    return {n: finite(c) for n, c in out.items()}
+
+
+def book_minutes(samples: DataFrame, prefixes: dict[str, str], step: int = 60_000) -> DataFrame:
+    """One wide row for each minute: for each market <prefix>_samples, and _sum, _last, _min, _max, _mean of each of STATS.
+
+    samples: market, ts_ms, event_id and STATS. Null values are left out, in the mean as well; a market without samples
+    in a minute has nulls. prefixes: name of each market's columns.
+    """
+    place = F.struct("ts_ms", "event_id")
+    made = {"samples": F.count(F.lit(1))}
+    for s in STATS:
+        made |= {f"{s}_sum": F.sum(s), f"{s}_last": F.max_by(s, F.when(F.col(s).isNotNull(), place)), f"{s}_min": F.min(s), f"{s}_max": F.max(s), f"{s}_mean": F.avg(s)}
+    per = samples.where(F.col("market").isin(*prefixes)).groupBy("market", floor_to("ts_ms", step).alias("minute_ms")).agg(*(c.alias(n) for n, c in made.items()))
+    wide = per.groupBy("minute_ms").agg(*(F.any_value(F.when(F.col("market") == m, F.struct(*made)), ignoreNulls=True).alias(p) for m, p in prefixes.items()))
+    return wide.select("minute_ms", *(F.col(p)[n].alias(f"{p}_{n}") for p in prefixes.values() for n in made))

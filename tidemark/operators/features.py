@@ -161,3 +161,23 @@ def ema(grid: DataFrame, keys: Sequence[str], at: str, c: str, span: int, name:
     schema = ", ".join(f"{k} {types[k]}" for k in (*keys, at)) + f", {name} double"
     done = scan(grid.select(*keys, at, c), keys, [at], F.floor(F.col(at) / chunk), with_own, resume, first_state, math.nan, schema)
     return grid.join(done, [*keys, at], "left")
+
+
+#: Columns of enriched minutes that are features as they are. Fixed values.
+DIRECT = (
+    "spot_delta_ratio", "perp_delta_ratio", "spot_trade_count", "perp_trade_count", "spot_volume", "perp_volume", "perp_spot_basis_bps", "mark_index_basis_bps",
+    "premium_close", "oi_openInterest", "long_short_net", "funding_fundingRate", "liq_count", "liq_volume", "liq_buy_volume", "liq_sell_volume",
+)
+DIRECT_BOOK = ("spread_bps_mean", "spread_bps_max", "imbalance_l50_mean", "imbalance_l50_last", "imbalance_5bps_mean", "imbalance_10bps_mean", "imbalance_25bps_mean", "imbalance_50bps_mean", "micro_dev_bps_mean", "bid_qty_l50_mean", "ask_qty_l50_mean")
+BOOK_ROLLED = ("imbalance_l50_mean", "imbalance_10bps_mean", "imbalance_25bps_mean", "spread_bps_mean", "micro_dev_bps_mean")
+BOOKS = ("spot_ob", "perp_ob")
+
+
+def passed_through(df: DataFrame) -> list[str]:
+    """The direct features that df has, in their order."""
+    return [c for c in (*DIRECT, *(f"{p}_{c}" for p in BOOKS for c in DIRECT_BOOK)) if c in df.columns]
+
+
+def book_means(r: Rolling, columns: Sequence[str], spans: Sequence[int]) -> dict[str, Column]:
+    """Rolling means of the books' minute means, of those columns that there are."""
+    return {f"{p}_{c}_roll{w}": F.avg(f"{p}_{c}").over(r.last(w)) for w in spans for p in BOOKS for c in BOOK_ROLLED if f"{p}_{c}" in columns}
