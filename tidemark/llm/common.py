@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -68,11 +69,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what written() wrote for these, which nothing may read any more: all that came of them is written itself."""
+    for df in tables:
+        if (place := _places.pop(df, None)) is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:

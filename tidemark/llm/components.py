@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(edges: DataFrame) -> tuple[DataFrame, int, int]:
@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of large and small stars: every node links its larger neighbours, then its smaller ones, to the smallest
     node it knows. The minimum of each node's neighbours is aggregated before the shuffle, so a node with many links
-    is no hot spot; each round is written to the shared folder.
+    is no hot spot; each round is written to the shared folder, and the round before it deleted.
     """
     a, b = F.col("a"), F.col("b")
     edges, n, mark = _star(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
@@ -33,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         small = down.join(low, "a")
         small = small.select(b.alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
         after, m, after_mark = _star(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        discard(edges)
         if (m, after_mark) == (n, mark):
             break
         edges, n, mark = after, m, after_mark

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, small_batches, text_bytes, written
+from .common import chunked, discard, small_batches, text_bytes, written
 from .components import components
 from .hashing import mix, shingle_sets, words
 
@@ -289,6 +289,14 @@ def _texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(rows.join(chosen, ["doc_id", "text_key"]).select("cls", "text").dropDuplicates(["cls"]), "texts")
 
 
+def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Those of the distinct pairs a, b whose texts' sets are similar; the pairs and their texts are deleted after it."""
+    texts = _texts(rows, classes, pairs)
+    out = written(_verified(pairs, texts, size, threshold), "links")
+    discard(pairs, texts)
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """Those of the distinct pairs a, b whose texts' sets are similar. Members come to copies of their leader's text."""
 
@@ -354,8 +362,7 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     stars = written(pairs.distinct(), "stars")
     one = profile.where("cls is not null").groupBy("cls").agg(F.min_by(F.struct("doc_id", "text_key", "n", "sig", "sketch"), F.struct("doc_id", "text_key")).alias("d"))
     classes = written(one.select("cls", "d.*"), "classes")
-    likely = _possible(stars, classes, threshold)
-    first = written(_verified(likely, _texts(rows, classes, likely), size, threshold), "links")
+    first = _links(_possible(stars, classes, threshold), rows, classes, size, threshold)
 
     known = components(first).withColumnRenamed("node", "cls")
     # Of a set that is `covered`, all tokens that aren't shared by many are in its prefix. Two such sets share at most
@@ -368,6 +375,7 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     size_of = F.count(F.lit(1)) >= LONG_LIST
     apart = placed.groupBy("token").agg(F.min("piece").alias("x"), F.max("piece").alias("y"), size_of.alias("long")).where("x <> y").select("token", "long")
     x = written(placed.join(apart, "token"), "apart")
+    discard(lists)
     # Similar sets share many long lists; the least token of these (of either kind) makes the pair.
     held = x.where("long").groupBy("cls", "own").agg(F.collect_set("token").alias("tokens"))  # a part of a prefix
     long = x.where("long").join(held, ["cls", "own"])
@@ -375,7 +383,9 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     more = _across(x.where("not long"), threshold).unionByName(_across(long, threshold, once)).distinct()
     tried = stars.union(stars.select("b", "a"))
     likely = _possible(more.join(tried, ["a", "b"], "left_anti"), classes, threshold)
-    second = written(_verified(likely, _texts(rows, classes, likely), size, threshold), "links")
+    discard(x, stars)
+    second = _links(likely, rows, classes, size, threshold)
+    discard(classes)
     return members, first.unionByName(second)
 
 
