@@ -3,7 +3,8 @@ import tarfile
 
 import pytest
 
-from tidemark.sources import archives, messages, tables
+from tidemark.operators import episodes
+from tidemark.sources import archives, messages, rest, tables
 from tidemark.streaming import flows
 
 
@@ -107,3 +108,36 @@ def test_stream_to_tables(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.minute_ms, r.n) for r in spark.table("minutes").collect()} >= {(0, 6), (60_000, 6)}
+
+
+def test_only_finished_archives_are_frozen(tmp_path):
+    (tmp_path / "market.jsonl").write_text("{}\n" * 50_000)
+    paths = [str(tmp_path / f"{n}.tar.gz") for n in ("whole", "cut", "growing", "absent", "empty")]
+    for p in (paths[0], paths[1], paths[2], paths[4]):
+        with tarfile.open(p, "w:gz") as t:
+            if p != paths[4]:
+                t.add(tmp_path / "market.jsonl", "market.jsonl")
+    with open(paths[1], "r+b") as f:
+        f.truncate(100)
+
+    def writes(_: float) -> None:
+        with open(paths[2], "ab") as f:
+            f.write(b"more")
+
+    frozen = str(tmp_path / "frozen.txt")
+    assert archives.freeze([*paths, paths[0]], frozen, sleep=writes) == [paths[0]]
+    assert archives.listed(frozen) == [paths[0]]
+    assert archives.freeze([]) == []
+
+
+def test_instruments_of_all_pages(spark):
+    pages = {None: {"list": [{"symbol": "B", "tick": "0.1"}], "nextPageCursor": "x"}, "x": {"list": [{"symbol": "A", "more": {"k": [1]}}], "nextPageCursor": "x"}}
+    got = {r.symbol: json.loads(r.info) for r in rest.instruments(spark, lambda p: pages[p.get("cursor")], {"category": "linear"}).collect()}
+    assert got == {"A": {"symbol": "A", "more": {"k": [1]}}, "B": {"symbol": "B", "tick": "0.1"}}
+    assert rest.instruments(spark, lambda p: {}, {}).count() == 0
+
+
+def test_ranges_over_policies(spark):
+    m = spark.createDataFrame([(1.0, 5), (None, 7), (-2.0, None)], "a double, b int")
+    got = {r.metric: (r.least, r.most, r.n) for r in episodes.range_report(m, ["a", "b"]).collect()}
+    assert got == {"a": (-2.0, 1.0, 2), "b": (5.0, 7.0, 2)}

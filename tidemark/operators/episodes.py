@@ -194,3 +194,9 @@ def gated(metrics: DataFrame, gates: dict[str, float] = GATES) -> DataFrame:
 def gate_report(metrics: DataFrame) -> DataFrame:
     """gate, and how many policies pass it."""
     return metrics.select(F.explode("checks").alias("gate", "ok")).groupBy("gate").agg(F.count_if("ok").alias("n_passed"), F.count(F.lit(1)).alias("n"))
+
+
+def range_report(metrics: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """metric, least, most and n (policies that have a value) of each of the columns over all policies."""
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns)))
+    return metrics.select(values.alias("v")).groupBy("v.metric").agg(F.min("v.value").alias("least"), F.max("v.value").alias("most"), F.count("v.value").alias("n"))

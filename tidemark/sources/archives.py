@@ -6,7 +6,9 @@ import glob
 import json
 import os
 import tarfile
-from collections.abc import Iterator
+import time
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,48 @@ def listed(path: str) -> list[str]:
         return [s for line in f if (s := line.split("#", 1)[0].strip())]
 
 
+def readable(path: str) -> bool:
+    """Whether an archive can be read to its end, with at least one file in it."""
+    try:
+        with tarfile.open(path, "r|gz") as archive:
+            files = 0
+            for member in archive:
+                if not member.isfile():
+                    continue
+                stream = archive.extractfile(member)
+                while stream.read(1 << 20):
+                    pass
+                files += 1
+            return files > 0
+    except (OSError, EOFError, tarfile.TarError, zlib.error):
+        return False
+
+
+def freeze(paths: Sequence[str], list_file: str | None = None, pause: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> list[str]:
+    """Those of the paths that nobody writes to: same size and time of change after the pause, and readable to the end.
+
+    Sorted, each once. With list_file they are written there for `listed()`, so that later steps of a study read the
+    same inputs whatever comes in meanwhile; the file is replaced at once, never half written.
+    """
+
+    def state(path: str) -> tuple[int, int] | None:
+        try:
+            now = os.stat(path)
+        except OSError:
+            return None
+        return now.st_size, now.st_mtime_ns
+
+    before = {p: state(p) for p in sorted(set(paths))}
+    if before:
+        sleep(pause)
+    found = [p for p, was in before.items() if was is not None and state(p) == was and readable(p)]
+    if list_file is not None:
+        with open(f"{list_file}.part", "w", encoding="utf-8") as f:
+            f.writelines(f"{p}\n" for p in found)
+        os.replace(f"{list_file}.part", list_file)
+    return found
+
+
 class ArchivePartition(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -68,6 +69,20 @@ def klines(spark: SparkSession, rows: list, series: str, symbol: str) -> DataFra
     return spark.createDataFrame(data, "series string, symbol string, startMs long, open double, high double, low double, close double, volume double, turnover double")
 
 
+def instruments(spark: SparkSession, fetch: Fetch, params: dict) -> DataFrame:
+    """symbol and info (the service's record as JSON, nothing left out) of every instrument, over all pages."""
+    rows: dict[str, str] = {}
+    cursor, seen = "", set()
+    while cursor not in seen:
+        seen.add(cursor)
+        answer = fetch(params | ({"cursor": cursor} if cursor else {}))
+        rows |= {str(r["symbol"]): json.dumps(r, sort_keys=True) for r in answer.get("list", [])}
+        cursor = answer.get("nextPageCursor") or ""
+        if not cursor:
+            break
+    return spark.createDataFrame(sorted(rows.items()), "symbol string, info string")
+
+
 def run_jobs(jobs: dict[str, Callable[[], object]]) -> tuple[dict[str, object], dict[str, str]]:
     """Results and errors by job; one job's failure does not end the others."""
     done, failed = {}, {}
