@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import episodes as ep
 from tidemark.operators import bars, metrics, models, validation
 from tidemark.operators import policy as po
+from tidemark.operators import ticks as ti
 from tidemark.sources.tables import clean_json, synthetic_ticks
 
 BASE = {"price_range_bp": 0.1, "tick_travel_bp": 0.1, "trade_rate_s": 10.0, "quote_volume_s": 10_000.0, "book_churn_s": 100.0, "imbalance_delta": 0.02}
@@ -246,3 +247,35 @@ def test_model_queries_use_every_feature_and_the_whole_grid(spark, monkeypatch):
     monkeypatch.setattr(mp.models, "walk_forward", lambda rows, features, params, *_: rows.selectExpr("0 as fold", "bar_ms", "label", f"{params.depth} as prob"))
     seen.clear()
     assert mp.gbt_walk_forward(spark, "").first().prob == models.GRID[2].depth and seen["grid"] == models.GRID
+
+
+@pytest.mark.parametrize("step", [1, 500])
+def test_sensors_of_dense_events_against_a_plain_loop(spark, monkeypatch, step):
+    import random
+
+    rng, tick, width = random.Random(step), 500, 2000
+    events = [(rng.choice([rng.randrange(9000), 500 * rng.randrange(18)]), i, rng.choice([None, *(100.0 + k for k in range(9))]), float(i % 11), i % 7, i % 3 > 0) for i in range(3000)]
+    rows = spark.createDataFrame(events, "ts_ms long, event_id long, price double, quote double, churn long, is_primary boolean").repartition(4)
+    seen = []
+    real = ti.in_chunks
+    monkeypatch.setattr(ti, "in_chunks", lambda df, *a, **k: seen.append(df) or real(df, *a, **k))
+    grid = ti.tick_grid(rows, tick, width)
+    got = {r.ts_ms: r for r in ti.window_sensors(rows, grid, width, "x_", chunk=3000, step=step).collect()}
+    prices = {r.ts_ms: r.price for r in ti.last_price(rows, grid, step).collect()}
+    if step > 1:  # frames hold a row for each segment and kind of event, not for each event
+        assert seen[0].count() <= 5 * len(got)
+    own, before = {}, None
+    for t, i, p, *_, primary in sorted(events, key=lambda e: e[:2]):
+        if primary:
+            own[i], before = None if p is None or before is None else abs(p - before), p
+    assert sorted(got) == sorted(prices) == list(range(0, max(got) + 1, tick))
+    for t, r in got.items():
+        inside = sorted(e for e in events if t - width < e[0] < t)
+        main = [e for e in inside if e[5]]
+        known = [e[2] for e in main if e[2] is not None]
+        first = main[0][2] if main else None
+        way = sum(own[e[1]] or 0.0 for e in main) - ((own[main[0][1]] or 0.0) if main else 0.0)
+        span = max(known) - min(known) if known else 0.0
+        want = (span / first * 1e4 if first else 0.0, way / first * 1e4 if first else 0.0, sum(e[2] is not None for e in inside) / 2, sum(e[3] for e in inside) / 2, sum(e[4] for e in inside) / 2)
+        assert tuple(r)[1:] == pytest.approx(want)
+        assert prices[t] == max(((e[0], e[1], e[2]) for e in events if e[5] and e[2] is not None and e[0] < t), default=(None,))[-1]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import time_grid
-from .chunks import CHUNK, OWN, carry, in_chunks, previous
+from .chunks import CHUNK, OWN, carry, in_chunks
 
 DAY = 86_400_000
 
@@ -20,54 +21,76 @@ def tick_grid(events: DataFrame, tick: int, tail: int) -> DataFrame:
     return time_grid(ends, "ts_ms", tick)
 
 
-def window_sensors(events: DataFrame, ticks: DataFrame, width: int, prefix: str, order: Sequence[str] = ("ts_ms", "event_id"), chunk: int = DAY) -> DataFrame:
+def _position(at: str, cell: int) -> Column:
+    """Number of the segment of a time: even at a multiple of `cell`, odd in the open span up to the next one."""
+    return F.floor(F.col(at) / cell).cast("long") * 2 + (F.pmod(F.col(at), F.lit(cell)) != 0).cast("long")
+
+
+def _segments(events: DataFrame, cell: int, order: Sequence[str]) -> DataFrame:
+    """One row for each segment and kind of event: what a window that holds all of the segment needs of it.
+
+    __way is the way of primary prices inside the segment, __into the step from the price before it, whatever its distance.
+    """
+    e = events.where(F.col(order[0]).isNotNull()).select(*order, "price", "quote", "churn", F.coalesce("is_primary", F.lit(False)).alias("__primary"), _position(order[0], cell).alias("__at"))
+    along = Window.partitionBy("__at", "__primary").orderBy(*order)
+    e = e.withColumn("__step", F.abs(F.col("price") - F.lag("price").over(along)))
+    place = F.struct(*order)
+    sums = [F.count("price").alias("__n"), F.sum("quote").alias("__q"), F.sum("churn").alias("__c"), F.max("price").alias("__hi"), F.min("price").alias("__lo"), F.sum("__step").alias("__way")]
+    found = e.groupBy("__at", "__primary").agg(*sums, F.min_by("price", place).alias("__first"), F.max_by(F.struct("price"), place).alias("__last"))
+    held = carry(found, [], ["__at", "__primary"], F.floor(F.col("__at") / max(1, 2 * DAY // cell)), {"__before": F.when(F.col("__primary"), F.col("__last"))}, inclusive=False)
+    return held.withColumn("__into", F.abs(F.col("__first") - F.col("__before.price"))).drop("__last", "__before")
+
+
+def window_sensors(events: DataFrame, ticks: DataFrame, width: int, prefix: str, order: Sequence[str] = ("ts_ms", "event_id"), chunk: int = DAY, step: int = 1) -> DataFrame:
     """ts_ms and the sensors of the events in (tick - width, tick): both ends open, so an event at the tick comes later.
 
     events: ts_ms, price, quote, churn, is_primary (its price counts). price_range_bp is the range of primary prices over the first
-    one, tick_travel_bp the way they went; rates are per second. Empty windows give 0.
+    one, tick_travel_bp the way they went; rates are per second. Empty windows give 0. step: a span in ms that all ticks are
+    multiples of. Events are summed up once by segments between such times, so frames grow with width / step, not with the events.
     """
-    e = events.select(*order, "price", "quote", "churn", "is_primary")
+    cell = math.gcd(step, width)
+    found = _segments(events, cell, order)
+    kinds = {c.name: c.dataType for c in found.schema}
+    empty = [F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c != "__at"]
+    times = ticks.select(_position("ts_ms", cell).alias("__at"), *empty, "ts_ms")
+    both = found.withColumn("ts_ms", F.lit(None).cast("long")).unionByName(times)
+    reach = 2 * width // cell
+    cut = in_chunks(both, "__at", max(1, 2 * chunk // cell), back=reach)
+    w = Window.partitionBy(CHUNK).orderBy("__at").rangeBetween(-(reach - 1), -1)
+    own = F.col("__primary")
+    place = F.when(own, F.col("__at"))
     # The price before, whatever its distance, makes a step; a window leaves out the step into its first price.
-    own = e.where("is_primary")
-    own = previous(own, [], list(order), F.floor(F.col(order[0]) / DAY), "__before", "price")
-    steps = own.select(*order, F.abs(F.col("price") - F.col("__before")).alias("step"))
-    e = e.join(steps, list(order), "left")
-    kinds = {c.name: c.dataType for c in e.schema}
-    empty = [F.lit(None).cast(kinds[c]).alias(c) for c in e.columns if c != "ts_ms"]
-    both = e.withColumn("__tick", F.lit(0)).unionByName(ticks.select("ts_ms", *empty, F.lit(1).alias("__tick")))
-    cut = in_chunks(both, "ts_ms", chunk, back=width)
-    w = Window.partitionBy(CHUNK).orderBy("ts_ms").rangeBetween(-(width - 1), -1)
-    primary = F.col("is_primary")
-    first = F.min_by("price", F.when(primary, F.struct(*order))).over(w)
-    first_step = F.coalesce(F.min_by("step", F.when(primary, F.struct(*order))).over(w), F.lit(0.0))
+    way = F.sum(F.when(own, F.coalesce("__way", F.lit(0.0)) + F.coalesce("__into", F.lit(0.0)))).over(w)
     seconds = width / 1000.0
     out = cut.withColumns(
         {
-            "__first": first,
-            "__hi": F.max(F.when(primary, F.col("price"))).over(w),
-            "__lo": F.min(F.when(primary, F.col("price"))).over(w),
-            "__way": F.coalesce(F.sum(F.when(primary, F.col("step"))).over(w), F.lit(0.0)) - first_step,
-            "__n": F.count("price").over(w),
-            "__q": F.sum("quote").over(w),
-            "__c": F.sum("churn").over(w),
+            "__f": F.min_by("__first", place).over(w),
+            "__h": F.max(F.when(own, F.col("__hi"))).over(w),
+            "__l": F.min(F.when(own, F.col("__lo"))).over(w),
+            "__w": F.coalesce(way, F.lit(0.0)) - F.coalesce(F.min_by("__into", place).over(w), F.lit(0.0)),
+            "__count": F.coalesce(F.sum("__n").over(w), F.lit(0)),
+            "__quote": F.sum("__q").over(w),
+            "__churn": F.sum("__c").over(w),
         }
-    ).where((F.col("__tick") == 1) & F.col(OWN))
+    ).where(F.col("ts_ms").isNotNull() & F.col(OWN))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return out.select(
         "ts_ms",
-        zero((F.col("__hi") - F.col("__lo")) / F.col("__first") * 1e4).alias(f"{prefix}price_range_bp"),
-        zero(F.greatest(F.col("__way"), F.lit(0.0)) / F.col("__first") * 1e4).alias(f"{prefix}tick_travel_bp"),
-        (F.col("__n") / seconds).alias(f"{prefix}trade_rate_s"),
-        zero(F.col("__q") / seconds).alias(f"{prefix}quote_volume_s"),
-        zero(F.col("__c") / seconds).alias(f"{prefix}book_churn_s"),
+        zero((F.col("__h") - F.col("__l")) / F.col("__f") * 1e4).alias(f"{prefix}price_range_bp"),
+        zero(F.greatest(F.col("__w"), F.lit(0.0)) / F.col("__f") * 1e4).alias(f"{prefix}tick_travel_bp"),
+        (F.col("__count") / seconds).alias(f"{prefix}trade_rate_s"),
+        zero(F.col("__quote") / seconds).alias(f"{prefix}quote_volume_s"),
+        zero(F.col("__churn") / seconds).alias(f"{prefix}book_churn_s"),
     )
 
 
-def last_price(events: DataFrame, ticks: DataFrame) -> DataFrame:
-    """ts_ms and the last primary price before each tick."""
-    own = events.where("is_primary").select("ts_ms", "event_id", "price", F.lit(0).alias("__tick"))
-    t = ticks.select("ts_ms", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("price"), F.lit(-1).alias("__tick"))
-    both = carry(own.unionByName(t), [], ["ts_ms", "__tick", "event_id"], F.floor(F.col("ts_ms") / DAY), {"__p": F.col("price")})
+def last_price(events: DataFrame, ticks: DataFrame, step: int = 1) -> DataFrame:
+    """ts_ms and the last primary price before each tick. step: a span in ms that all ticks are multiples of."""
+    own = events.where("is_primary and ts_ms is not null").groupBy(_position("ts_ms", step).alias("__at"))
+    last = own.agg(F.max_by("price", F.when(F.col("price").isNotNull(), F.struct("ts_ms", "event_id"))).alias("price"))
+    last = last.withColumns({"ts_ms": F.lit(None).cast("long"), "__tick": F.lit(0)})
+    t = ticks.select(_position("ts_ms", step).alias("__at"), F.lit(None).cast("double").alias("price"), "ts_ms", F.lit(-1).alias("__tick"))
+    both = carry(last.unionByName(t), [], ["__at", "__tick"], F.floor(F.col("__at") / max(1, 2 * DAY // step)), {"__p": F.col("price")})
     return both.where("__tick = -1").select("ts_ms", F.col("__p").alias("price"))
 
 
