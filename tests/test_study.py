@@ -279,3 +279,10 @@ def test_sensors_of_dense_events_against_a_plain_loop(spark, monkeypatch, step):
         want = (span / first * 1e4 if first else 0.0, way / first * 1e4 if first else 0.0, sum(e[2] is not None for e in inside) / 2, sum(e[3] for e in inside) / 2, sum(e[4] for e in inside) / 2)
         assert tuple(r)[1:] == pytest.approx(want)
         assert prices[t] == max(((e[0], e[1], e[2]) for e in events if e[5] and e[2] is not None and e[0] < t), default=(None,))[-1]
+
+
+def test_ticks_spread_before_policies_multiply_them(spark):
+    """A few ticks in one partition become rows of every policy in several tasks."""
+    calibration = spark.createDataFrame([(*BASE.values(), *EVENT.values())], ", ".join(f"{k} double" for k in (*(f"base_{s}" for s in BASE), *(f"event_{s}" for s in EVENT))))
+    energy = po.energised(_ticks(spark, 200).coalesce(1), po.variants(spark, po.variant_rows()[:3]), calibration, 250)
+    assert energy.select(F.spark_partition_id().alias("p")).distinct().count() > 1

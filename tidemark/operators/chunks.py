@@ -115,20 +115,16 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
     return carry(df, keys, order, chunk, {name: held}, inclusive=False).withColumn(name, F.col(name)["v"])
 
 
-def _chosen(at: np.ndarray, due: np.ndarray, first: int) -> list[int]:
-    """The rows that are chosen from row `first` on: each next one is the first whose `due` isn't before the last one."""
-    out, n = [], len(at)
-    while first < n:
-        out.append(first)
-        low, span = first + 1, 16
-        while low < n:
-            ok = due[low : low + span] >= at[first]
-            if ok.any():
-                low += int(ok.argmax())
-                break
-            low, span = low + span, 2 * span
-        first = low
-    return out
+def _nexts(at: np.ndarray, due: np.ndarray) -> list[int]:
+    """For each row the row that is chosen after it: the first later one whose `due` isn't before it, or the number of rows."""
+    n = len(at)
+    out, open_rows, ahead = np.full(n, n), np.arange(n - 1), 1
+    while len(open_rows):
+        found = due[open_rows + ahead] >= at[open_rows]
+        out[open_rows[found]] = open_rows[found] + ahead
+        ahead += 1
+        open_rows = open_rows[~found & (open_rows < n - ahead)]
+    return out.tolist()
 
 
 def greedy(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, due: str, name: str) -> DataFrame:
@@ -146,11 +142,16 @@ def greedy(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, due: str,
         pdf = pdf.sort_values(at)
         t, d = pdf[at].to_numpy(), pdf[due].to_numpy()
         bounds, ends, reach = [], [], None
-        for i in range(len(d)):  # ends where a row comes first whatever was taken before the chunk
+        nexts, n = _nexts(t, d), len(d)
+        end = list(range(n))  # the last row of the choice that begins with a row
+        for i in range(n - 1, -1, -1):
+            if nexts[i] < n:
+                end[i] = end[nexts[i]]
+        for i in range(n):  # ends where a row comes first whatever was taken before the chunk
             if reach is None or d[i] > reach:
                 reach = d[i]
                 bounds.append(int(reach))
-                ends.append(int(t[_chosen(t, d, i)[-1]]))
+                ends.append(int(t[end[i]]))
                 if reach >= t[0]:
                     break
         return pd.DataFrame({k: [pdf[k].iloc[0]] for k in [*keys, CHUNK]} | {"__bounds": [bounds], "__ends": [ends]})
@@ -172,7 +173,11 @@ def greedy(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, due: str,
         t, d, last = pdf[at].to_numpy(), pdf[due].to_numpy(), int(pdf["__last"].iloc[0])
         marks, begin = np.zeros(len(t), np.int32), np.flatnonzero(d >= last)
         if len(begin):
-            marks[_chosen(t, d, int(begin[0]))] = 1
+            nexts, i, taken = _nexts(t, d), int(begin[0]), []
+            while i < len(t):
+                taken.append(i)
+                i = nexts[i]
+            marks[taken] = 1
         return pdf.drop(columns=[CHUNK, "__last"]).assign(**{name: marks})
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), f"{name} int"])
