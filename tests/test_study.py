@@ -286,3 +286,40 @@ def test_ticks_spread_before_policies_multiply_them(spark):
     calibration = spark.createDataFrame([(*BASE.values(), *EVENT.values())], ", ".join(f"{k} double" for k in (*(f"base_{s}" for s in BASE), *(f"event_{s}" for s in EVENT))))
     energy = po.energised(_ticks(spark, 200).coalesce(1), po.variants(spark, po.variant_rows()[:3]), calibration, 250)
     assert energy.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def _event_table(spark, folder, n=400):
+    """A small events table of its own; some values, users and times are missing."""
+    import datetime
+    import random
+
+    rng, start = random.Random(n), datetime.datetime(2024, 1, 1)
+    rows = [
+        (i, None if i == 7 else start + datetime.timedelta(seconds=rng.choice([900 * rng.randrange(100), rng.randrange(90_000)])), rng.choice([None, 1, 2, 3]), rng.choice(["click", "view", "purchase", "error"]), rng.choice([None, 1.5, 20.0, 77.25]), f'{{"k": {i % 9}}}')
+        for i in range(n)
+    ]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_timeline_reads_the_events_once(spark, tmp_path, monkeypatch):
+    from tidemark.plans import study_plans as sp
+
+    made, real = [], sp.written
+    monkeypatch.setattr(sp, "written", lambda df, name: made.append(df) or real(df, name))
+    line = sp.timeline(spark, _event_table(spark, tmp_path))
+    reads = [df for df in (*made, line) if any("events.parquet" in f for f in df.inputFiles())]
+    assert len(reads) == 1 and reads[0]._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    events = sp.trades(spark, str(tmp_path)).withColumn("is_primary", F.col("channel") == "spot")
+    grid = ti.tick_grid(events, sp.TICK, sp.SLOW)
+    mids = {r.ts_ms: r.price for r in ti.last_price(events, grid, sp.TICK).collect()}
+    flow = {}
+    for r in events.where("ts_ms is not null").collect():
+        both = flow.setdefault(r.ts_ms // sp.TICK * sp.TICK + sp.TICK, [0.0, 0.0])
+        both[0] += r["size"] if r.side == "Buy" else -r["size"]
+        both[1] += r["size"]
+    got = line.collect()
+    assert {r.ts_ms: r.mid for r in got} == mids
+    for r in got:
+        signed, size = flow.get(r.ts_ms, (0.0, 0.0))
+        assert r.imbalance == (pytest.approx(signed / size, abs=1e-6) if size else None)

@@ -15,8 +15,9 @@ DAY = 86_400_000
 
 
 def tick_grid(events: DataFrame, tick: int, tail: int) -> DataFrame:
-    """Ticks from the first event's tick to `tail` after the last event."""
-    span = events.agg(F.min("ts_ms").alias("a"), (F.max("ts_ms") + tail).alias("b"))
+    """Ticks from the first event's tick to `tail` after the last event. events: or their segments."""
+    first, last = ("__from", "__to") if "__from" in events.columns else ("ts_ms", "ts_ms")
+    span = events.agg(F.min(first).alias("a"), (F.max(last) + tail).alias("b"))
     ends = span.select(F.explode(F.array("a", "b")).alias("ts_ms"))
     return time_grid(ends, "ts_ms", tick)
 
@@ -26,19 +27,21 @@ def _position(at: str, cell: int) -> Column:
     return F.floor(F.col(at) / cell).cast("long") * 2 + (F.pmod(F.col(at), F.lit(cell)) != 0).cast("long")
 
 
-def _segments(events: DataFrame, cell: int, order: Sequence[str]) -> DataFrame:
+def segments(events: DataFrame, cell: int, order: Sequence[str] = ("ts_ms", "event_id"), sums: Sequence[str] = ()) -> DataFrame:
     """One row for each segment and kind of event: what a window that holds all of the segment needs of it.
 
-    __way is the way of primary prices inside the segment, __into the step from the price before it, whatever its distance.
+    cell: a span in ms that the ticks and the width of every window are multiples of. __way is the way of prices inside the
+    segment, __last the price of its last event, __known the last price there, __from and __to the first and last time. sums: further
+    columns to add up. Written once, it serves all that the events were read for.
     """
-    e = events.where(F.col(order[0]).isNotNull()).select(*order, "price", "quote", "churn", F.coalesce("is_primary", F.lit(False)).alias("__primary"), _position(order[0], cell).alias("__at"))
+    e = events.where(F.col(order[0]).isNotNull()).select(*order, "price", "quote", "churn", F.coalesce("is_primary", F.lit(False)).alias("__primary"), _position(order[0], cell).alias("__at"), *sums)
     along = Window.partitionBy("__at", "__primary").orderBy(*order)
     e = e.withColumn("__step", F.abs(F.col("price") - F.lag("price").over(along)))
     place = F.struct(*order)
-    sums = [F.count("price").alias("__n"), F.sum("quote").alias("__q"), F.sum("churn").alias("__c"), F.max("price").alias("__hi"), F.min("price").alias("__lo"), F.sum("__step").alias("__way")]
-    found = e.groupBy("__at", "__primary").agg(*sums, F.min_by("price", place).alias("__first"), F.max_by(F.struct("price"), place).alias("__last"))
-    held = carry(found, [], ["__at", "__primary"], F.floor(F.col("__at") / max(1, 2 * DAY // cell)), {"__before": F.when(F.col("__primary"), F.col("__last"))}, inclusive=False)
-    return held.withColumn("__into", F.abs(F.col("__first") - F.col("__before.price"))).drop("__last", "__before")
+    totals = [F.count("price").alias("__n"), F.sum("quote").alias("__q"), F.sum("churn").alias("__c"), F.max("price").alias("__hi"), F.min("price").alias("__lo"), F.sum("__step").alias("__way")]
+    totals += [F.min(order[0]).alias("__from"), F.max(order[0]).alias("__to"), *(F.sum(c).alias(c) for c in sums)]
+    known = F.max_by("price", F.when(F.col("price").isNotNull(), place)).alias("__known")
+    return e.groupBy("__at", "__primary").agg(*totals, F.min_by("price", place).alias("__first"), F.max_by(F.struct("price"), place).alias("__last"), known)
 
 
 def window_sensors(events: DataFrame, ticks: DataFrame, width: int, prefix: str, order: Sequence[str] = ("ts_ms", "event_id"), chunk: int = DAY, step: int = 1) -> DataFrame:
@@ -49,7 +52,15 @@ def window_sensors(events: DataFrame, ticks: DataFrame, width: int, prefix: str,
     multiples of. Events are summed up once by segments between such times, so frames grow with width / step, not with the events.
     """
     cell = math.gcd(step, width)
-    found = _segments(events, cell, order)
+    return segment_sensors(segments(events, cell, order), ticks, width, prefix, cell, chunk)
+
+
+def segment_sensors(found: DataFrame, ticks: DataFrame, width: int, prefix: str, cell: int, chunk: int = DAY) -> DataFrame:
+    """window_sensors of events that are summed up by segments of `cell` already."""
+    found = found.select("__at", "__primary", "__n", "__q", "__c", "__hi", "__lo", "__way", "__first", "__last")
+    # __into: the step into a segment from the price before it, whatever its distance.
+    found = carry(found, [], ["__at", "__primary"], F.floor(F.col("__at") / max(1, 2 * DAY // cell)), {"__before": F.when(F.col("__primary"), F.col("__last"))}, inclusive=False)
+    found = found.withColumn("__into", F.abs(F.col("__first") - F.col("__before.price"))).drop("__last", "__before")
     kinds = {c.name: c.dataType for c in found.schema}
     empty = [F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c != "__at"]
     times = ticks.select(_position("ts_ms", cell).alias("__at"), *empty, "ts_ms")
@@ -88,6 +99,15 @@ def last_price(events: DataFrame, ticks: DataFrame, step: int = 1) -> DataFrame:
     """ts_ms and the last primary price before each tick. step: a span in ms that all ticks are multiples of."""
     own = events.where("is_primary and ts_ms is not null").groupBy(_position("ts_ms", step).alias("__at"))
     last = own.agg(F.max_by("price", F.when(F.col("price").isNotNull(), F.struct("ts_ms", "event_id"))).alias("price"))
+    return _carried_price(last, ticks, step)
+
+
+def segment_price(found: DataFrame, ticks: DataFrame, cell: int) -> DataFrame:
+    """last_price of events that are summed up by segments of `cell` already."""
+    return _carried_price(found.where("__primary").select("__at", F.col("__known").alias("price")), ticks, cell)
+
+
+def _carried_price(last: DataFrame, ticks: DataFrame, step: int) -> DataFrame:
     last = last.withColumns({"ts_ms": F.lit(None).cast("long"), "__tick": F.lit(0)})
     t = ticks.select(_position("ts_ms", step).alias("__at"), F.lit(None).cast("double").alias("price"), "ts_ms", F.lit(-1).alias("__tick"))
     both = carry(last.unionByName(t), [], ["__at", "__tick"], F.floor(F.col("__at") / max(1, 2 * DAY // step)), {"__p": F.col("price")})
