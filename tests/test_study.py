@@ -323,3 +323,21 @@ def test_timeline_reads_the_events_once(spark, tmp_path, monkeypatch):
     for r in got:
         signed, size = flow.get(r.ts_ms, (0.0, 0.0))
         assert r.imbalance == (pytest.approx(signed / size, abs=1e-6) if size else None)
+
+
+def test_policies_share_frames(spark, monkeypatch):
+    """Many policies are solved in a few frames, whatever their number; their decisions stay their own."""
+    from tidemark.operators import chunks
+
+    rows = po.variant_rows()[:96]
+    calibration = spark.createDataFrame([(*BASE.values(), *EVENT.values())], ", ".join(f"{k} double" for k in (*(f"base_{s}" for s in BASE), *(f"event_{s}" for s in EVENT))))
+    ticks = _ticks(spark, 60, price_range_bp={4: 1.2, 31: 0.7}, tick_travel_bp={4: 1.2}, book_churn_s=dict.fromkeys(range(10, 30), 160))
+    monkeypatch.setattr(chunks, "SLICES", 3)
+    frames, real = [], chunks.solve
+    monkeypatch.setattr(chunks, "solve", lambda df, *a: frames.append(df) or real(df, *a))
+    together = po.simulate(po.energised(ticks, po.variants(spark, rows), calibration, 250), chunk_ms=4000).collect()
+    assert len(frames) == 2
+    some = [rows[k] for k in (0, 50, 95)]
+    alone = {r for row in some for r in po.simulate(po.energised(ticks, po.variants(spark, [row]), calibration, 250), chunk_ms=4000).collect()}
+    names = {row["variant"] for row in some}
+    assert len(together) == 60 * len(rows) and {r for r in together if r.variant in names} == alone

@@ -3,7 +3,7 @@
 A series of one instrument has no natural key to spread by, and `Window.partitionBy(symbol)` would send all of it to a
 task. Series are therefore cut into chunks of time. Frames of bounded length get copies of the neighbouring rows they
 reach (`in_chunks`); values that may come from any distance are carried from chunk to chunk by one small row for each
-(`carry`); recurrences are solved in two passes, for all chunks at once (`scan`).
+(`carry`); recurrences are solved in two passes, for all chunks at once (`scan`; `solve` for many series at a time).
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import col
 
-CHUNK, OWN = "__chunk", "__own"
+CHUNK, OWN, SLICE = "__chunk", "__own", "__slice"
+
+#: Among how many frames the series of one chunk of time are dealt out.
+SLICES = 64
 
 
 def in_chunks(df: DataFrame, at: str, chunk: int, back: int = 0, ahead: int = 0) -> DataFrame:
@@ -115,16 +118,66 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
     return carry(df, keys, order, chunk, {name: held}, inclusive=False).withColumn(name, F.col(name)["v"])
 
 
-def _nexts(at: np.ndarray, due: np.ndarray) -> list[int]:
-    """For each row the row that is chosen after it: the first later one whose `due` isn't before it, or the number of rows."""
-    n = len(at)
-    out, open_rows, ahead = np.full(n, n), np.arange(n - 1), 1
+def solve(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, summarise: Callable, effects: str, advance: Callable, start, resume: Callable, schema: str) -> DataFrame:
+    """`scan` for many series that are alike: a frame holds one chunk of several series, so that a frame's own cost is not
+    paid for each series.
+
+    Frames are ordered by series and time; first: the place of each series' first row. summarise(frame, first) gives the
+    columns `effects`, one row for each series; advance(state, effect) the state after the chunk; resume(frame, first,
+    states) the result rows. start: an int or a float, the state before a series.
+    """
+    keys = list(keys)
+    base = df.withColumns({CHUNK: chunk, SLICE: F.pmod(F.xxhash64(*keys), F.lit(SLICES)) if keys else F.lit(0).cast("long")})
+    place = [*keys, CHUNK, SLICE]
+    head = [f"{f.name} {f.dataType.simpleString()}" for f in base.select(*place).schema]
+
+    def begins(pdf: pd.DataFrame) -> np.ndarray:
+        number = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
+        return np.flatnonzero(np.diff(number, prepend=-1))
+
+    def effect(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, at], ignore_index=True)
+        first = begins(pdf)
+        return pd.concat([pdf[place].iloc[first].reset_index(drop=True), summarise(pdf, first)], axis=1)
+
+    found = base.groupBy(SLICE, CHUNK).applyInPandas(effect, ", ".join([*head, effects]))
+    names = [c.split()[0] for c in effects.split(", ")]
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, CHUNK], ignore_index=True)
+        first, state, out = set(begins(pdf).tolist()), start, []
+        for n, e in enumerate(pdf[names].itertuples(index=False)):
+            state = start if n in first else state
+            out.append(state)
+            state = advance(state, tuple(e))
+        return pdf[place].assign(__state=out)
+
+    begun = found.groupBy(SLICE).applyInPandas(states, ", ".join([*head, f"__state {'long' if isinstance(start, int) else 'double'}"]))
+
+    def run(pdf: pd.DataFrame, begun: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, at], ignore_index=True)
+        begun = begun.sort_values(keys) if keys else begun
+        return resume(pdf, begins(pdf), begun["__state"].to_numpy())
+
+    return base.groupBy(SLICE, CHUNK).cogroup(begun.groupBy(SLICE, CHUNK)).applyInPandas(run, schema)
+
+
+def lengths(first: np.ndarray, n: int) -> np.ndarray:
+    """Rows of each series of a frame of n rows."""
+    return np.diff(first, append=n)
+
+
+def _nexts(at: np.ndarray, due: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each row the row that is chosen after it: the first later one whose `due` isn't before it, or its series' end."""
+    out, open_rows, ahead = end.copy(), np.arange(len(at)), 1
+    open_rows = open_rows[open_rows + 1 < end]
     while len(open_rows):
         found = due[open_rows + ahead] >= at[open_rows]
         out[open_rows[found]] = open_rows[found] + ahead
         ahead += 1
-        open_rows = open_rows[~found & (open_rows < n - ahead)]
-    return out.tolist()
+        open_rows = open_rows[~found]
+        open_rows = open_rows[open_rows + ahead < end[open_rows]]
+    return out
 
 
 def greedy(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, due: str, name: str) -> DataFrame:
@@ -135,50 +188,49 @@ def greedy(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, due: str,
     each chunk is solved by itself, and only these steps are brought together. Times differ within a series, and columns
     hold no nulls.
     """
-    keys, base = list(keys), df.withColumn(CHUNK, chunk)
-    head = [f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keys, CHUNK).schema]
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        t, d = pdf[at].to_numpy(), pdf[due].to_numpy()
-        bounds, ends, reach = [], [], None
-        nexts, n = _nexts(t, d), len(d)
-        end = list(range(n))  # the last row of the choice that begins with a row
-        for i in range(n - 1, -1, -1):
-            if nexts[i] < n:
-                end[i] = end[nexts[i]]
-        for i in range(n):  # ends where a row comes first whatever was taken before the chunk
-            if reach is None or d[i] > reach:
-                reach = d[i]
-                bounds.append(int(reach))
-                ends.append(int(t[end[i]]))
-                if reach >= t[0]:
-                    break
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in [*keys, CHUNK]} | {"__bounds": [bounds], "__ends": [ends]})
-
-    effects = base.groupBy(*keys, CHUNK).applyInPandas(steps, ", ".join([*head, "__bounds array<long>", "__ends array<long>"]))
-
-    def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, out = pdf.sort_values(CHUNK), None, []
-        for bounds, ends in zip(pdf["__bounds"], pdf["__ends"], strict=True):
-            out.append(np.iinfo(np.int64).min if last is None else last)
-            at_step = 0 if last is None else int(np.searchsorted(bounds, last))
-            last = int(ends[at_step]) if at_step < len(ends) else last
-        return pdf[[*keys, CHUNK]].assign(__last=out)
-
-    begun = effects.groupBy(*(keys or [F.lit("")])).applyInPandas(states, ", ".join([*head, "__last long"]))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        t, d, last = pdf[at].to_numpy(), pdf[due].to_numpy(), int(pdf["__last"].iloc[0])
-        marks, begin = np.zeros(len(t), np.int32), np.flatnonzero(d >= last)
-        if len(begin):
-            nexts, i, taken = _nexts(t, d), int(begin[0]), []
-            while i < len(t):
+    none = int(np.iinfo(np.int64).min)
+
+    def steps(pdf: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        t, d, n = pdf[at].to_numpy(), pdf[due].to_numpy(), len(pdf)
+        sizes = lengths(first, n)
+        stop = np.repeat(first + sizes, sizes)
+        last, after = list(range(n)), _nexts(t, d, stop)
+        after = np.where(after < stop, after, np.arange(n)).tolist()
+        for i in range(n - 1, -1, -1):  # the last row of the choice that begins with a row
+            last[i] = last[after[i]]
+        bounds, ends = [], []
+        for begin, size in zip(first.tolist(), sizes.tolist(), strict=True):
+            reach, low, high = None, [], []
+            for i in range(begin, begin + size):  # ends where a row comes first whatever was taken before the chunk
+                if reach is None or d[i] > reach:
+                    reach = d[i]
+                    low.append(int(reach))
+                    high.append(int(t[last[i]]))
+                    if reach >= t[begin]:
+                        break
+            bounds.append(low)
+            ends.append(high)
+        return pd.DataFrame({"__bounds": bounds, "__ends": ends})
+
+    def advance(last: int, effect: tuple) -> int:
+        bounds, ends = effect
+        at_step = int(np.searchsorted(bounds, last))
+        return int(ends[at_step]) if at_step < len(ends) else last
+
+    def run(pdf: pd.DataFrame, first: np.ndarray, states: np.ndarray) -> pd.DataFrame:
+        t, d, n = pdf[at].to_numpy(), pdf[due].to_numpy(), len(pdf)
+        sizes = lengths(first, n)
+        stop = first + sizes
+        nexts, marks, taken = _nexts(t, d, np.repeat(stop, sizes)).tolist(), np.zeros(n, np.int32), []
+        free = np.flatnonzero(d >= np.repeat(states, sizes))
+        at_free = np.searchsorted(free, first)
+        for place, end in zip(at_free.tolist(), stop.tolist(), strict=True):
+            i = int(free[place]) if place < len(free) else end
+            while i < end:
                 taken.append(i)
                 i = nexts[i]
-            marks[taken] = 1
-        return pdf.drop(columns=[CHUNK, "__last"]).assign(**{name: marks})
+        marks[taken] = 1
+        return pdf.drop(columns=[CHUNK, SLICE]).assign(**{name: marks})
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), f"{name} int"])
-    return base.join(begun, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(run, schema)
+    return solve(df, keys, at, chunk, steps, "__bounds array<long>, __ends array<long>", advance, none, run, schema)
