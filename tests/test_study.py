@@ -341,3 +341,21 @@ def test_policies_share_frames(spark, monkeypatch):
     alone = {r for row in some for r in po.simulate(po.energised(ticks, po.variants(spark, [row]), calibration, 250), chunk_ms=4000).collect()}
     names = {row["variant"] for row in some}
     assert len(together) == 60 * len(rows) and {r for r in together if r.variant in names} == alone
+
+
+def _made(spark, monkeypatch, folder, query):
+    """Names of the tables that a query writes on its way, in their order."""
+    from tidemark.operators import policy
+    from tidemark.plans import study_plans as sp
+
+    made, real = [], sp.written
+    for module in (sp, policy):
+        monkeypatch.setattr(module, "written", lambda df, name: made.append(name) or real(df, name))
+    monkeypatch.setattr(sp, "ROWS", sp.ROWS[::160])
+    rows = sp.QUERIES[query](spark, folder).collect()
+    return made, rows
+
+
+def test_oversampling_makes_no_lone_episodes(spark, tmp_path, monkeypatch):
+    made, rows = _made(spark, monkeypatch, _event_table(spark, tmp_path), "oversampling")
+    assert made.count("episodes") == 1 and "tiers" not in made and "decisions" in made

@@ -118,13 +118,14 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
     return carry(df, keys, order, chunk, {name: held}, inclusive=False).withColumn(name, F.col(name)["v"])
 
 
-def solve(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, summarise: Callable, effects: str, advance: Callable, start, resume: Callable, schema: str) -> DataFrame:
+def solve(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, summarise: Callable, effects: str, advance: Callable, start, resume: Callable, schema: str, needs: Sequence[str] | None = None) -> DataFrame:
     """`scan` for many series that are alike: a frame holds one chunk of several series, so that a frame's own cost is not
     paid for each series.
 
     Frames are ordered by series and time; first: the place of each series' first row. summarise(frame, first) gives the
     columns `effects`, one row for each series; advance(state, effect) the state after the chunk; resume(frame, first,
-    states) the result rows. start: an int or a float, the state before a series.
+    states) the result rows. start: an int or a float, the state before a series. needs: columns that summarise sees beside
+    keys and at, where df is cheaper read again than shuffled whole; else one shuffle serves both passes.
     """
     keys = list(keys)
     base = df.withColumns({CHUNK: chunk, SLICE: F.pmod(F.xxhash64(*keys), F.lit(SLICES)) if keys else F.lit(0).cast("long")})
@@ -140,7 +141,8 @@ def solve(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, summarise:
         first = begins(pdf)
         return pd.concat([pdf[place].iloc[first].reset_index(drop=True), summarise(pdf, first)], axis=1)
 
-    found = base.groupBy(SLICE, CHUNK).applyInPandas(effect, ", ".join([*head, effects]))
+    seen = base if needs is None else base.select(*place, at, *needs)
+    found = seen.groupBy(SLICE, CHUNK).applyInPandas(effect, ", ".join([*head, effects]))
     names = [c.split()[0] for c in effects.split(", ")]
 
     def states(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -233,4 +235,4 @@ def greedy(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, due: str,
         return pdf.drop(columns=[CHUNK, SLICE]).assign(**{name: marks})
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), f"{name} int"])
-    return solve(df, keys, at, chunk, steps, "__bounds array<long>, __ends array<long>", advance, none, run, schema)
+    return solve(df, keys, at, chunk, steps, "__bounds array<long>, __ends array<long>", advance, none, run, schema, [due])
