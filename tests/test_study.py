@@ -359,3 +359,9 @@ def _made(spark, monkeypatch, folder, query):
 def test_oversampling_makes_no_lone_episodes(spark, tmp_path, monkeypatch):
     made, rows = _made(spark, monkeypatch, _event_table(spark, tmp_path), "oversampling")
     assert made.count("episodes") == 1 and "tiers" not in made and "decisions" in made
+
+
+def test_gate_counts_makes_no_errors_of_reconstruction(spark, tmp_path, monkeypatch):
+    monkeypatch.delattr(ep, "reconstruction")
+    made, rows = _made(spark, monkeypatch, _event_table(spark, tmp_path), "gate_counts")
+    assert len(rows) == 9 and {r.n for r in rows} == {3} and made == ["segments", "timeline", "episodes", "episodes", "steered", "decisions"]

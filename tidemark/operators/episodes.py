@@ -147,8 +147,8 @@ def align(ticks: DataFrame, decisions: DataFrame, keys: Sequence[str], interval:
     return joined.withColumns({"interval_ms": F.coalesce("interval_ms", F.lit(interval)), "snapshot": F.coalesce("snapshot", F.lit(0))})
 
 
-def evaluate(ticks: DataFrame, decisions: DataFrame, strong: DataFrame, lone: DataFrame, rules: Rules, keys: Sequence[str], gates: dict[str, float] = GATES) -> DataFrame:
-    """One row for each policy: recalls, reactions, oversampling, false-fast time, reduction, errors and gates."""
+def evaluate(ticks: DataFrame, decisions: DataFrame, strong: DataFrame, lone: DataFrame, rules: Rules, keys: Sequence[str], gates: dict[str, float] = GATES, errors: bool = True) -> DataFrame:
+    """One row for each policy: recalls, reactions, oversampling, false-fast time, reduction, errors (if asked for) and gates."""
     keys = list(keys)
     both = strong.select("start_ms", "end_ms", "tier").unionByName(lone.select("start_ms", "end_ms", "tier"))
     seen = capture(both, decisions, rules, keys)
@@ -173,7 +173,7 @@ def evaluate(ticks: DataFrame, decisions: DataFrame, strong: DataFrame, lone: Da
         (F.count_if(fast & outside) / F.greatest(F.count_if(outside), F.lit(1))).alias("false_fast_time"), F.avg(fast.cast("int")).alias("fast_time_fraction"), F.count_if(F.col("snapshot") > 0).alias("snapshot_count"), baseline.alias("base_snapshot_count"),
     )
     out = decisions.select(*keys).distinct()
-    for part in (recalls, over, usage, reconstruction(ticks, decisions, keys)):
+    for part in (recalls, over, usage, *([reconstruction(ticks, decisions, keys)] if errors else [])):
         out = out.join(part, keys, "left")
     a, b = (F.coalesce(f"tier_{t}_event_count", F.lit(0)) for t in "ab")
     wa, wb = rules.weights
