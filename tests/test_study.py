@@ -383,3 +383,8 @@ def test_strong_episodes_need_no_lone_ones(spark, tmp_path, monkeypatch, query):
 def test_a_timeline_read_once_is_not_written(spark, tmp_path, monkeypatch, query):
     made, rows = _made(spark, monkeypatch, _event_table(spark, tmp_path), query)
     assert made == ["segments"] and rows
+
+
+def test_lone_episodes_come_of_ticks_written_once(spark, tmp_path, monkeypatch):
+    made, _ = _made(spark, monkeypatch, _event_table(spark, tmp_path), "episodes_c_antijoin")
+    assert made == ["segments", "timeline", "episodes", "episodes"]
