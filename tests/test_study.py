@@ -388,3 +388,14 @@ def test_a_timeline_read_once_is_not_written(spark, tmp_path, monkeypatch, query
 def test_lone_episodes_come_of_ticks_written_once(spark, tmp_path, monkeypatch):
     made, _ = _made(spark, monkeypatch, _event_table(spark, tmp_path), "episodes_c_antijoin")
     assert made == ["segments", "timeline", "episodes", "episodes"]
+
+
+@pytest.mark.parametrize("query, rows", [("policy_leaderboard", 1)])
+def test_policies_of_a_query_are_solved_together(spark, tmp_path, monkeypatch, query, rows):
+    """Two recurrences, heat and snapshots, whatever the number of policies, over events read once."""
+    from tidemark.operators import chunks
+
+    solved, real = [], chunks.solve
+    monkeypatch.setattr(chunks, "solve", lambda df, *a: solved.append(df) or real(df, *a))
+    made, found = _made(spark, monkeypatch, _event_table(spark, tmp_path), query)
+    assert len(solved) == 2 and made.count("segments") == 1 and len(found) == rows
