@@ -390,7 +390,7 @@ def test_lone_episodes_come_of_ticks_written_once(spark, tmp_path, monkeypatch):
     assert made == ["segments", "timeline", "episodes", "episodes"]
 
 
-@pytest.mark.parametrize("query, rows", [("policy_leaderboard", 1)])
+@pytest.mark.parametrize("query, rows", [("policy_leaderboard", 1), ("reconstruction_mae", 3)])
 def test_policies_of_a_query_are_solved_together(spark, tmp_path, monkeypatch, query, rows):
     """Two recurrences, heat and snapshots, whatever the number of policies, over events read once."""
     from tidemark.operators import chunks
