@@ -399,3 +399,24 @@ def test_policies_of_a_query_are_solved_together(spark, tmp_path, monkeypatch, q
     monkeypatch.setattr(chunks, "solve", lambda df, *a: solved.append(df) or real(df, *a))
     made, found = _made(spark, monkeypatch, _event_table(spark, tmp_path), query)
     assert len(solved) == 2 and made.count("segments") == 1 and len(found) == rows
+
+
+def test_segments_are_summed_up_by_hash(spark):
+    """Of a segment's events nothing is held that must be aggregated in sorted order, one interpreted row at a time."""
+    events = spark.createDataFrame([(0, 1, 2.0, 3.0, 1.0, True), (5, 2, None, 3.0, 1.0, True), (5, 0, 7.0, 1.0, 1.0, True)], "ts_ms long, event_id long, price double, quote double, churn double, is_primary boolean")
+    found = ti.segments(events, 1000)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r["__at"]: (r["__first"], r["__last"].price, r["__known"], r["__way"], r["__n"]) for r in found.collect()}
+    assert rows == {0: (2.0, 2.0, 2.0, None, 1), 1: (7.0, None, 7.0, None, 1)}
+
+
+def test_sizes_cut_out_of_plain_props_are_those_of_the_parser(spark, tmp_path):
+    from tidemark.plans.domain import trades
+
+    props = ['{"k": 24}', '{"k": -3}', '{"k": 0}', '{"k": 7} ', '{"k":8}', '{"k": 9, "j": 1}', '{"j": 1, "k": 2}', '{"k": "5"}', '{"k": 1.5}', '{"k": 1e3}', '{"k": 007}', '{"k": null}', '{"k": 123456789012345678}', '{"k": 4}\n', '{"k": }', "", None]
+    rows = [(n, p) for n, p in enumerate(props)]
+    table = spark.createDataFrame(rows, "event_id long, props string").selectExpr("event_id", "timestamp_ntz'2024-01-01' AS ts", "1L AS user_id", "'view' AS event_type", "1.0D AS value", "props")
+    table.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.size for r in trades(spark, str(tmp_path)).select("event_id", F.col("size").alias("size")).collect()}
+    want = {r.event_id: r.s for r in table.select("event_id", F.get_json_object("props", "$.k").cast("double").alias("s")).collect()}
+    assert got == want and got[0] == 24.0 and got[1] == -3.0 and got[13] == 4.0

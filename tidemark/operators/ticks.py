@@ -36,12 +36,13 @@ def segments(events: DataFrame, cell: int, order: Sequence[str] = ("ts_ms", "eve
     """
     e = events.where(F.col(order[0]).isNotNull()).select(*order, "price", "quote", "churn", F.coalesce("is_primary", F.lit(False)).alias("__primary"), _position(order[0], cell).alias("__at"), *sums)
     along = Window.partitionBy("__at", "__primary").orderBy(*order)
-    e = e.withColumn("__step", F.abs(F.col("price") - F.lag("price").over(along)))
-    place = F.struct(*order)
+    e = e.withColumns({"__step": F.abs(F.col("price") - F.lag("price").over(along)), "__rank": F.row_number().over(along)})
     totals = [F.count("price").alias("__n"), F.sum("quote").alias("__q"), F.sum("churn").alias("__c"), F.max("price").alias("__hi"), F.min("price").alias("__lo"), F.sum("__step").alias("__way")]
     totals += [F.min(order[0]).alias("__from"), F.max(order[0]).alias("__to"), *(F.sum(c).alias(c) for c in sums)]
-    known = F.max_by("price", F.when(F.col("price").isNotNull(), place)).alias("__known")
-    return e.groupBy("__at", "__primary").agg(*totals, F.min_by("price", place).alias("__first"), F.max_by(F.struct("price"), place).alias("__last"), known)
+    # Ranks, not structs of the order: all that is held for a segment is of fixed width, so it is summed up by hash.
+    known = F.max_by("price", F.when(F.col("price").isNotNull(), F.col("__rank"))).alias("__known")
+    found = e.groupBy("__at", "__primary").agg(*totals, F.min_by("price", "__rank").alias("__first"), F.max_by("price", "__rank").alias("__last"), known)
+    return found.withColumn("__last", F.struct(F.col("__last").alias("price")))
 
 
 def window_sensors(events: DataFrame, ticks: DataFrame, width: int, prefix: str, order: Sequence[str] = ("ts_ms", "event_id"), chunk: int = DAY, step: int = 1) -> DataFrame:
