@@ -420,3 +420,18 @@ def test_sizes_cut_out_of_plain_props_are_those_of_the_parser(spark, tmp_path):
     got = {r.event_id: r.size for r in trades(spark, str(tmp_path)).select("event_id", F.col("size").alias("size")).collect()}
     want = {r.event_id: r.s for r in table.select("event_id", F.get_json_object("props", "$.k").cast("double").alias("s")).collect()}
     assert got == want and got[0] == 24.0 and got[1] == -3.0 and got[13] == 4.0
+
+
+def test_policies_meet_the_ticks_in_frames_only(spark, monkeypatch):
+    """What is solved for many policies are ticks, copied for each part of them; no row of a policy and a tick is shuffled for its heat."""
+    from tidemark.operators import chunks
+
+    rows = po.variant_rows()[:20]
+    calibration = spark.createDataFrame([(*BASE.values(), *EVENT.values())], ", ".join(f"{k} double" for k in (*(f"base_{s}" for s in BASE), *(f"event_{s}" for s in EVENT))))
+    ticks = _ticks(spark, 60, price_range_bp={4: 1.2, 31: 0.7}, tick_travel_bp={4: 1.2}, book_churn_s=dict.fromkeys(range(10, 30), 160))
+    frames, real = [], chunks.solve
+    monkeypatch.setattr(chunks, "solve", lambda df, *a: frames.append(df) or real(df, *a))
+    got = po.decide(ticks, rows, calibration, 250, 4000)
+    assert frames[0].count() == 60 * -(-len(rows) // po.PART) and "variant" not in frames[1].columns
+    want = po.simulate(po.energised(ticks, po.variants(spark, rows), calibration, 250), chunk_ms=4000).select(*got.columns)
+    assert sorted(got.collect()) == sorted(want.collect())

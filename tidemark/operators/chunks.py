@@ -124,21 +124,18 @@ def solve(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, summarise:
 
     Frames are ordered by series and time; first: the place of each series' first row. summarise(frame, first) gives the
     columns `effects`, one row for each series; advance(state, effect) the state after the chunk; resume(frame, first,
-    states) the result rows. start: an int or a float, the state before a series. needs: columns that summarise sees beside
+    states) the result rows. start: an int, a float or a vector of floats, the state before a series. needs: columns that summarise sees beside
     keys and at, where df is cheaper read again than shuffled whole; else one shuffle serves both passes.
     """
     keys = list(keys)
     base = df.withColumns({CHUNK: chunk, SLICE: F.pmod(F.xxhash64(*keys), F.lit(SLICES)) if keys else F.lit(0).cast("long")})
+    if needs is None:  # a fixed number of tasks: frames may ask far more work than their bytes tell
+        base = base.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), SLICE, CHUNK)
     place = [*keys, CHUNK, SLICE]
     head = [f"{f.name} {f.dataType.simpleString()}" for f in base.select(*place).schema]
 
-    def begins(pdf: pd.DataFrame) -> np.ndarray:
-        number = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
-        return np.flatnonzero(np.diff(number, prepend=-1))
-
     def effect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, at], ignore_index=True)
-        first = begins(pdf)
+        pdf, first = along(pdf, keys, at)
         return pd.concat([pdf[place].iloc[first].reset_index(drop=True), summarise(pdf, first)], axis=1)
 
     seen = base if needs is None else base.select(*place, at, *needs)
@@ -146,24 +143,31 @@ def solve(df: DataFrame, keys: Sequence[str], at: str, chunk: Column, summarise:
     names = [c.split()[0] for c in effects.split(", ")]
 
     def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, CHUNK], ignore_index=True)
-        first, state, out = set(begins(pdf).tolist()), start, []
+        pdf, first = along(pdf, keys, CHUNK)
+        first, state, out = set(first.tolist()), start, []
         for n, e in enumerate(pdf[names].itertuples(index=False)):
             state = start if n in first else state
             out.append(state)
             state = advance(state, tuple(e))
         return pdf[place].assign(__state=out)
 
-    begun = found.groupBy(SLICE).applyInPandas(states, ", ".join([*head, f"__state {'long' if isinstance(start, int) else 'double'}"]))
+    kind = "array<double>" if isinstance(start, np.ndarray) else "long" if isinstance(start, int) else "double"
+    begun = found.groupBy(SLICE).applyInPandas(states, ", ".join([*head, f"__state {kind}"]))
 
     def run(pdf: pd.DataFrame, begun: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, at], ignore_index=True)
         begun = begun.sort_values(keys) if keys else begun
-        return resume(pdf, begins(pdf), begun["__state"].to_numpy())
+        return resume(*along(pdf, keys, at), begun["__state"].to_numpy())
 
     return base.groupBy(SLICE, CHUNK).cogroup(begun.groupBy(SLICE, CHUNK)).applyInPandas(run, schema)
 
 
+def along(pdf: pd.DataFrame, keys: Sequence[str], at: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """The frame ordered by series and time, and the place of each series' first row. Keys are compared once for each series."""
+    number = pdf.groupby(list(keys), dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
+    order = np.lexsort((pdf[at].to_numpy(), number))
+    return pdf.take(order).reset_index(drop=True), np.flatnonzero(np.diff(number[order], prepend=-1))
+
+
 def lengths(first: np.ndarray, n: int) -> np.ndarray:
     """Rows of each series of a frame of n rows."""
     return np.diff(first, append=n)
