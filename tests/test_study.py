@@ -435,3 +435,24 @@ def test_policies_meet_the_ticks_in_frames_only(spark, monkeypatch):
     assert frames[0].count() == 60 * -(-len(rows) // po.PART) and "variant" not in frames[1].columns
     want = po.simulate(po.energised(ticks, po.variants(spark, rows), calibration, 250), chunk_ms=4000).select(*got.columns)
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_errors_of_held_values_against_a_plain_loop(spark):
+    """Values are held over chunks of time, also over some without a sample; unknown ones and prices of 0 are no errors."""
+    import random
+
+    rng = random.Random(3)
+    ticks = [(250 * i, rng.choice([None, 0.0, 100.0, 101.5, 99.0]), rng.choice([None, -0.5, 0.25])) for i in range(80)]
+    decisions = [(v, t, int(rng.random() < rate)) for v, rate in (("a", 0.5), ("b", 0.04), ("c", 0.0)) for t, *_ in ticks]
+    d = spark.createDataFrame([*decisions, ("d", 7, 1)], "variant string, ts_ms long, snapshot int")
+    found = ep.reconstruction(spark.createDataFrame(ticks, "ts_ms long, mid double, imbalance double"), d, ["variant"], 2000)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInPandas")[-1]  # frames hold the series
+    want, mean = {}, lambda x: pytest.approx(sum(x) / len(x)) if x else None
+    for v in "abc":
+        mids, flows, held = [], [], [None, None]
+        for (_, mid, flow), (_, _, taken) in zip(ticks, [x for x in decisions if x[0] == v], strict=True):
+            held = [new if taken and new is not None else old for new, old in zip((mid, flow), held, strict=True)]
+            mids += [abs(held[0] - mid) / mid * 1e4] if mid and held[0] is not None else []
+            flows += [abs(held[1] - flow)] if flow is not None and held[1] is not None else []
+        want[v] = (mean(mids), mean(flows))
+    assert {r.variant: (r.mid_mae_bp, r.imbalance_mae) for r in found.collect()} == want

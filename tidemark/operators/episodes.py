@@ -9,12 +9,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import chunks
 from .asof import range_join
 from .chunks import carry, previous
-from .policy import SENSORS
+from .policy import CHUNK_TICKS, SENSORS
 
 DAY = 86_400_000
 
@@ -132,12 +135,58 @@ def oversampling(strong: DataFrame, decisions: DataFrame, rules: Rules, keys: Se
     return out.select(*keys, "start_ms", "end_ms", "tier", how.alias("how"), value.alias("oversampling_ms"))
 
 
-def reconstruction(ticks: DataFrame, decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """mid_mae_bp and imbalance_mae of holding the last sampled values."""
-    d = decisions.select(*keys, "ts_ms", "snapshot").join(ticks.select("ts_ms", "mid", "imbalance"), "ts_ms")
-    held = carry(d, keys, ["ts_ms"], F.floor(F.col("ts_ms") / DAY), {"__mid": F.when(F.col("snapshot") > 0, F.col("mid")), "__imb": F.when(F.col("snapshot") > 0, F.col("imbalance"))})
-    mid = F.abs(F.col("__mid") - F.col("mid")) / F.nullif(F.col("mid"), F.lit(0.0)) * 10_000
-    return held.groupBy(*keys).agg(F.avg(mid).alias("mid_mae_bp"), F.avg(F.abs(F.col("__imb") - F.col("imbalance"))).alias("imbalance_mae"))
+def reconstruction(ticks: DataFrame, decisions: DataFrame, keys: Sequence[str], chunk: int = DAY) -> DataFrame:
+    """mid_mae_bp and imbalance_mae of holding the last sampled values.
+
+    Ticks meet the decisions in frames that hold a chunk of time of several policies. Ticks before a chunk's first sampled
+    value are brought along as lists, till the value held from the chunks before is known.
+    """
+    keys, values = list(keys), {"mid": "mid_mae_bp", "imbalance": "imbalance_mae"}
+    at = F.floor(F.col("ts_ms") / chunk).alias(chunks.CHUNK)
+    d = decisions.select(*keys, "ts_ms", (F.col("snapshot") > 0).alias("__taken"), at, F.pmod(F.xxhash64(*keys), F.lit(chunks.SLICES)).alias(chunks.SLICE))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks.SLICES - 1).cast("long"))).alias(chunks.SLICE)
+    t = ticks.select("ts_ms", *(F.col(v).cast("double") for v in values), *(F.col(v).isNotNull().alias(f"__known_{v}") for v in values), at, copies)
+
+    def summed(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("ts_ms", ignore_index=True)
+        place = np.searchsorted(t["ts_ms"].to_numpy(), d["ts_ms"].to_numpy())
+        met = (t["ts_ms"].to_numpy()[np.minimum(place, len(t) - 1)] == d["ts_ms"].to_numpy()) & (place < len(t)) if len(t) else np.zeros(len(d), bool)
+        if not met.any():  # a slice without policies, or a chunk without ticks
+            return pd.DataFrame({n: [] for n in names}, dtype=object)
+        d, first = chunks.along(d.assign(__place=place)[met], keys, "ts_ms")
+        out = d.iloc[first][[*keys, chunks.CHUNK]].reset_index(drop=True)
+        place, taken, sizes = d["__place"].to_numpy(), d["__taken"].to_numpy(bool), chunks.lengths(first, len(d))
+        begin, last = np.repeat(first, sizes), first + sizes - 1
+        for v in values:
+            x, known = t[v].to_numpy()[place], t[f"__known_{v}"].to_numpy(bool)[place]
+            held = np.maximum.accumulate(np.where(taken & known, np.arange(len(d)), -1))
+            has, counts = held >= begin, known & (x != 0) if v == "mid" else known
+            off = np.abs(x[held] - x)
+            off = np.divide(off, x, out=np.zeros(len(x)), where=counts) * 10_000 if v == "mid" else off
+            out[f"__sum_{v}"] = np.add.reduceat(np.where(has & counts, off, 0.0), first)
+            out[f"__n_{v}"] = np.add.reduceat((has & counts).astype(np.int64), first)
+            out[f"__has_{v}"], out[f"__last_{v}"] = has[last], x[held[last]]
+            out[f"__lead_{v}"] = [x[i:j][~has[i:j] & counts[i:j]] for i, j in zip(first.tolist(), (last + 1).tolist(), strict=True)]
+        return out
+
+    key_fields = [f"{f.name} {f.dataType.simpleString()}" for f in d.select(*keys, chunks.CHUNK).schema]
+    schema = ", ".join([*key_fields, *(f"__sum_{v} double, __n_{v} long, __has_{v} boolean, __last_{v} double, __lead_{v} array<double>" for v in values)])
+    names = [f.split()[0] for f in schema.split(", ")]
+    by = (chunks.SLICE, chunks.CHUNK)
+    found = d.groupBy(*by).cogroup(t.groupBy(*by)).applyInPandas(summed, schema)
+    number = lambda c: F.coalesce(c, F.lit(float("nan")))  # noqa: E731  frames give null for what is not a number
+    earlier = Window.partitionBy(*keys).orderBy(chunks.CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+    found = found.withColumns({f"__before_{v}": F.last(F.when(F.col(f"__has_{v}"), number(F.col(f"__last_{v}"))), ignorenulls=True).over(earlier) for v in values})
+    out = []
+    for v, name in values.items():
+        before, lead = F.col(f"__before_{v}"), F.col(f"__lead_{v}")
+        miss = lambda x: F.abs(before - number(x))  # noqa: B023, E731
+        off = (lambda x: miss(x) / number(x) * 10_000) if v == "mid" else miss  # noqa: B023
+        late = F.aggregate(F.transform(lead, lambda x: off(x)), F.lit(0.0), lambda total, x: total + x)  # noqa: B023
+        sums = F.sum(number(F.col(f"__sum_{v}")) + F.when(before.isNotNull(), late).otherwise(0.0))
+        n = F.sum(F.col(f"__n_{v}") + F.when(before.isNotNull(), F.size(lead)).otherwise(0))
+        out.append(F.when(n > 0, sums / n).alias(name))
+    return found.groupBy(*keys).agg(*out)
 
 
 def align(ticks: DataFrame, decisions: DataFrame, keys: Sequence[str], interval: int = 5000) -> DataFrame:
@@ -173,7 +222,7 @@ def evaluate(ticks: DataFrame, decisions: DataFrame, strong: DataFrame, lone: Da
         (F.count_if(fast & outside) / F.greatest(F.count_if(outside), F.lit(1))).alias("false_fast_time"), F.avg(fast.cast("int")).alias("fast_time_fraction"), F.count_if(F.col("snapshot") > 0).alias("snapshot_count"), baseline.alias("base_snapshot_count"),
     )
     out = decisions.select(*keys).distinct()
-    for part in (recalls, over, usage, *([reconstruction(ticks, decisions, keys)] if errors else [])):
+    for part in (recalls, over, usage, *([reconstruction(ticks, decisions, keys, rules.tick * CHUNK_TICKS)] if errors else [])):
         out = out.join(part, keys, "left")
     a, b = (F.coalesce(f"tier_{t}_event_count", F.lit(0)) for t in "ab")
     wa, wb = rules.weights
