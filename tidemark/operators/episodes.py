@@ -144,15 +144,19 @@ def reconstruction(ticks: DataFrame, decisions: DataFrame, keys: Sequence[str],
     keys, values = list(keys), {"mid": "mid_mae_bp", "imbalance": "imbalance_mae"}
     at = F.floor(F.col("ts_ms") / chunk).alias(chunks.CHUNK)
     d = decisions.select(*keys, "ts_ms", (F.col("snapshot") > 0).alias("__taken"), at, F.pmod(F.xxhash64(*keys), F.lit(chunks.SLICES)).alias(chunks.SLICE))
+    # A name of its own: ticks and decisions that come of one table would share the column, and the frames lose it.
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks.SLICES - 1).cast("long"))).alias(chunks.SLICE)
-    t = ticks.select("ts_ms", *(F.col(v).cast("double") for v in values), *(F.col(v).isNotNull().alias(f"__known_{v}") for v in values), at, copies)
+    t = ticks.select((F.col("ts_ms") + 0).alias("__tick"), *(F.col(v).cast("double") for v in values), *(F.col(v).isNotNull().alias(f"__known_{v}") for v in values), at, copies)
 
     def summed(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("ts_ms", ignore_index=True)
-        place = np.searchsorted(t["ts_ms"].to_numpy(), d["ts_ms"].to_numpy())
-        met = (t["ts_ms"].to_numpy()[np.minimum(place, len(t) - 1)] == d["ts_ms"].to_numpy()) & (place < len(t)) if len(t) else np.zeros(len(d), bool)
-        if not met.any():  # a slice without policies, or a chunk without ticks
-            return pd.DataFrame({n: [] for n in names}, dtype=object)
+        none = pd.DataFrame({n: [] for n in names}, dtype=object)
+        if d.empty or t.empty:  # a slice without policies, or a chunk without ticks: such a side has no columns either
+            return none
+        t = t.sort_values("__tick", ignore_index=True)
+        place = np.searchsorted(t["__tick"].to_numpy(), d["ts_ms"].to_numpy())
+        met = (place < len(t)) & (t["__tick"].to_numpy()[np.minimum(place, len(t) - 1)] == d["ts_ms"].to_numpy())
+        if not met.any():
+            return none
         d, first = chunks.along(d.assign(__place=place)[met], keys, "ts_ms")
         out = d.iloc[first][[*keys, chunks.CHUNK]].reset_index(drop=True)
         place, taken, sizes = d["__place"].to_numpy(), d["__taken"].to_numpy(bool), chunks.lengths(first, len(d))
